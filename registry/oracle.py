@@ -251,4 +251,8 @@ def sql() -> dict[str, str]:
     for name, stream in (("replay_fixed", "U"), ("replay_fixed_lineitem", "M")):
         out[name] = f"{online(stream)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged, is_anomaly FROM dec"
     out["replay_fixed_auc"] = f"{online('M')} SELECT {r6('auc')} AS auc FROM ({AUC})"
+    out["stream_windows"] = f"""{u} SELECT idx // {L} AS w, idx % {L} AS step, x[1] AS value, is_anomaly FROM rows
+  WHERE idx < {n_rows} // {L} * {L}"""
+    out["stream_keyed_windows"] = out["keyed_windows"]
+    out["stream_scores"] = out["replay_fixed"]
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,18 @@ from pyspark.sql import functions as F
 from registry.streams import (
     LENGTH, MEASURES, PER_BATCH, WIDTH, fitted, raw_stream, scored, series, table, tidy, vector, whole, windows_of,
 )
+from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model, reconstruct, reconstruction_errors, score
 from tidewatch.models.profile import Profile, cell_means
 from tidewatch.operators import buffers, checks, errors, evaluate, index, labels, project, sampling, scale, split as splits
 from tidewatch.operators import threshold as thresholds
 from tidewatch.operators import windows as win
 from tidewatch.plans.initialize import init_windows, initialize
-from tidewatch.plans.online import replay_online, update_report
-from tidewatch.plans.params import Params
+from tidewatch.plans.online import DECISION, replay_online, update_report
 from tidewatch.plans.prepare import prepare_forest, prepare_power, prepare_services
 from tidewatch.sources.series import parse_column_kinds
+from tidewatch.streaming.online import stream_online
+from tidewatch.streaming.windows import count_windows_stream, parquet_windows
 
 L, B = LENGTH, PER_BATCH
 QUERIES: dict[str, object] = {}
@@ -359,7 +362,7 @@ def flag_windows(spark, sf):
 
 def pools(spark, sf, stream):
     windows, split, _ = scored(spark, sf, stream)
-    return thresholds.save(thresholds.score_pools(windows, split), "pools")
+    return save(thresholds.score_pools(windows, split), "pools")
 
 
 @query
@@ -535,7 +538,7 @@ def replay_fixed_auc(spark, sf):
 
 @query
 def replay_adaptive(spark, sf):
-    s, params = setup(spark, sf, "D", capacity=20)
+    s, params = setup(spark, sf, "D", capacity=3)
     return replay_online(s, initialize(s, params), params).windows
 
 
@@ -559,8 +562,58 @@ def lstm_scores(spark, sf):
 
 @query
 def adaptation_report(spark, sf):
-    s, params = setup(spark, sf, "D", capacity=40)
+    s, params = setup(spark, sf, "D", capacity=3)
     return update_report(s, initialize(s, params), params)
 
 
-__all__ = ["QUERIES", "Params", "vector"]
+# ---- streams
+
+
+def run_to_end(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def streamed(spark, sf, by):
+    """The event table as a file stream, cut into count windows."""
+    home = scratch_path(spark, "stream")
+    schema = table(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = source.select(*by, "ts", "event_id", vector("value"), (F.col("value") > 200).alias("is_anomaly"))
+    sink = parquet_windows(f"{home}/windows")
+    run_to_end(count_windows_stream(rows, L, ["ts", "event_id"], f"{home}/state", sink, by=by), f"{home}/checkpoint")
+    windows = spark.read.parquet(f"{home}/windows").drop("is_anomaly")
+    steps = win.explode_windows(windows, "xs", "flags", by=by)
+    return steps.select(*by, "w", "step", F.col("xs")[0].alias("value"), F.col("flags").alias("is_anomaly"))
+
+
+@query
+def stream_windows(spark, sf):
+    return streamed(spark, sf, [])
+
+
+@query
+def stream_keyed_windows(spark, sf):
+    return streamed(spark, sf, ["user_id"])
+
+
+def online_stream(spark, sf, stream, adapt, **changes):
+    """Initialization in batch, the rest of the stream as a continuous query."""
+    home = scratch_path(spark, "stream")
+    s, params = setup(spark, sf, stream, **changes)
+    model = initialize(s, params)
+    rest = save(index.read_online(s, params.init_rows), "online-rows")
+    path = urlsplit(rest.inputFiles()[0]).path.rsplit("/", 1)[0]
+    source = spark.readStream.schema(rest.schema).parquet(path)
+    writer = stream_online(source, model, params, ["idx"], f"{home}/run", f"{home}/decisions", adapt)
+    run_to_end(writer, f"{home}/checkpoint")
+    return spark.read.parquet(f"{home}/decisions").drop("micro")
+
+
+@query
+def stream_scores(spark, sf):
+    return online_stream(spark, sf, "U", False).select(*DECISION)
+
+
+@query
+def stream_adaptive(spark, sf):
+    return online_stream(spark, sf, "D", True, capacity=3)

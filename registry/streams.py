@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.scratch import save
 from tidewatch.models.base import Model, reconstruction_errors, score
 from tidewatch.models.profile import Profile
 from tidewatch.operators.errors import error_rows, fit_error_model
@@ -101,10 +100,3 @@ def tidy(df: DataFrame) -> DataFrame:
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)
         columns.append(c.alias(field.name))
     return df.select(*columns)
-
-
-def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["save"]

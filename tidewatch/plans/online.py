@@ -10,9 +10,11 @@ is the same as handling one batch after the other.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scratch import save, scratch_path
@@ -28,6 +30,8 @@ from tidewatch.sources.models import save_model, write_run_log
 
 # Up to this many batches (one row each) are summed up in one task.
 ONE_TASK_BATCHES = 1 << 20
+DECISION = ["w", "batch", "is_anomaly", "score_max", "n_over", "flagged"]
+DECISION_SCHEMA = "w long, batch long, is_anomaly boolean, score_max double, n_over int, flagged boolean"
 
 
 @dataclass
@@ -38,6 +42,16 @@ class Buffered:
     anomalous: int = 0
 
 
+@dataclass(frozen=True)
+class Advance:
+    """Where a run over some batches ended."""
+
+    segments: list[tuple[int, int, int, int]]  # stretch, version, first batch, last batch
+    versions: list[Model]
+    buffered: Buffered
+    since: int  # first batch of the present version
+
+
 @dataclass(frozen=True)
 class Replay:
     """Committed window results and the versions that made them."""
@@ -128,59 +142,101 @@ def update_model(
     )
 
 
-def replay_online(
-    series: DataFrame,
+def advance(
+    windows: DataFrame,
+    begin: int,
+    last: int,
     model: Model,
     params: Params,
+    results: str,
     adapt: bool = True,
-    root: str | None = None,
-    log: str | None = None,
-    run: str = "online",
-) -> Replay:
-    """Score the rows after initialization, updating the model on the way if ``adapt``."""
-    started = time.time()
-    spark = series.sparkSession
-    windows = save(online_windows(series, params), "online-windows")
-    last = windows.agg(F.max("batch")).first()[0]
-    results = scratch_path(spark, "scored")
+    buffered: Buffered | None = None,
+    stored: DataFrame | None = None,
+    on_update: Callable[[Model], None] = lambda model: None,
+) -> Advance:
+    """Decide batches ``begin..last`` of a window table, moving to new versions where they are due.
+
+    Decisions are written under ``results``, one folder per stretch.  ``buffered`` and
+    ``stored`` are the counts and the rows buffered earlier under the present version.
+    """
+    spark = windows.sparkSession
     segments: list[tuple[int, int, int, int]] = []
-    versions, buffered = [model], Buffered()
-    begin, since, stretch = 0, 0, params.look_ahead
-    kept = ["w", "batch", "is_anomaly", "score_max", "n_over", "flagged"]
-    while last is not None and begin <= last:
+    versions, buffered = [model], buffered or Buffered()
+    since, stretch = begin, params.look_ahead
+    while begin <= last:
         end = min(begin + stretch - 1, last) if adapt else last
-        part = windows.filter(F.col("batch").between(begin, end))
         path = f"{results}/stretch={len(segments)}"
-        decide(part, model, params).select(*kept).write.parquet(path)
+        part = windows.filter(F.col("batch").between(begin, end))
+        decide(part, model, params).select(*DECISION).write.mode("overwrite").parquet(path)
         cut = None
         if adapt:
-            decided = route_window(spark.read.parquet(path))
+            decided = route_window(spark.read.schema(DECISION_SCHEMA).parquet(path))
             cut, buffered = first_due(decided, params, buffered, end - begin + 1)
         segments.append((len(segments), model.version, begin, end if cut is None else cut))
         if cut is None:
             begin, stretch = end + 1, stretch * 2
             continue
         # The buffers are the windows of this version's batches; they are derived, not stored.
-        mine = decide(windows.filter(F.col("batch").between(since, cut)), model, params, keep_errors=True)
+        mine = buffer_rows(windows.filter(F.col("batch").between(since, cut)), model, params)
+        if stored is not None:
+            mine = stored.unionByName(mine)
         model = update_model(
             model, mine.filter("to_norm_buf"), mine.filter("to_norm_err"), mine.filter("to_anom_err"), params
         )
         versions.append(model)
-        if root:
-            save_model(spark, model, root, params)
-        begin, since, stretch, buffered = cut + 1, cut + 1, params.look_ahead, Buffered()
-    committed = spark.createDataFrame(segments, "stretch int, version int, first long, last long")
-    if segments:
-        # one row per stretch: updates plus doublings
-        table = spark.read.option("basePath", results).parquet(results)
-        windows_out = table.join(F.broadcast(committed), "stretch").filter(F.col("batch") <= F.col("last"))
-        windows_out = windows_out.select("w", "batch", "version", *kept[2:])
-    else:
-        empty = "w long, batch long, version int, is_anomaly boolean, score_max double, n_over int, flagged boolean"
-        windows_out = spark.createDataFrame([], empty)
-    replay = Replay(windows_out, segments, versions)
+        on_update(model)
+        begin = since = cut + 1
+        stretch, buffered, stored = params.look_ahead, Buffered(), None
+    return Advance(segments, versions, buffered, since)
+
+
+def buffer_rows(windows: DataFrame, model: Model, params: Params) -> DataFrame:
+    """Scaled windows with their errors and the buffers they enter."""
+    decided = decide(windows, model, params, keep_errors=True)
+    return decided.select("w", "xs", "errs", "flags", "is_anomaly", "to_norm_buf", "to_norm_err", "to_anom_err")
+
+
+def committed(spark: SparkSession, results: str, segments: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Decisions up to the end of every stretch; what was scored beyond an update is left out."""
+    if not segments:
+        return spark.createDataFrame([], DECISION_SCHEMA).withColumn("version", F.lit(0))
+    rows = list(zip(*segments))
+    table = pa.table(
+        {
+            "stretch": pa.array(rows[0], pa.int32()),
+            "version": pa.array(rows[1], pa.int32()),
+            "last": pa.array(rows[3], pa.int64()),
+        }
+    )
+    decided = spark.read.schema(f"{DECISION_SCHEMA}, stretch int").option("basePath", results).parquet(results)
+    # one row per stretch: updates plus doublings
+    joined = decided.join(F.broadcast(spark.createDataFrame(table)), "stretch")
+    return joined.filter(F.col("batch") <= F.col("last")).select(*DECISION, "version")
+
+
+def replay_online(
+    series: DataFrame,
+    model: Model,
+    params: Params,
+    adapt: bool = True,
+    root: str | None = None,
+    log: str | None = None,
+    run: str = "online",
+) -> Replay:
+    """Score the rows after initialization, updating the model on the way if ``adapt``."""
+    started = time.time()
+    spark = series.sparkSession
+    n = count_rows(series)
+    batches = max(n - params.init_rows, 0) // (params.length * params.per_batch)
+    windows = online_windows(series, params, n)
+    if adapt:
+        windows = save(windows, "online-windows")
+    results = scratch_path(spark, "decisions")
+    store = (lambda m: save_model(spark, m, root, params)) if root else (lambda m: None)
+    done = advance(windows, 0, batches - 1, model, params, results, adapt, on_update=store)
+    replay = Replay(committed(spark, results, done.segments), done.segments, done.versions)
     if log:
-        rows = [("updates", replay.updates), ("batches", 0 if last is None else last + 1), ("auc", replay.auc())]
+        rows = [("updates", replay.updates), ("batches", batches), ("auc", replay.auc())]
         write_run_log(spark, rows + [("seconds", time.time() - started)], log, run)
     return replay
 
