@@ -61,58 +61,61 @@ def flagged(spark, sf, stream):
 @query
 def with_index(spark, sf):
     rows, order = raw_stream(spark, sf, "U")
-    return index.with_index(rows.select(*order), order).select("idx", "event_id")
+    return index.with_index(rows.select(*order), order, keep=["event_id"])
 
 
 @query
 def with_index_lineitem(spark, sf):
     rows, order = raw_stream(spark, sf, "M")
-    return index.with_index(rows.select(*order), order).drop("l_shipdate")
+    return index.with_index(rows.select(*order), order, keep=order[1:])
 
 
 def events_index(spark, sf):
-    return series(spark, sf, "U").select("idx", "event_id")
+    return series(spark, sf, "U", ("event_id",))
 
 
 @query
 def downsample(spark, sf):
-    return index.downsample(events_index(spark, sf), 8)
+    return index.downsample(events_index(spark, sf)[0], 8)
 
 
 @query
 def slice_rows(spark, sf):
-    return index.slice_rows(events_index(spark, sf), 60, -36)
+    s, n = events_index(spark, sf)
+    return index.slice_rows(s, 60, -36, n)
 
 
 @query
 def trim_to_multiple(spark, sf):
-    return index.trim_to_multiple(events_index(spark, sf), L * B)
+    s, n = events_index(spark, sf)
+    return index.trim_to_multiple(s, L * B, n)
 
 
 @query
 def read_init(spark, sf):
-    s = events_index(spark, sf)
-    return index.read_init(s, init_rows(index.count_rows(s)))
+    s, n = events_index(spark, sf)
+    return index.read_init(s, init_rows(n))
 
 
 @query
 def read_online(spark, sf):
-    s = events_index(spark, sf)
-    return index.read_online(s, init_rows(index.count_rows(s)))
+    s, n = events_index(spark, sf)
+    return index.read_online(s, init_rows(n))
 
 
 @query
 def zip_columns(spark, sf):
     events = table(spark, sf, "events")
     order = ["ts", "event_id"]
-    views = index.with_index(events.filter("event_type = 'view'").select(*order, "value"), order).drop(*order)
-    clicks = index.with_index(events.filter("event_type = 'click'").select(*order, "user_id"), order).drop(*order)
+    views = index.with_index(events.filter("event_type = 'view'").select(*order, "value"), order, keep=["value"])
+    clicks = index.with_index(events.filter("event_type = 'click'").select(*order, "user_id"), order, keep=["user_id"])
     return index.zip_columns(views, clicks)
 
 
 @query
 def ordered_union(spark, sf):
-    return series(spark, sf, "D").select("idx", "src_ord", "event_id", F.col("x")[0].alias("value"))
+    rows, _ = series(spark, sf, "D", ("event_id", "x"))
+    return rows.select("idx", "src_ord", "event_id", F.col("x")[0].alias("value"))
 
 
 # ---- columns and labels
@@ -121,7 +124,7 @@ def ordered_union(spark, sf):
 @query
 def filter_eq(spark, sf):
     rows = project.filter_eq(table(spark, sf, "events"), "event_type", "view").select("ts", "event_id")
-    return index.with_index(rows, ["ts", "event_id"]).select("idx", "event_id")
+    return index.with_index(rows, ["ts", "event_id"], keep=["event_id"])
 
 
 @query
@@ -161,20 +164,25 @@ def minority_as_anomaly(spark, sf):
 # ---- windows
 
 
+def indexed_windows(spark, sf, stream, keep):
+    s, n = series(spark, sf, stream, keep)
+    return win.assign_windows(s, L, n)
+
+
 @query
 def assign_windows(spark, sf):
-    return win.assign_windows(series(spark, sf, "U").select("idx"), L)
+    return indexed_windows(spark, sf, "U", ())
 
 
 @query
 def assign_batches(spark, sf):
-    rows = win.assign_windows(series(spark, sf, "U").select("idx", "is_anomaly"), L)
+    rows = indexed_windows(spark, sf, "U", ("is_anomaly",))
     return win.assign_batches(win.window_label(rows).select("w"), B)
 
 
 @query
 def collect_windows(spark, sf):
-    rows = win.assign_windows(series(spark, sf, "M").select("idx", "x", "is_anomaly"), L)
+    rows = indexed_windows(spark, sf, "M", ("x", "is_anomaly",))
     windows = win.collect_windows(rows, L).withColumnRenamed("is_anomaly", "win_anomaly")
     return spread(win.explode_windows(windows, "xs", "flags"), "xs", 4).withColumnRenamed("flags", "is_anomaly")
 
@@ -187,7 +195,9 @@ def spread(rows: DataFrame, column: str, width: int) -> DataFrame:
 @query
 def keyed_windows(spark, sf):
     rows, order = raw_stream(spark, sf, "U")
-    keyed = index.with_index(rows.select(*order, "user_id", "x", "is_anomaly"), order, by=["user_id"], total="n")
+    keyed = index.with_index(
+        rows.select(*order, "user_id", "x", "is_anomaly"), order, by=["user_id"], total="n", keep=["x", "is_anomaly"]
+    )
     windows = win.collect_windows(win.assign_windows(keyed, L, "n"), L, by=["user_id"]).drop("is_anomaly")
     steps = win.explode_windows(windows, "xs", "flags", by=["user_id"])
     return steps.select("user_id", "w", "step", F.col("xs")[0].alias("value"), F.col("flags").alias("is_anomaly"))
@@ -195,18 +205,18 @@ def keyed_windows(spark, sf):
 
 @query
 def window_label(spark, sf):
-    return win.window_label(win.assign_windows(series(spark, sf, "M").select("idx", "is_anomaly"), L))
+    return win.window_label(indexed_windows(spark, sf, "M", ("is_anomaly",)))
 
 
 @query
 def partition_normal_anomalous(spark, sf):
-    rows = win.assign_windows(series(spark, sf, "U").select("idx", "is_anomaly"), L)
+    rows = indexed_windows(spark, sf, "U", ("is_anomaly",))
     return win.partition_normal_anomalous(rows).select("idx", "win_anomaly")
 
 
 @query
 def attach_expert_labels(spark, sf):
-    rows = win.assign_windows(series(spark, sf, "U").select("idx", "event_type", "is_anomaly"), L)
+    rows = indexed_windows(spark, sf, "U", ("event_type", "is_anomaly",))
     verdicts = rows.filter("event_type = 'error'").select("w").distinct().withColumn("is_anomaly", F.lit(True))
     return win.attach_expert_labels(win.window_label(rows).drop("anomalous_rows"), verdicts)
 
@@ -216,14 +226,14 @@ def attach_expert_labels(spark, sf):
 
 @query
 def minmax_global(spark, sf):
-    s = series(spark, sf, "M")
-    rows = win.assign_windows(scale.minmax_global(s.select("idx", "x"), 4), L).drop("idx")
+    s, n = series(spark, sf, "M", ("x",))
+    rows = win.assign_windows(scale.minmax_global(s, 4), L, n).drop("idx")
     return spread(rows, "x", 4)
 
 
 @query
 def minmax_window(spark, sf):
-    rows = win.assign_windows(series(spark, sf, "M").select("idx", "x", "is_anomaly"), L)
+    rows = indexed_windows(spark, sf, "M", ("x", "is_anomaly",))
     scaled = scale.minmax_window(win.collect_windows(rows, L), 4)
     return spread(win.explode_windows(scaled, "xs"), "xs", 4)
 
@@ -480,8 +490,9 @@ def check_nulls(spark, sf):
 @query
 def prepare_power_series(spark, sf):
     events = table(spark, sf, "events").select("ts", "event_id", "value", "event_type")
-    data = index.with_index(events, ["ts", "event_id"]).select("idx", "value")
-    backwards = index.with_index(events, [F.desc("ts"), "event_id"]).select("idx", F.col("event_type").alias("label"))
+    data = index.with_index(events, ["ts", "event_id"], keep=["value"])
+    backwards = index.with_index(events, [F.desc("ts"), "event_id"], keep=["event_type"])
+    backwards = backwards.withColumnRenamed("event_type", "label")
     return prepare_power(data, index.slice_rows(index.downsample(backwards, 8), 60, -36))
 
 
@@ -511,14 +522,21 @@ QUERIES["prepare_forest"] = QUERIES.pop("prepare_forest_series")
 
 
 def setup(spark, sf, stream, **changes):
-    s = series(spark, sf, stream).select("idx", "x", "is_anomaly")
-    params = whole(stream, init_rows(index.count_rows(s))).but(**changes)
-    return s, params
+    """The series, its length, and parameters that initialize on 60 % of it."""
+    s, n = series(spark, sf, stream)
+    return s, n, whole(stream, init_rows(n)).but(**changes)
+
+
+def a_few_updates(spark, sf, stream):
+    """As ``setup``, with a buffer that fills several times on the way."""
+    s, n, params = setup(spark, sf, stream)
+    batches = (n - params.init_rows) // (L * B)
+    return s, n, params.but(capacity=max(2, batches // 8))
 
 
 def fixed_replay(spark, sf, stream):
-    s, params = setup(spark, sf, stream)
-    return replay_online(s, initialize(s, params), params, adapt=False).windows
+    s, n, params = setup(spark, sf, stream)
+    return replay_online(s, initialize(s, params, n=n), params, adapt=False, n=n).windows
 
 
 @query
@@ -538,15 +556,15 @@ def replay_fixed_auc(spark, sf):
 
 @query
 def replay_adaptive(spark, sf):
-    s, params = setup(spark, sf, "D", capacity=3)
-    return replay_online(s, initialize(s, params), params).windows
+    s, n, params = a_few_updates(spark, sf, "D")
+    return replay_online(s, initialize(s, params, n=n), params, n=n).windows
 
 
 def model_scores(spark, sf, stream, **changes):
-    s = series(spark, sf, stream).select("idx", "x", "is_anomaly")
-    params = whole(stream, index.count_rows(s)).but(**changes)
-    model = initialize(s, params)
-    windows = init_windows(s, params, params.init_rows, model.bounds)
+    s, n = series(spark, sf, stream)
+    params = whole(stream, n).but(**changes)
+    model = initialize(s, params, n=n)
+    windows = init_windows(s, params, n, model.bounds)
     return errors.score_windows(score(windows, model)).select("w", "is_anomaly", "score_max")
 
 
@@ -562,8 +580,8 @@ def lstm_scores(spark, sf):
 
 @query
 def adaptation_report(spark, sf):
-    s, params = setup(spark, sf, "D", capacity=3)
-    return update_report(s, initialize(s, params), params)
+    s, n, params = a_few_updates(spark, sf, "D")
+    return update_report(s, initialize(s, params, n=n), params, n)
 
 
 # ---- streams
@@ -596,11 +614,11 @@ def stream_keyed_windows(spark, sf):
     return streamed(spark, sf, ["user_id"])
 
 
-def online_stream(spark, sf, stream, adapt, **changes):
+def online_stream(spark, sf, stream, adapt):
     """Initialization in batch, the rest of the stream as a continuous query."""
     home = scratch_path(spark, "stream")
-    s, params = setup(spark, sf, stream, **changes)
-    model = initialize(s, params)
+    s, n, params = a_few_updates(spark, sf, stream)
+    model = initialize(s, params, n=n)
     rest = save(index.read_online(s, params.init_rows), "online-rows")
     path = urlsplit(rest.inputFiles()[0]).path.rsplit("/", 1)[0]
     source = spark.readStream.schema(rest.schema).parquet(path)
@@ -616,4 +634,4 @@ def stream_scores(spark, sf):
 
 @query
 def stream_adaptive(spark, sf):
-    return online_stream(spark, sf, "D", True, capacity=3)
+    return online_stream(spark, sf, "D", True)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidewatch.models.base import Model, reconstruction_errors, score
 from tidewatch.models.profile import Profile
 from tidewatch.operators.errors import error_rows, fit_error_model
-from tidewatch.operators.index import count_rows, ordered_union, with_index
+from tidewatch.operators.index import index_and_count, ordered_union
 from tidewatch.operators.labels import minority_as_anomaly
 from tidewatch.operators.project import filter_eq
 from tidewatch.operators.split import Split, fit_split
@@ -48,19 +48,22 @@ def raw_stream(spark: SparkSession, sf: str, stream: str) -> tuple[DataFrame, li
     raise ValueError(stream)
 
 
-def series(spark: SparkSession, sf: str, stream: str) -> DataFrame:
-    """The stream with ``idx``."""
+def series(
+    spark: SparkSession, sf: str, stream: str, keep: tuple[str, ...] = ("x", "is_anomaly")
+) -> tuple[DataFrame, int]:
+    """The stream with ``idx``, and its number of rows."""
     rows, order = raw_stream(spark, sf, stream)
     if stream == "D":
-        return drifting(rows, order)
-    return with_index(rows, order)
+        return drifting(rows, order, keep)
+    return index_and_count(rows, order, keep=keep)
 
 
-def drifting(rows: DataFrame, order: list[str]) -> DataFrame:
+def drifting(rows: DataFrame, order: list[str], keep: tuple[str, ...]) -> tuple[DataFrame, int]:
     """Views, then clicks at twice the value; labels still follow the plain value."""
-    views = with_index(filter_eq(rows, "event_type", "view"), order)
-    clicks = with_index(filter_eq(rows, "event_type", "click"), order)
-    return ordered_union(views, clicks.withColumn("x", F.transform("x", lambda v: v * 2)))
+    views, n = index_and_count(filter_eq(rows, "event_type", "view"), order, keep=keep)
+    clicks, m = index_and_count(filter_eq(rows, "event_type", "click"), order, keep=keep)
+    doubled = clicks.withColumn("x", F.transform("x", lambda v: v * 2))
+    return ordered_union(views, doubled, sizes=[n, m]), n + m
 
 
 def whole(stream: str, n: int, **changes) -> Params:
@@ -69,8 +72,7 @@ def whole(stream: str, n: int, **changes) -> Params:
 
 
 def windows_of(spark: SparkSession, sf: str, stream: str) -> tuple[DataFrame, Split]:
-    s = series(spark, sf, stream)
-    n = count_rows(s)
+    s, n = series(spark, sf, stream)
     windows = init_windows(s, whole(stream, n), n)
     return windows, fit_split(windows)
 

@@ -12,9 +12,13 @@ from tidewatch.functions.scratch import save
 _POSITION_MASK = (1 << 33) - 1
 
 
-def sorted_table(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
+def sorted_table(
+    df: DataFrame, keys: Sequence[Column | str], name: str, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Globally sorted copy of ``df`` with ``_pid`` (range partition) and ``_pos`` (row in it).
 
+    ``keep`` names the columns to store; the others only serve the sort.
+
     The row hash and the arrival number end the sort key, so equal keys and even exact
     copies spread over partitions instead of piling up in one.  The sort is written out:
     range bounds come from a sample, and the numbers must not change between reads.
@@ -31,7 +35,7 @@ def sorted_table(df: DataFrame, keys: Sequence[Column | str], name: str) -> Data
         tagged.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .select(
-            *columns,
+            *(columns if keep is None else keep),
             F.spark_partition_id().alias("_pid"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias("_pos"),
         )
@@ -67,7 +71,7 @@ def running_totals(
 
 
 def order_statistics(
-    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], buckets: int = 1024
+    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], buckets: int = 1 << 16
 ) -> tuple[dict[tuple[object, int], float], dict[object, tuple[int, float, float]]]:
     """Exact k-th smallest values (0-based) of several pools, without sorting or collecting them.
 
@@ -76,8 +80,8 @@ def order_statistics(
 
     Every round counts the rows of the still open range of each wanted rank in equal-width
     buckets and keeps the bucket that holds the rank, narrowed to the values found in it.
-    A rank is done when its range holds a single value.  At most ``buckets`` rows per rank
-    reach the driver in a round.
+    A rank is done when its range holds a single value.  Counts are combined before the
+    shuffle, at most ``buckets`` of them per rank, and one row per rank reaches the driver.
     """
     limits = {
         r["_p"]: (r["n"], r["lo"], r["hi"])
@@ -105,19 +109,17 @@ def order_statistics(
             bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
             inside = (F.col(pool) == F.lit(key[0])) & v.between(lo, hi)
             slots.append(F.when(inside, F.struct(F.lit(i).alias("t"), bucket.cast("long").alias("b"))))
+        wanted = F.element_at(F.array(*[F.lit(todo[key][2]).cast("long") for key in open_keys]), F.col("t") + 1)
         counted = (
-            df.select(v.alias("_v"), F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("_s"))
+            df.select(v.alias("_v"), F.explode(F.array_compact(F.array(*slots))).alias("_s"))
             .groupBy("_s.t", "_s.b")
             .agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .collect()
+            .withColumn("below", F.sum("n").over(Window.partitionBy("t").orderBy("b")) - F.col("n"))
+            .filter((F.col("below") <= wanted) & (wanted < F.col("below") + F.col("n")))
         )
-        for i, key in enumerate(open_keys):
-            rank = todo[key][2]
-            for row in sorted((r for r in counted if r["t"] == i), key=lambda r: r["b"]):
-                if rank < row["n"]:
-                    todo[key] = (row["lo"], row["hi"], rank)
-                    break
-                rank -= row["n"]
+        for row in counted.collect():
+            key = open_keys[row["t"]]
+            todo[key] = (row["lo"], row["hi"], todo[key][2] - row["below"])
 
 
 def medians(df: DataFrame, value: str, pool: str) -> dict[object, float]:

@@ -37,10 +37,6 @@ def rescaled(value: str, low: str, high: str) -> str:
     return f"coalesce(try_divide({value} - {low}, {high} - {low}), 0D)"
 
 
-def abs_difference(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda u, v: F.abs(u - v))
-
-
 def quadratic_score(e: str, mu: Sequence[float], weight: Sequence[Sequence[float]]) -> str:
     """sqrt((e-mu)' W (e-mu)) with the symmetric matrix W written out as literals."""
     d = len(mu)

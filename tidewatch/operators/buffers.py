@@ -19,8 +19,8 @@ def route_window(windows: DataFrame) -> DataFrame:
         {
             "to_anom_buf": F.col("is_anomaly"),
             "to_anom_err": F.col("is_anomaly"),
-            "to_norm_buf": F.col("flagged") & ~F.col("is_anomaly"),
-            "to_norm_err": ~F.col("is_anomaly"),
+            "to_norm_buf": F.expr("flagged AND NOT is_anomaly"),
+            "to_norm_err": F.expr("NOT is_anomaly"),
         }
     )
 

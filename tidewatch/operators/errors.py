@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.arrow import list_column, matrix, tensor, with_columns
-from tidewatch.functions.vectors import UNROLL_LIMIT, abs_difference, quadratic_score
+from tidewatch.functions.vectors import UNROLL_LIMIT, number, quadratic_score
 
 
 @dataclass(frozen=True)
@@ -33,16 +33,13 @@ class ErrorModel:
 
 def abs_error(windows: DataFrame) -> DataFrame:
     """``errs``: |x - xhat| per step and feature."""
-    return windows.withColumn("errs", F.zip_with("xs", "xhat", abs_difference))
+    return windows.withColumn("errs", F.expr("zip_with(xs, xhat, (a, b) -> zip_with(a, b, (u, v) -> abs(u - v)))"))
 
 
 def mse(windows: DataFrame) -> DataFrame:
     """Mean squared reconstruction error over all cells."""
-    squared = F.flatten(F.zip_with("xs", "xhat", lambda a, b: F.zip_with(a, b, lambda u, v: (u - v) * (u - v))))
-    per_window = windows.select(
-        F.aggregate(squared, F.lit(0.0), lambda s, v: s + v).alias("s"), F.size(squared).alias("n")
-    )
-    return per_window.agg((F.sum("s") / F.sum("n")).alias("mse"))
+    squared = F.expr("flatten(zip_with(xs, xhat, (a, b) -> zip_with(a, b, (u, v) -> (u - v) * (u - v))))")
+    return windows.select(F.explode(squared).alias("e2")).agg(F.avg("e2").alias("mse"))
 
 
 def error_rows(windows: DataFrame) -> DataFrame:
@@ -167,5 +164,6 @@ def score_windows(windows: DataFrame) -> DataFrame:
 
 def flag_windows(windows: DataFrame, threshold: float, hard: int) -> DataFrame:
     """``flagged``: at least ``hard`` points score above the threshold."""
-    over = F.size(F.filter("scores", lambda s: s > F.lit(float(threshold))))
-    return windows.withColumn("n_over", over).withColumn("flagged", F.col("n_over") >= hard)
+    return windows.withColumn("n_over", F.expr(f"size(filter(scores, s -> s > {number(threshold)}))")).withColumn(
+        "flagged", F.col("n_over") >= hard
+    )

@@ -21,27 +21,42 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
 
 
+def index_and_count(
+    df: DataFrame, order_by: Sequence[Column | str], idx: str = "idx", keep: Sequence[str] | None = None
+) -> tuple[DataFrame, int]:
+    """Dense 0-based position in the order of ``order_by``, and the number of rows.
+
+    One range shuffle on the whole sort key, so a hot timestamp does not end up in one task.
+    Positions are completed from one count per range partition.  ``keep`` names the columns
+    to store; others only serve the sort.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c != idx]
+    table = sorted_table(df, order_by, "indexed", keep)
+    sizes = partition_sizes(table)
+    placed = _place(table, sizes).select(*keep, (F.col("_pos") + F.col("_shift")).alias(idx))
+    return placed, sum(sizes.values())
+
+
 def with_index(
     df: DataFrame,
     order_by: Sequence[Column | str],
     by: Sequence[str] = (),
     idx: str = "idx",
     total: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Dense 0-based position in the order of ``order_by``, counted per stream if ``by`` is given.
+    """Dense 0-based position, counted per stream if ``by`` is given.
 
-    One range shuffle on the whole sort key, so neither a hot stream nor a hot timestamp
-    ends up in one task.  Positions are completed from one count per range partition and
-    stream.  ``total`` names an optional column with the number of rows of the stream.
+    Streams are sorted together, so a hot one is spread over many range partitions; positions
+    are completed from one count per range partition and stream.  ``total`` names an optional
+    column with the number of rows of the stream.
     """
     by = list(by)
-    table = sorted_table(df, [*by, *order_by], "indexed")
-    extra = [F.col("_total").alias(total)] if total else []
-    kept = [c for c in df.columns if c not in (idx, total)]
     if not by:
-        return _place(table, partition_sizes(table)).select(
-            *kept, (F.col("_pos") + F.col("_shift")).alias(idx), *extra
-        )
+        placed, n = index_and_count(df, order_by, idx, keep)
+        return placed.withColumn(total, F.lit(n).cast("long")) if total else placed
+    kept = [c for c in dict.fromkeys([*by, *(df.columns if keep is None else keep)]) if c not in (idx, total)]
+    table = sorted_table(df, [*by, *order_by], "indexed", kept)
     runs = table.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
@@ -55,8 +70,10 @@ def with_index(
     match = F.col("_pid") == F.col("_rp")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    joined = table.join(broadcast_if_small(right), match)
-    return joined.select(*kept, (F.col("_pos") + F.col("_shift")).alias(idx), *extra)
+    extra = [F.col("_total").alias(total)] if total else []
+    return table.join(broadcast_if_small(right), match).select(
+        *kept, (F.col("_pos") + F.col("_shift")).alias(idx), *extra
+    )
 
 
 def partition_sizes(table: DataFrame) -> dict[int, int]:
@@ -65,16 +82,10 @@ def partition_sizes(table: DataFrame) -> dict[int, int]:
 
 
 def _place(table: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """Add ``_shift`` (rows in earlier partitions) and ``_total`` from one row per partition."""
+    """Add ``_shift``, the rows in earlier partitions: one row per range partition is broadcast."""
     pids = sorted(sizes)
-    before = list(accumulate((sizes[p] for p in pids), initial=0))
-    offsets = pa.table(
-        {
-            "_pid": pa.array(pids, pa.int32()),
-            "_shift": pa.array(before[:-1], pa.int64()),
-            "_total": pa.array([before[-1]] * len(pids), pa.int64()),
-        }
-    )
+    before = list(accumulate((sizes[p] for p in pids), initial=0))[:-1]
+    offsets = pa.table({"_pid": pa.array(pids, pa.int32()), "_shift": pa.array(before, pa.int64())})
     return table.join(F.broadcast(table.sparkSession.createDataFrame(offsets)), "_pid")
 
 
@@ -133,14 +144,19 @@ def zip_columns(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
     return a.join(b, idx, "full_outer")
 
 
-def ordered_union(*parts: DataFrame, idx: str = "idx", source: str = "src_ord") -> DataFrame:
-    """The series one after the other, with one running position.  No shuffle."""
+def ordered_union(
+    *parts: DataFrame, idx: str = "idx", source: str = "src_ord", sizes: Sequence[int] | None = None
+) -> DataFrame:
+    """The series one after the other, with one running position.  No shuffle.
+
+    ``sizes`` are the lengths of the parts, if they are known.
+    """
     result, offset = None, 0
     for i, part in enumerate(parts):
         shifted = part.withColumn(source, F.lit(i)).withColumn(idx, F.col(idx) + F.lit(offset).cast("long"))
         result = shifted if result is None else result.unionByName(shifted)
         if i + 1 < len(parts):
-            offset += count_rows(part, idx)
+            offset += count_rows(part, idx) if sizes is None else sizes[i]
     return result
 
 

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.index import count_rows, with_index
+from tidewatch.operators.index import index_and_count
 
 
 def shuffle_batches(windows: DataFrame, per_batch: int, seed: int = 0) -> DataFrame:
     """Seeded random order of the windows in full batches; the remainder is left out."""
-    ranked = with_index(windows, [F.xxhash64(F.col("w"), F.lit(seed)), "w"], idx="rank")
-    return _full_batches(ranked, F.col("rank"), per_batch, count_rows(ranked, "rank"))
+    ranked, n = index_and_count(windows, [F.xxhash64(F.col("w"), F.lit(seed)), "w"], "rank")
+    return _full_batches(ranked, F.col("rank"), per_batch, n)
 
 
 def reverse_batches(windows: DataFrame, per_batch: int, full_only: bool = True) -> DataFrame:
     """Batches taken from the last window backwards; the remainder at the front is left out."""
-    ranked = with_index(windows, ["w"], idx="rank")
-    n = count_rows(ranked, "rank")
+    ranked, n = index_and_count(windows, ["w"], "rank")
     return _full_batches(ranked, F.lit(n - 1) - F.col("rank"), per_batch, n, full_only)
 
 
 def arrival_batches(windows: DataFrame, per_batch: int, full_only: bool = True) -> DataFrame:
     """Batches in stream order; the remainder at the end is left out."""
-    ranked = with_index(windows, ["w"], idx="rank")
-    return _full_batches(ranked, F.col("rank"), per_batch, count_rows(ranked, "rank"), full_only)
+    ranked, n = index_and_count(windows, ["w"], "rank")
+    return _full_batches(ranked, F.col("rank"), per_batch, n, full_only)
 
 
 def _full_batches(ranked: DataFrame, place, per_batch: int, n: int, full_only: bool = True) -> DataFrame:

@@ -48,13 +48,18 @@ def calibrate(windows: DataFrame, split: Split, reconstructor, params: Params) -
 
 
 def initialize(
-    series: DataFrame, params: Params, root: str | None = None, log: str | None = None, run: str = "init"
+    series: DataFrame,
+    params: Params,
+    root: str | None = None,
+    log: str | None = None,
+    run: str = "init",
+    n: int | None = None,
 ) -> Model:
-    """Fit a model on the first rows of an indexed series (idx, x, is_anomaly)."""
+    """Fit a model on the first rows of an indexed series (idx, x, is_anomaly) of ``n`` rows."""
     started = time.time()
     spark = series.sparkSession
     bounds = inspect(read_init(series, params.init_rows), params.width)
-    n = count_rows(series)
+    n = count_rows(series) if n is None else n
     windows = init_windows(series, params, n, bounds)
     split = fit_split(windows)
     notes = require_nonempty(split, params.per_batch, params.init_rows, n, params.length, params.capacity)

@@ -22,7 +22,7 @@ from tidewatch.models.base import Model, reconstruction_errors, score
 from tidewatch.operators.buffers import buffer_train_val, route_window, update_due
 from tidewatch.operators.errors import ErrorModel, error_rows, fit_error_model, flag_windows, score_points, score_windows
 from tidewatch.operators.evaluate import auc
-from tidewatch.operators.index import count_rows, read_online, with_index
+from tidewatch.operators.index import count_rows, index_and_count, read_online
 from tidewatch.operators.threshold import point_pools, search_threshold
 from tidewatch.operators.windows import assign_batches, assign_windows, collect_windows
 from tidewatch.plans.params import Params
@@ -86,21 +86,26 @@ def decide(windows: DataFrame, model: Model, params: Params, keep_errors: bool =
 def first_due(
     decided: DataFrame, params: Params, buffered: Buffered, batches: int
 ) -> tuple[int | None, Buffered]:
-    """First of ``batches`` batches after which an update is due, and the fill after the last one."""
+    """First of ``batches`` batches after which an update is due, and the fill then (or at the end)."""
     marked = update_due(
         decided, params.per_batch, params.capacity, buffered.normal, buffered.anomalous,
         one_task=batches <= ONE_TASK_BATCHES,
     )
     row = marked.agg(
         F.expr("min(batch) FILTER (WHERE due) AS cut"),
-        F.max("normal_fill").alias("normal"),
-        F.max("anomalous_fill").alias("anomalous"),
+        F.expr("coalesce(min(normal_fill) FILTER (WHERE due), max(normal_fill)) AS normal"),
+        F.expr("coalesce(min(anomalous_fill) FILTER (WHERE due), max(anomalous_fill)) AS anomalous"),
     ).first()
     return row["cut"], Buffered(row["normal"], row["anomalous"])
 
 
 def update_model(
-    model: Model, normal_buffer: DataFrame, normal_errors: DataFrame, anomalous: DataFrame, params: Params
+    model: Model,
+    normal_buffer: DataFrame,
+    normal_errors: DataFrame,
+    anomalous: DataFrame,
+    params: Params,
+    buffered: Buffered,
 ) -> Model:
     """Next version: refit on buffered false alarms, and replace mu and sigma.
 
@@ -109,8 +114,7 @@ def update_model(
     expert-anomalous windows since the last update.
     """
     # the scaled windows are written here, so the epochs below do not score them again
-    ranked = with_index(normal_buffer.select("w", "xs"), ["w"], idx="rank")
-    n = count_rows(ranked, "rank")
+    ranked, n = index_and_count(normal_buffer.select("w", "xs"), ["w"], "rank")
     roles = buffer_train_val(ranked, params.per_batch, n=n)
     train = roles.filter(F.col("role") == "train") if n // params.per_batch > 1 else roles
     reconstructor = model.reconstructor.refit(
@@ -131,7 +135,7 @@ def update_model(
     if params.refresh_threshold:
         scored = score_points(normal_errors.unionByName(anomalous), fitted, params.metric)
         threshold = search_threshold(
-            point_pools(scored, F.col("is_anomaly")), anomalous.count() < params.per_batch, params.beta, params.objective
+            point_pools(scored, F.col("is_anomaly")), buffered.anomalous < params.per_batch, params.beta, params.objective
         )
     return Model(
         reconstructor,
@@ -181,7 +185,7 @@ def advance(
         if stored is not None:
             mine = stored.unionByName(mine)
         model = update_model(
-            model, mine.filter("to_norm_buf"), mine.filter("to_norm_err"), mine.filter("to_anom_err"), params
+            model, mine.filter("to_norm_buf"), mine.filter("to_norm_err"), mine.filter("to_anom_err"), params, buffered
         )
         versions.append(model)
         on_update(model)
@@ -222,11 +226,12 @@ def replay_online(
     root: str | None = None,
     log: str | None = None,
     run: str = "online",
+    n: int | None = None,
 ) -> Replay:
     """Score the rows after initialization, updating the model on the way if ``adapt``."""
     started = time.time()
     spark = series.sparkSession
-    n = count_rows(series)
+    n = count_rows(series) if n is None else n
     batches = max(n - params.init_rows, 0) // (params.length * params.per_batch)
     windows = online_windows(series, params, n)
     if adapt:
@@ -241,9 +246,9 @@ def replay_online(
     return replay
 
 
-def update_report(series: DataFrame, model: Model, params: Params) -> DataFrame:
+def update_report(series: DataFrame, model: Model, params: Params, n: int | None = None) -> DataFrame:
     """AUC without and with updating, and the number of updates, one row."""
-    fixed = replay_online(series, model, params, adapt=False)
-    adapted = replay_online(series, model, params, adapt=True)
+    fixed = replay_online(series, model, params, adapt=False, n=n)
+    adapted = replay_online(series, model, params, adapt=True, n=n)
     row = [(fixed.auc(), adapted.auc(), adapted.updates)]
     return series.sparkSession.createDataFrame(row, "auc_without double, auc_with double, updates int")

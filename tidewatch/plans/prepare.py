@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.index import downsample, ordered_union, slice_rows, with_index, zip_columns
+from tidewatch.operators.index import downsample, index_and_count, ordered_union, slice_rows, zip_columns
 from tidewatch.operators.labels import canonical_label, minority_as_anomaly
 from tidewatch.operators.project import filter_eq, select_kinds, select_ordinals, to_vector
 from tidewatch.sources.series import spread_vector, write_series
@@ -31,11 +31,12 @@ def prepare_services(
 ) -> dict[str, DataFrame]:
     """Numeric columns and label of every service, re-indexed, and all of them one after the other."""
     column = [c for c in raw.columns if c != "idx"][service]
-    parts = {}
+    parts, sizes = {}, []
     for value in services:
         rows = select_kinds(filter_eq(raw, column, value), kinds, also=["idx"])
-        parts[value] = with_index(rows, ["idx"])
-    parts["".join(services)] = ordered_union(*parts.values()).drop("src_ord")
+        parts[value], n = index_and_count(rows, ["idx"])
+        sizes.append(n)
+    parts["".join(services)] = ordered_union(*parts.values(), sizes=sizes).drop("src_ord")
     return parts
 
 
