@@ -50,7 +50,11 @@ def test_index_spreads_copies(spark):
     assert [k for _, k in got] == sorted(k for _, k in got)
     from tidewatch.functions.ordering import sorted_table
 
-    table = sorted_table(df, ["k"], "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = sorted_table(df, ["k"], "t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert table.filter("k = 5000").select("_pid").distinct().count() > 1
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.scratch import save
 
 _POSITION_MASK = (1 << 33) - 1
+# Buckets per rank while more rows than FEW_ROWS are open, and after that.
+FEW_BUCKETS, MANY_BUCKETS, FEW_ROWS = 1 << 10, 1 << 16, 1 << 21
 
 
 def sorted_table(
@@ -20,11 +22,10 @@ def sorted_table(
     ``keep`` names the columns to store; the others only serve the sort.
 
     The row hash and the arrival number end the sort key, so equal keys and even exact
-    copies spread over partitions instead of piling up in one.  The sort is written out:
-    range bounds come from a sample, and the numbers must not change between reads.
+    copies spread over partitions instead of piling up in one.  The number of partitions is
+    that of shuffles, less what adaptive execution merges.  The sort is written out: range
+    bounds come from a sample, and the numbers must not change between reads.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
     tagged = df.withColumn("_tie", F.xxhash64(*columns)).withColumn(
@@ -32,7 +33,7 @@ def sorted_table(
     )
     order = [*keys, F.col("_tie"), F.col("_arrival")]
     ranged = (
-        tagged.repartitionByRange(parts, *order)
+        tagged.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
             *(columns if keep is None else keep),
@@ -71,7 +72,7 @@ def running_totals(
 
 
 def order_statistics(
-    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], buckets: int = 1 << 16
+    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], buckets: int | None = None
 ) -> tuple[dict[tuple[object, int], float], dict[object, tuple[int, float, float]]]:
     """Exact k-th smallest values (0-based) of several pools, without sorting or collecting them.
 
@@ -81,7 +82,8 @@ def order_statistics(
     Every round counts the rows of the still open range of each wanted rank in equal-width
     buckets and keeps the bucket that holds the rank, narrowed to the values found in it.
     A rank is done when its range holds a single value.  Counts are combined before the
-    shuffle, at most ``buckets`` of them per rank, and one row per rank reaches the driver.
+    shuffle, at most ``buckets`` of them per rank and task, and one row per rank reaches the
+    driver.  By default buckets are few while many rows are open, and many at the end.
     """
     limits = {
         r["_p"]: (r["n"], r["lo"], r["hi"])
@@ -90,23 +92,25 @@ def order_statistics(
         .collect()
     }
     found: dict[tuple[object, int], float] = {}
-    todo: dict[tuple[object, int], tuple[float, float, int]] = {}
+    todo: dict[tuple[object, int], tuple[float, float, int, int]] = {}
     for p, (n, lo, hi) in limits.items():
         for rank in ranks_of(p, n):
             if not 0 <= rank < n:
                 raise ValueError(f"pool {p!r} has no value of rank {rank}")
-            todo[p, rank] = (lo, hi, rank)
+            todo[p, rank] = (lo, hi, rank, n)
     v = F.col(value)
     while True:
-        for key in [k for k, (lo, hi, _) in todo.items() if lo == hi]:
+        for key in [k for k, (lo, hi, *_) in todo.items() if lo == hi]:
             found[key] = todo.pop(key)[0]
         if not todo:
             return found, limits
         open_keys = list(todo)
+        rows_open = sum(n for *_, n in todo.values())
+        parts = buckets or (MANY_BUCKETS if rows_open <= FEW_ROWS else FEW_BUCKETS)
         slots = []
         for i, key in enumerate(open_keys):
-            lo, hi, _ = todo[key]
-            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
+            lo, hi, *_ = todo[key]
+            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * parts), F.lit(parts - 1))
             inside = (F.col(pool) == F.lit(key[0])) & v.between(lo, hi)
             slots.append(F.when(inside, F.struct(F.lit(i).alias("t"), bucket.cast("long").alias("b"))))
         wanted = F.element_at(F.array(*[F.lit(todo[key][2]).cast("long") for key in open_keys]), F.col("t") + 1)
@@ -119,7 +123,7 @@ def order_statistics(
         )
         for row in counted.collect():
             key = open_keys[row["t"]]
-            todo[key] = (row["lo"], row["hi"], todo[key][2] - row["below"])
+            todo[key] = (row["lo"], row["hi"], todo[key][2] - row["below"], row["n"])
 
 
 def medians(df: DataFrame, value: str, pool: str) -> dict[object, float]:

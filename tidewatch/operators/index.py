@@ -18,7 +18,7 @@ BROADCAST_ROWS = 500_000
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``limit`` rows."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def index_and_count(

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewatch.operators.index import downsample, index_and_count, ordered_union, slice_rows, zip_columns
 from tidewatch.operators.labels import canonical_label, minority_as_anomaly
 from tidewatch.operators.project import filter_eq, select_kinds, select_ordinals, to_vector
-from tidewatch.sources.series import spread_vector, write_series
+from tidewatch.sources.series import write_series
 
 # fixed values: sampling rate and kept range of the power series, service ordinal and names,
 # feature ordinals and target class of the forest table
@@ -58,7 +57,6 @@ def canonical_series(df: DataFrame, features: Sequence[str] | None = None) -> Da
 def store_series(df: DataFrame, path: str, source: str = "parquet") -> None:
     """Keep a prepared series: Parquet sorted by ``idx`` (prunes by row range), or headerless CSV."""
     if source == "csv":
-        write_series(spread_vector(df, 0) if "x" in df.columns else df, path)
+        write_series(df, path)
         return
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, F.col("idx")).sortWithinPartitions("idx").write.parquet(path)
+    df.repartitionByRange("idx").sortWithinPartitions("idx").write.parquet(path)

@@ -63,10 +63,8 @@ def read_column_kinds(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 def write_series(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists") -> None:
     """Headerless CSV files whose name order is the row order.  ``x`` is written as one column per feature."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = columns or [c for c in df.columns if c != "idx"]
-    ordered = df.repartitionByRange(parts, "idx").sortWithinPartitions("idx")
+    ordered = df.repartitionByRange("idx").sortWithinPartitions("idx")
     ordered.select(*columns).write.mode(mode).csv(path, header=False)
 
 
