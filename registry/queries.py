@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -619,9 +618,9 @@ def online_stream(spark, sf, stream, adapt):
     home = scratch_path(spark, "stream")
     s, n, params = a_few_updates(spark, sf, stream)
     model = initialize(s, params, n=n)
-    rest = save(index.read_online(s, params.init_rows), "online-rows")
-    path = urlsplit(rest.inputFiles()[0]).path.rsplit("/", 1)[0]
-    source = spark.readStream.schema(rest.schema).parquet(path)
+    rest = index.read_online(s, params.init_rows)
+    rest.write.parquet(f"{home}/rows")
+    source = spark.readStream.schema(rest.schema).parquet(f"{home}/rows")
     writer = stream_online(source, model, params, ["idx"], f"{home}/run", f"{home}/decisions", adapt)
     run_to_end(writer, f"{home}/checkpoint")
     return spark.read.parquet(f"{home}/decisions").drop("micro")

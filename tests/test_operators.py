@@ -137,6 +137,13 @@ def test_order_statistics(spark, values):
     assert limits["p"] == (len(values), min(values), max(values))
 
 
+@pytest.mark.parametrize("odd", [float("nan"), float("inf")])
+def test_order_statistics_need_finite_values(spark, odd):
+    df = spark.createDataFrame([("p", 1.0), ("p", odd)], "pool string, v double")
+    with pytest.raises(ValueError, match="not finite"):
+        order_statistics(df, "v", "pool", lambda _, n: [0])
+
+
 def test_median_with_a_third_ties(spark):
     df = spark.range(3001).select(
         F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.rand(3)).alias("v"), (F.col("id") % 2).cast("string").alias("p")

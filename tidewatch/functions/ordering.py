@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,24 +20,24 @@ def sorted_table(
 ) -> DataFrame:
     """Globally sorted copy of ``df`` with ``_pid`` (range partition) and ``_pos`` (row in it).
 
-    ``keep`` names the columns to store; the others only serve the sort.
+    ``keep`` names the columns to store; the others only serve the sort.  Rows that agree in
+    key and stored columns are interchangeable, so nothing else has to be read.
 
     The row hash and the arrival number end the sort key, so equal keys and even exact
     copies spread over partitions instead of piling up in one.  The number of partitions is
     that of shuffles, less what adaptive execution merges.  The sort is written out: range
     bounds come from a sample, and the numbers must not change between reads.
     """
-    columns = df.columns
+    columns = df.columns if keep is None else list(keep)
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    tagged = df.withColumn("_tie", F.xxhash64(*columns)).withColumn(
-        "_arrival", F.monotonically_increasing_id()
-    )
+    tie = F.xxhash64(*columns) if columns else F.lit(0)
+    tagged = df.withColumns({"_tie": tie, "_arrival": F.monotonically_increasing_id()})
     order = [*keys, F.col("_tie"), F.col("_arrival")]
     ranged = (
         tagged.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
-            *(columns if keep is None else keep),
+            *columns,
             F.spark_partition_id().alias("_pid"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias("_pos"),
         )
@@ -94,6 +95,8 @@ def order_statistics(
     found: dict[tuple[object, int], float] = {}
     todo: dict[tuple[object, int], tuple[float, float, int, int]] = {}
     for p, (n, lo, hi) in limits.items():
+        if n and not math.isfinite(hi - lo):
+            raise ValueError(f"pool {p!r} has values that are not finite")
         for rank in ranks_of(p, n):
             if not 0 <= rank < n:
                 raise ValueError(f"pool {p!r} has no value of rank {rank}")

@@ -24,12 +24,16 @@ def assign_batches(df: DataFrame, per_batch: int, w: str = "w") -> DataFrame:
     )
 
 
-def collect_windows(df: DataFrame, length: int, by: Sequence[str] = ()) -> DataFrame:
+def collect_windows(df: DataFrame, length: int, by: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """One row per full window: ``xs`` (vectors in step order), ``flags`` (row labels), ``is_anomaly``.
 
     A window never has more than ``length`` rows, and windows have equal size, so the
-    shuffle on the window number is even however rows spread over streams.
+    shuffle on the window number is even however rows spread over streams.  ``ordered`` makes
+    that one shuffle by range: a table written from it is read by window interval without
+    touching other files.
     """
+    if ordered:
+        df = df.repartitionByRange(*by, "w")
     return (
         df.groupBy(*by, "w")
         .agg(

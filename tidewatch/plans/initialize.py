@@ -27,7 +27,7 @@ def init_windows(series: DataFrame, params: Params, n: int | None = None, bounds
     n = min(count_rows(series) if n is None else n, params.init_rows)
     if params.scale_init == "global":
         init = minmax_global(init, params.width, bounds=bounds)
-    windows = collect_windows(assign_windows(init, params.length, n), params.length)
+    windows = collect_windows(assign_windows(init, params.length, n), params.length, ordered=True)
     if params.scale_init == "window":
         windows = minmax_window(windows, params.width)
     return save(windows, "init-windows")

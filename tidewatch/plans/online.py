@@ -68,13 +68,13 @@ class Replay:
         return auc(self.windows).first()["auc"]
 
 
-def online_windows(series: DataFrame, params: Params, n: int | None = None) -> DataFrame:
+def online_windows(series: DataFrame, params: Params, n: int | None = None, ordered: bool = False) -> DataFrame:
     """Batched windows of the rows after initialization; the tail that fills no batch is dropped."""
     rest = read_online(series, params.init_rows)
     n = max((count_rows(series) if n is None else n) - params.init_rows, 0)
     batch_rows = params.length * params.per_batch
     kept = assign_windows(rest, params.length, n // batch_rows * batch_rows)
-    return assign_batches(collect_windows(kept, params.length), params.per_batch)
+    return assign_batches(collect_windows(kept, params.length, ordered=ordered), params.per_batch)
 
 
 def decide(windows: DataFrame, model: Model, params: Params, keep_errors: bool = False) -> DataFrame:
@@ -233,8 +233,9 @@ def replay_online(
     spark = series.sparkSession
     n = count_rows(series) if n is None else n
     batches = max(n - params.init_rows, 0) // (params.length * params.per_batch)
-    windows = online_windows(series, params, n)
+    windows = online_windows(series, params, n, ordered=adapt)
     if adapt:
+        # in the order of windows: every stretch reads its own part of the table
         windows = save(windows, "online-windows")
     results = scratch_path(spark, "decisions")
     store = (lambda m: save_model(spark, m, root, params)) if root else (lambda m: None)
