@@ -17,7 +17,7 @@ from registry.queries import QUERIES  # noqa: E402
 HEADLINES = [
     "with_index_lineitem", "keyed_windows", "collect_windows", "minmax_window", "split_subsets", "profile_model",
     "fit_sigma_multivariate", "score_points_univariate", "score_points_multivariate", "score_points_wide",
-    "flag_windows", "evaluate_threshold", "update_due", "roc_curve", "auc_lineitem", "prepare_services",
+    "evaluate_threshold", "update_due", "roc_curve", "prepare_services",
     "replay_fixed_lineitem", "replay_adaptive", "pca_scores", "lstm_scores", "stream_windows",
 ]
 

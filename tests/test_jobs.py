@@ -178,7 +178,7 @@ CASES = [(1, 3, 6, 24, 2), (3, 5, 3, 3, 0), (3, 3, 8, 24, 2)]
 
 
 def settings(d, hard, capacity, **changes):
-    return Params(6, 4, 2, d, 1800, hard, capacity, kind="profile", look_ahead=4, **changes)
+    return Params(6, 4, 2, d, 1800, hard, capacity, kind="profile", look_ahead=8, **changes)
 
 
 @pytest.mark.parametrize("d, hard, capacity, anomalies, updates", CASES)

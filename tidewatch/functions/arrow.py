@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+VECTOR_TYPE = T.ArrayType(T.DoubleType())
+MATRIX_TYPE = T.ArrayType(VECTOR_TYPE)
 
 
 def tensor(column: pa.ChunkedArray | pa.Array, length: int, width: int) -> np.ndarray:
@@ -31,6 +38,34 @@ def nested_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), list_column(values.reshape(rows * length, width)))
 
 
+def map_windows(
+    windows: DataFrame, column: str, new: dict[str, T.DataType], compute: Callable[[pa.Array], dict[str, pa.Array]]
+) -> DataFrame:
+    """Replace or append the columns ``compute`` makes from one column, batch by batch."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield with_columns(batch, compute(batch.column(batch.schema.names.index(column))))
+
+    kept = [f for f in windows.schema if f.name not in new or f.name == column]
+    schema = T.StructType(kept + [T.StructField(n, t) for n, t in new.items() if n != column])
+    return windows.select(*[f.name for f in kept]).mapInArrow(run, schema)
+
+
+def minmax_tensor(x: np.ndarray) -> np.ndarray:
+    """Every window scaled by its own bounds per feature; a constant feature maps to 0."""
+    low = x.min(axis=1, keepdims=True)
+    span = x.max(axis=1, keepdims=True) - low
+    return np.divide(x - low, span, out=np.zeros_like(x), where=span != 0)
+
+
+def quadratic_scores(errs: np.ndarray, mu: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """sqrt((e-mu)' W (e-mu)) per step of every window."""
+    c = errs - mu
+    return np.sqrt(np.maximum(((c @ weight) * c).sum(axis=2), 0))
+
+
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     """Replace or append columns, keeping the order of the existing ones."""
     columns = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}

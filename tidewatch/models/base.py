@@ -10,15 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewatch.functions.arrow import list_column, nested_column, tensor, with_columns
-from tidewatch.functions.vectors import UNROLL_LIMIT
+from tidewatch.functions.arrow import (
+    MATRIX_TYPE, VECTOR_TYPE, list_column, map_windows, minmax_tensor, nested_column, quadratic_scores, tensor,
+)
+from tidewatch.functions.vectors import JVM_WIDTH
 from tidewatch.operators import errors, scale
 from tidewatch.operators.errors import ErrorModel
 
-MATRIX_TYPE = T.ArrayType(T.ArrayType(T.DoubleType()))
-
 
 class Reconstructor(Protocol):
     """A fitted model.  Its parameters are model-sized and travel with the job."""
@@ -56,20 +55,7 @@ class Model:
 
 
 def stays_in_jvm(model: Reconstructor) -> bool:
-    return model.width <= UNROLL_LIMIT and model.expression() is not None
-
-
-def _through_arrow(windows: DataFrame, new: dict[str, T.DataType], compute) -> DataFrame:
-    """Run ``compute(xs tensor) -> {name: arrow column}`` over Arrow batches of windows."""
-
-    def run(batches, compute=compute):
-        for batch in batches:
-            if batch.num_rows:
-                yield with_columns(batch, compute(batch.column(batch.schema.names.index("xs"))))
-
-    kept = [f for f in windows.schema if f.name not in new or f.name == "xs"]
-    schema = T.StructType(kept + [T.StructField(n, t) for n, t in new.items() if n != "xs"])
-    return windows.select(*[f.name for f in kept]).mapInArrow(run, schema)
+    return model.width <= JVM_WIDTH and model.expression() is not None
 
 
 def reconstruct(windows: DataFrame, model: Reconstructor) -> DataFrame:
@@ -81,7 +67,7 @@ def reconstruct(windows: DataFrame, model: Reconstructor) -> DataFrame:
     def compute(xs: pa.Array):
         return {"xhat": nested_column(kernel(tensor(xs, length, width)))}
 
-    return _through_arrow(windows, {"xhat": MATRIX_TYPE}, compute)
+    return map_windows(windows, "xs", {"xhat": MATRIX_TYPE}, compute)
 
 
 def reconstruction_errors(windows: DataFrame, model: Reconstructor) -> DataFrame:
@@ -94,7 +80,7 @@ def reconstruction_errors(windows: DataFrame, model: Reconstructor) -> DataFrame
         x = tensor(xs, length, width)
         return {"errs": nested_column(np.abs(x - kernel(x)))}
 
-    return _through_arrow(windows, {"errs": MATRIX_TYPE}, compute)
+    return map_windows(windows, "xs", {"errs": MATRIX_TYPE}, compute)
 
 
 def score(
@@ -113,22 +99,19 @@ def score(
         x = tensor(xs, length, width)
         out = {}
         if scale_window:
-            low = x.min(axis=1, keepdims=True)
-            span = x.max(axis=1, keepdims=True) - low
-            x = np.divide(x - low, span, out=np.zeros_like(x), where=span != 0)
+            x = minmax_tensor(x)
             out["xs"] = nested_column(x)
         errs = np.abs(x - kernel(x))
-        c = errs - mu
-        out["scores"] = list_column(np.sqrt(np.maximum(np.einsum("nti,ij,ntj->nt", c, weight, c, optimize=True), 0)))
+        out["scores"] = list_column(quadratic_scores(errs, mu, weight))
         if keep_errors:
             out["errs"] = nested_column(errs)
         return out
 
     new = {"xs": MATRIX_TYPE} if scale_window else {}
-    new["scores"] = T.ArrayType(T.DoubleType())
+    new["scores"] = VECTOR_TYPE
     if keep_errors:
         new["errs"] = MATRIX_TYPE
-    return _through_arrow(windows, new, compute)
+    return map_windows(windows, "xs", new, compute)
 
 
 def flat(values) -> np.ndarray:

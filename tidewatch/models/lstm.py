@@ -243,7 +243,7 @@ class Recurrent:
                     best, best_loss = weights, watched
                 idle = 0 if epoch > 0 and previous - watched > min_delta else idle + 1
                 previous = watched
-                if idle > patience:
+                if epoch > 0 and idle > patience:
                     if validation is not None:
                         weights = best
                     break

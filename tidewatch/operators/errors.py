@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewatch.functions.arrow import list_column, matrix, tensor, with_columns
-from tidewatch.functions.vectors import UNROLL_LIMIT, number, quadratic_score
+from tidewatch.functions.arrow import VECTOR_TYPE, list_column, map_windows, matrix, quadratic_scores, tensor
+from tidewatch.functions.vectors import JVM_WIDTH, UNROLL_LIMIT, number, quadratic_score
 
 
 @dataclass(frozen=True)
@@ -138,23 +137,15 @@ def _wide_error_model(errors: DataFrame, width: int) -> ErrorModel:
 def score_points(windows: DataFrame, model: ErrorModel, metric: str = "cov") -> DataFrame:
     """``scores``: one anomaly score per step of every window.  Narrow."""
     weight, mu = model.weight(metric), model.mu
-    width = len(mu)
-    if width <= UNROLL_LIMIT:
+    if len(mu) <= JVM_WIDTH:
         return windows.withColumn("scores", F.expr(f"transform(errs, e -> {quadratic_score('e', mu, weight)})"))
     centre, matrix_ = np.array(mu), np.array(weight)
 
-    def score(batches):
-        for batch in batches:
-            errs = batch.column(batch.schema.names.index("errs"))
-            if not len(errs):
-                continue
-            length = len(errs.flatten()) // len(errs)
-            c = tensor(errs, length, width) - centre
-            value = np.sqrt(np.maximum(np.einsum("nti,ij,ntj->nt", c, matrix_, c, optimize=True), 0))
-            yield with_columns(batch, {"scores": list_column(value)})
+    def compute(errs: pa.Array):
+        length = len(errs.flatten()) // len(errs)
+        return {"scores": list_column(quadratic_scores(tensor(errs, length, len(centre)), centre, matrix_))}
 
-    schema = T.StructType([f for f in windows.schema if f.name != "scores"])
-    return windows.drop("scores").mapInArrow(score, schema.add("scores", T.ArrayType(T.DoubleType())))
+    return map_windows(windows, "errs", {"scores": VECTOR_TYPE}, compute)
 
 
 def score_windows(windows: DataFrame) -> DataFrame:

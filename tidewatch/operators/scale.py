@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.vectors import number, rescaled
+from tidewatch.functions.arrow import MATRIX_TYPE, map_windows, minmax_tensor, nested_column, tensor
+from tidewatch.functions.vectors import JVM_WIDTH, number, rescaled
 
 
 def bounds_of(width: int, vector: str = "x") -> list[Column]:
@@ -35,6 +37,13 @@ def minmax_global(df: DataFrame, width: int, vector: str = "x", bounds=None) ->
 
 def minmax_window(windows: DataFrame, width: int, vector: str = "xs") -> DataFrame:
     """Scale every window by its own bounds.  Narrow: the window row holds all it needs."""
+    if width > JVM_WIDTH:
+
+        def compute(xs: pa.Array):
+            length = len(xs.flatten()) // len(xs)
+            return {vector: nested_column(minmax_tensor(tensor(xs, length, width)))}
+
+        return map_windows(windows, vector, {vector: MATRIX_TYPE}, compute)
 
     def per_feature(pick: str) -> Column:
         return F.expr(f"array({', '.join(f'{pick}(transform({vector}, r -> r[{j}]))' for j in range(width))})")
