@@ -5,18 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import encode_decode
 from tidewatch.llm.exact import exact_groups
+from tidewatch.llm.language import Languages, identify
+from tidewatch.llm.ngram import BigramModel, score_documents
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.simhash import simhash_groups
+from tidewatch.llm.toxicity import Toxicity, score_texts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def remainder(parts: int, id_column: str = "doc_id") -> Column:
+    """crc32 of the id as text modulo ``parts``; a null id counts as 1, so it is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(parts)), F.lit(1))
+
+
+def op1_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
+    model = Languages.fit(docs.filter(~F.col("held_out")))
+    return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_shares")
+
+
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    model = Toxicity.fit(docs.filter(~F.col("held_out")), table(spark, sf, "labels"))
+    return score_texts(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,11 +54,20 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_ngram(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", (remainder(10) == 0).alias("held_out"))
+    model = BigramModel.fit(docs.filter(~F.col("held_out")))
+    return score_documents(docs, model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op8_exact": op8_exact,
     "op9_packing": op9_packing,
+    "op10_ngram": op10_ngram,
 }
 
 SQL: dict[str, str] = {
