@@ -10,6 +10,7 @@ from tidewatch.functions.scratch import save, scratch_path
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests per bucket that the number of buckets is chosen for when an index is made.
 PER_BUCKET = 4_000_000
+COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch INT"
 
 
 def normal_text(text: str = "text") -> Column:
@@ -32,7 +33,7 @@ class DigestIndex:
 
     def _register(self) -> None:
         self.spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch INT) USING parquet "
+            f"CREATE TABLE {self.name} ({COLUMNS}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -78,7 +79,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         index = DigestIndex(spark, path, "digest_index_" + path[-32:])
     index.add(digests)
     # Read by path and not by bucket, so that both sides are shuffled and a hot digest can be split.
-    known = spark.read.parquet(index.path).select("digest", "keep_id", "group_size")
+    known = spark.read.schema(COLUMNS).parquet(index.path).select("digest", "keep_id", "group_size")
     return digests.join(known, "digest").select(
         F.col("doc_id").alias(id_column),
         "keep_id",

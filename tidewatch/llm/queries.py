@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from tidewatch.llm.bpe import encode_decode
 from tidewatch.llm.exact import exact_groups
 from tidewatch.llm.language import Languages, identify
+from tidewatch.llm.license import scan_licenses
+from tidewatch.llm.metric import vector_groups
 from tidewatch.llm.ngram import BigramModel, score_documents
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.toxicity import Toxicity, score_texts
+from tidewatch.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,10 +45,22 @@ def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_pages(table(spark, sf, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
+def op7_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_groups(table(spark, sf, "embeddings"))
+
+
 def op8_exact(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
 
@@ -64,13 +79,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_license": op4_license,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_vectors": op7_vectors,
     "op8_exact": op8_exact,
     "op9_packing": op9_packing,
     "op10_ngram": op10_ngram,
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), marked AS (
+            SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads
+        ), firsts AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM marked WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM marked LEFT JOIN firsts USING (payload_digest)
+    """,
     "op8_exact": """
         WITH normal AS (
             SELECT doc_id,
