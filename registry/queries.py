@@ -24,6 +24,8 @@ from tidewatch.streaming.online import stream_online
 from tidewatch.streaming.windows import count_windows_stream, parquet_windows
 
 L, B = LENGTH, PER_BATCH
+# batches of false alarms that make an update due in the adaptive runs
+CAPACITY = 2
 QUERIES: dict[str, object] = {}
 
 
@@ -529,8 +531,7 @@ def setup(spark, sf, stream, **changes):
 def a_few_updates(spark, sf, stream):
     """As ``setup``, with a buffer that fills several times on the way."""
     s, n, params = setup(spark, sf, stream)
-    batches = (n - params.init_rows) // (L * B)
-    return s, n, params.but(capacity=max(2, batches // 8))
+    return s, n, params.but(capacity=CAPACITY)
 
 
 def fixed_replay(spark, sf, stream):
@@ -574,7 +575,12 @@ def pca_scores(spark, sf):
 
 @query
 def lstm_scores(spark, sf):
-    return model_scores(spark, sf, "U", kind="lstm", hidden=8, max_epochs=3)
+    return model_scores(spark, sf, "U", kind="lstm", hidden=8)
+
+
+@query
+def lstm_scores_lineitem(spark, sf):
+    return model_scores(spark, sf, "M", kind="lstm", hidden=8)
 
 
 @query

@@ -132,11 +132,31 @@ def test_zip_and_union(spark):
 @given(st.lists(st.sampled_from([-1e9, -2.5, 0.0, 1e-12, 1.0, 1.0 + 1e-12, 3.0, 7e8]) | st.floats(-100, 100), min_size=1, max_size=60))
 def test_order_statistics(spark, values):
     df = spark.createDataFrame([("p", v) for v in values], "pool string, v double")
-    got, limits = order_statistics(df, "v", "pool", lambda _, n: range(n), buckets=4)
-    assert [got["p", i] for i in range(len(values))] == sorted(values)
+    ranks = sorted({0, len(values) // 3, len(values) // 2, len(values) - 1})
+    got, limits = order_statistics(df, "v", "pool", lambda _, n: ranks, few=4)
+    assert [got["p", i] for i in ranks] == [sorted(values)[i] for i in ranks]
     assert limits["p"] == (len(values), min(values), max(values))
 
 
+def test_order_statistics_take_few_scans_whatever_the_spread(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([10 ** rng.uniform(-300, 300, 15_000), np.full(5_000, 2.5)]).tolist()
+    df = spark.createDataFrame([("p", v) for v in values], "pool string, v double")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("order statistics", "")
+    got, _ = order_statistics(df, "v", "pool", lambda _, n: [n // 2, n // 2 - 1, 17])
+    scans = len(jobs.getJobIdsForGroup("order statistics"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [got["p", k] for k in (10_000, 9_999, 17)] == [sorted(values)[k] for k in (10_000, 9_999, 17)]
+    assert scans <= 10  # two jobs, before and behind the exchange, for each of five scans
+
+
+def test_order_statistics_refuse_values_of_no_pool(spark):
+    df = spark.createDataFrame([("p", 1.0), (None, 2.0)], "pool string, v double")
+    with pytest.raises(ValueError, match="no pool"):
+        order_statistics(df, "v", "pool", lambda _, n: [0])
+
+
 @pytest.mark.parametrize("odd", [float("nan"), float("inf")])
 def test_order_statistics_need_finite_values(spark, odd):
     df = spark.createDataFrame([("p", 1.0), ("p", odd)], "pool string, v double")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -13,15 +14,44 @@ VECTOR_TYPE = T.ArrayType(T.DoubleType())
 MATRIX_TYPE = T.ArrayType(VECTOR_TYPE)
 
 
+class BadRow(ValueError):
+    """A row that is not a full list of numbers; ``row`` is its place in the column."""
+
+    def __init__(self, row: int, reason: str):
+        super().__init__(f"row {row} {reason}")
+        self.row, self.reason = row, reason
+
+
+def _of_length(column: pa.Array, length: int, what: str, per_row: int = 1) -> pa.Array:
+    """The values of a list column, all of whose lists must have ``length`` of them."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(sizes != length)
+    if len(wrong):
+        raise BadRow(int(wrong[0]) // per_row, f"does not have {length} {what}")
+    return column.flatten()
+
+
+def _numbers(flat: pa.Array, per_row: int) -> np.ndarray:
+    """Values without null or NaN."""
+    values = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count or np.isnan(values.sum()):
+        wrong = np.flatnonzero(np.isnan(values))
+        if len(wrong):
+            raise BadRow(int(wrong[0]) // per_row, "has a null or NaN feature")
+    return values
+
+
 def tensor(column: pa.ChunkedArray | pa.Array, length: int, width: int) -> np.ndarray:
-    """``list<list<double>>`` column -> array of shape (rows, length, width)."""
-    flat = column.flatten().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, length, width)
+    """``list<list<double>>`` column -> array of shape (rows, length, width); ``BadRow`` if a row is not of that shape."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = _of_length(column, length, "steps")
+    return _numbers(_of_length(rows, width, "features", length), length * width).reshape(-1, length, width)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """``list<double>`` column -> array of shape (rows, width)."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """``list<double>`` column -> array of shape (rows, width); ``BadRow`` if a row is not of that shape."""
+    return _numbers(_of_length(column, width, "features"), width).reshape(-1, width)
 
 
 def list_column(values: np.ndarray) -> pa.Array:
@@ -46,7 +76,12 @@ def map_windows(
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield with_columns(batch, compute(batch.column(batch.schema.names.index(column))))
+                try:
+                    made = compute(batch.column(batch.schema.names.index(column)))
+                except BadRow as bad:
+                    where = f"window {batch.column('w')[bad.row].as_py()}" if "w" in batch.schema.names else f"row {bad.row}"
+                    raise ValueError(f"{where} {bad.reason}") from bad
+                yield with_columns(batch, made)
 
     kept = [f for f in windows.schema if f.name not in new or f.name == column]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in new.items() if n != column])

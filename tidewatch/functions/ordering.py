@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.scratch import save
 
 _POSITION_MASK = (1 << 33) - 1
-# Buckets per rank while more rows than FEW_ROWS are open, and after that.
-FEW_BUCKETS, MANY_BUCKETS, FEW_ROWS = 1 << 10, 1 << 16, 1 << 21
+# A rank's last FEW_ROWS rows are sorted on the driver; percentiles are exact to a share of 1 / ACCURACY.
+FEW_ROWS, ACCURACY = 4096, 10_000
 
 
 def sorted_table(
@@ -20,8 +21,8 @@ def sorted_table(
 ) -> DataFrame:
     """Globally sorted copy of ``df`` with ``_pid`` (range partition) and ``_pos`` (row in it).
 
-    ``keep`` names the columns to store; the others only serve the sort.  Rows that agree in
-    key and stored columns are interchangeable, so nothing else has to be read.
+    ``keep`` names the columns to store; the others only serve the sort.  Ties in the key are
+    broken by a hash of the whole row, so the order does not depend on what is stored.
 
     The row hash and the arrival number end the sort key, so equal keys and even exact
     copies spread over partitions instead of piling up in one.  The number of partitions is
@@ -30,7 +31,8 @@ def sorted_table(
     """
     columns = df.columns if keep is None else list(keep)
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    tie = F.xxhash64(*columns) if columns else F.lit(0)
+    hashed = [f.name for f in df.schema if not _has_map(f.dataType)]
+    tie = F.xxhash64(*hashed) if hashed else F.lit(0)
     tagged = df.withColumns({"_tie": tie, "_arrival": F.monotonically_increasing_id()})
     order = [*keys, F.col("_tie"), F.col("_arrival")]
     ranged = (
@@ -45,6 +47,13 @@ def sorted_table(
     return save(ranged, name)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    """Maps have no hash."""
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[Column | str], sums: dict[str, str], overall: dict[str, str] | None = None
 ) -> DataFrame:
@@ -73,18 +82,17 @@ def running_totals(
 
 
 def order_statistics(
-    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], buckets: int | None = None
+    df: DataFrame, value: str, pool: str, ranks_of: Callable[[object, int], Iterable[int]], few: int = FEW_ROWS
 ) -> tuple[dict[tuple[object, int], float], dict[object, tuple[int, float, float]]]:
     """Exact k-th smallest values (0-based) of several pools, without sorting or collecting them.
 
     ``ranks_of(pool, n)`` names the ranks wanted of a pool of ``n`` values.  Returns the values
     by (pool, rank), and count, smallest and largest value of every pool.
 
-    Every round counts the rows of the still open range of each wanted rank in equal-width
-    buckets and keeps the bucket that holds the rank, narrowed to the values found in it.
-    A rank is done when its range holds a single value.  Counts are combined before the
-    shuffle, at most ``buckets`` of them per rank and task, and one row per rank reaches the
-    driver.  By default buckets are few while many rows are open, and many at the end.
+    While more than ``few`` rows are open for a rank, a sketch of their ranks names two values
+    close to it on either side, and one scan counts the rows below, at, between and above them.  The
+    rank is one of the two, or between them, where at most a few in ``ACCURACY`` of the rows are
+    left, however the values are spread.  The last rows of every rank are brought to the driver.
     """
     limits = {
         r["_p"]: (r["n"], r["lo"], r["hi"])
@@ -93,8 +101,10 @@ def order_statistics(
         .collect()
     }
     found: dict[tuple[object, int], float] = {}
-    todo: dict[tuple[object, int], tuple[float, float, int, int]] = {}
+    todo: dict[tuple[object, int], tuple[float, float, int, int]] = {}  # bounds, rank between them, rows between them
     for p, (n, lo, hi) in limits.items():
+        if p is None and n:
+            raise ValueError(f"{n} values belong to no pool")
         if n and not math.isfinite(hi - lo):
             raise ValueError(f"pool {p!r} has values that are not finite")
         for rank in ranks_of(p, n):
@@ -105,28 +115,43 @@ def order_statistics(
     while True:
         for key in [k for k, (lo, hi, *_) in todo.items() if lo == hi]:
             found[key] = todo.pop(key)[0]
-        if not todo:
-            return found, limits
-        open_keys = list(todo)
-        rows_open = sum(n for *_, n in todo.values())
-        parts = buckets or (MANY_BUCKETS if rows_open <= FEW_ROWS else FEW_BUCKETS)
-        slots = []
-        for i, key in enumerate(open_keys):
-            lo, hi, *_ = todo[key]
-            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * parts), F.lit(parts - 1))
-            inside = (F.col(pool) == F.lit(key[0])) & v.between(lo, hi)
-            slots.append(F.when(inside, F.struct(F.lit(i).alias("t"), bucket.cast("long").alias("b"))))
-        wanted = F.element_at(F.array(*[F.lit(todo[key][2]).cast("long") for key in open_keys]), F.col("t") + 1)
-        counted = (
-            df.select(v.alias("_v"), F.explode(F.array_compact(F.array(*slots))).alias("_s"))
-            .groupBy("_s.t", "_s.b")
-            .agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .withColumn("below", F.sum("n").over(Window.partitionBy("t").orderBy("b")) - F.col("n"))
-            .filter((F.col("below") <= wanted) & (wanted < F.col("below") + F.col("n")))
-        )
-        for row in counted.collect():
-            key = open_keys[row["t"]]
-            todo[key] = (row["lo"], row["hi"], todo[key][2] - row["below"], row["n"])
+        wide = {k: s for k, s in todo.items() if s[3] > few}
+        if not wide:
+            break
+        inside = {k: (F.col(pool) == F.lit(k[0])) & v.between(s[0], s[1]) for k, s in wide.items()}
+        marks = []
+        for i, (key, (_, _, rank, n)) in enumerate(wide.items()):
+            near = [min(max(rank / n + side * 2 / ACCURACY, 0.0), 1.0) for side in (-1, 1)]
+            marks.append(F.percentile_approx(F.when(inside[key], v), near, ACCURACY).alias(f"m{i}"))
+        sketched = df.agg(*marks).first()
+        counts = []
+        for i, key in enumerate(wide):
+            a, b = sketched[f"m{i}"]
+            parts = {"below": v < a, "at_a": v == a, "between": (v > a) & (v < b), "at_b": (v == b) & F.lit(a != b), "above": v > b}
+            for name, part in parts.items():
+                held = F.when(inside[key] & part, v)
+                counts += [F.count(held).alias(f"{name}{i}"), F.min(held).alias(f"{name}{i}_lo"), F.max(held).alias(f"{name}{i}_hi")]
+        row = df.agg(*counts).first()
+        for i, (key, (_, _, rank, n)) in enumerate(wide.items()):
+            for name in ("below", "at_a", "between", "at_b", "above"):
+                size = row[f"{name}{i}"]
+                if rank < size:
+                    todo[key] = (row[f"{name}{i}_lo"], row[f"{name}{i}_hi"], rank, size)
+                    break
+                rank -= size
+            lo, hi, _, size = todo[key]
+            if size == n and lo != hi:
+                raise ValueError(f"rank {key[1]} of pool {key[0]!r} can't be narrowed")
+    if todo:
+        keys = list(todo)
+        inside = [(F.col(pool) == F.lit(k[0])) & v.between(todo[k][0], todo[k][1]) for k in keys]
+        marked = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)]))
+        open_: list[list[float]] = [[] for _ in keys]  # ``few`` values at most per rank
+        for r in df.select(v.alias("_v"), F.explode(marked).alias("_i")).collect():
+            open_[r["_i"]].append(r["_v"])
+        for key, values in zip(keys, open_, strict=True):
+            found[key] = sorted(values)[todo[key][2]]
+    return found, limits
 
 
 def medians(df: DataFrame, value: str, pool: str) -> dict[object, float]:

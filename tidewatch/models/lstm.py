@@ -6,7 +6,8 @@ step.  Both cells have peephole connections; the loss is the mean squared error.
 
 Fitting splits the batches over ``shards`` partitions.  In an epoch every shard walks
 through its batches with Adam, starting from the common state, and Spark averages the
-resulting states weighted by windows.  One shard is plain sequential training.
+resulting states weighted by windows.  One shard is plain sequential training.  The number
+of shards is a parameter: it never follows the data or the cluster, so neither do the weights.
 """
 
 from __future__ import annotations
@@ -186,6 +187,7 @@ class Recurrent:
     hidden: int
     numbers: np.ndarray
     history: tuple[tuple[int, float, float | None], ...] = ()
+    optimizer: np.ndarray | None = None  # Adam's two moments and its step count; None: not trained yet
     kind: str = "lstm"
 
     @classmethod
@@ -195,7 +197,7 @@ class Recurrent:
     @classmethod
     def fit(
         cls, windows: DataFrame, hidden: int, validation: DataFrame | None = None, per_batch: int = 8,
-        max_epochs: int = 6, patience: int = 20, min_delta: float = 1e-4, shards: int | None = None, seed: int = 0,
+        max_epochs: int = 6, patience: int = 20, min_delta: float = 1e-4, shards: int = 8, seed: int = 0,
         shape: tuple[int, int] | None = None, **_,
     ) -> "Recurrent":
         """Fit on normal windows, taken in batches from the last one backwards."""
@@ -205,9 +207,9 @@ class Recurrent:
 
     def refit(
         self, buffer: DataFrame, per_batch: int, max_epochs: int = 300, patience: int = 10, min_delta: float = 0.005,
-        shards: int | None = None, stop_metric: str = "last_batch", validation: DataFrame | None = None, **_,
+        shards: int = 1, stop_metric: str = "last_batch", validation: DataFrame | None = None, **_,
     ) -> "Recurrent":
-        """Continue from the present weights on buffered windows in arrival order."""
+        """Continue from the present weights and optimizer state on buffered windows in arrival order."""
         batches = arrival_batches(buffer.select("w", "xs"), per_batch, full_only=False)
         return self._train(
             batches, max_epochs, patience, min_delta, shards,
@@ -219,16 +221,14 @@ class Recurrent:
 
         With a validation set the weights of its best epoch are restored after an early stop.
         """
-        if shards is None:
-            count = batches.agg(F.max("batch")).first()[0] + 1
-            shards = max(1, min(batches.sparkSession.sparkContext.defaultParallelism, count // 32))
         train = (
             batches.repartitionById(shards, (F.col("batch") % shards).cast("int"))
             .sortWithinPartitions("batch", "pos")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
         size = len(self.numbers)
-        state = np.concatenate([self.numbers, np.zeros(2 * size + 3)])
+        moments = np.zeros(2 * size + 1) if self.optimizer is None else self.optimizer
+        state = np.concatenate([self.numbers, moments, np.zeros(2)])
         history, best, best_loss, previous, idle = [], self.numbers, math.inf, math.inf, 0
         try:
             for epoch in range(max_epochs):
@@ -249,7 +249,7 @@ class Recurrent:
                     break
         finally:
             train.unpersist()
-        return Recurrent(self.length, self.width, self.hidden, weights, tuple(history))
+        return Recurrent(self.length, self.width, self.hidden, weights, tuple(history), state[size:-2].copy())
 
     def validate(self, windows: DataFrame) -> float:
         """Mean squared error over all windows, without changing the weights."""
@@ -278,5 +278,7 @@ class Recurrent:
         return flat(self.numbers).tolist()
 
     @classmethod
-    def restore(cls, length: int, width: int, hidden: int, numbers: list[float]) -> "Recurrent":
-        return cls(length, width, hidden, flat(numbers))
+    def restore(
+        cls, length: int, width: int, hidden: int, numbers: list[float], optimizer: list[float] | None = None
+    ) -> "Recurrent":
+        return cls(length, width, hidden, flat(numbers), optimizer=None if optimizer is None else flat(optimizer))

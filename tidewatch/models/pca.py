@@ -5,18 +5,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.models.base import flat, window_width
+from tidewatch.operators.errors import moments
+
+# Cells of a window: the covariance of that many squared is held on the driver.
+MOST_CELLS = 4096
 
 
 @dataclass(frozen=True)
 class Linear:
-    """mean + (x - mean) P P' with the first ``hidden`` principal components P."""
+    """mean + (x - mean) P P' with the first ``hidden`` principal components P.
+
+    Mean and covariance of all cells come from one pass over the windows.
+    """
 
     length: int
     width: int
@@ -28,12 +32,12 @@ class Linear:
     @classmethod
     def fit(cls, windows: DataFrame, hidden: int, shape: tuple[int, int] | None = None, **_) -> "Linear":
         length, width = shape or window_width(windows)
-        flattened = windows.select(array_to_vector(F.flatten("xs")).alias("v")).persist()
-        try:
-            mean = flattened.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-            components = PCA(k=hidden, inputCol="v", outputCol="p").fit(flattened).pc.toArray()
-        finally:
-            flattened.unpersist()
+        cells = length * width
+        if not hidden <= cells <= MOST_CELLS:
+            raise ValueError(f"windows of {cells} cells: {hidden} to {MOST_CELLS} are possible")
+        mean, covariance = moments(windows.select(F.flatten("xs").alias("e")), cells)
+        # in order of rising variance
+        components = np.linalg.eigh(covariance)[1][:, ::-1][:, :hidden]
         return cls(length, width, hidden, mean, components)
 
     def refit(self, buffer: DataFrame, per_batch: int, **_) -> "Linear":

@@ -28,17 +28,36 @@ def check_dim(df: DataFrame, width: int, vector: str = "x") -> None:
         raise ValueError(f"{wrong} rows do not have {width} features")
 
 
+def guard_rows(df: DataFrame, width: int, position: str = "idx", vector: str = "x", label: str = "is_anomaly") -> DataFrame:
+    """The same rows; reading one with a wrong number of features, a null or NaN feature, or no label fails and names it.
+
+    Narrow and without a pass of its own, for rows that nothing has inspected.
+    """
+    features = f"""CASE WHEN coalesce(size({vector}), -1) != {int(width)} THEN 'does not have {int(width)} features'
+        WHEN exists({vector}, v -> v IS NULL OR isnan(v)) THEN 'has a null or NaN feature' END"""
+    named = F.concat(F.lit("row "), F.col(position).cast("string"), F.lit(" "))
+    reason = F.expr(features)
+    checked = {vector: F.when(reason.isNull(), F.col(vector)).otherwise(F.raise_error(F.concat(named, reason)))}
+    if label in df.columns:
+        missing = F.raise_error(F.concat(named, F.lit("has no label")))
+        checked[label] = F.when(F.col(label).isNotNull(), F.col(label)).otherwise(missing)
+    return df.withColumns(checked)
+
+
 def inspect(df: DataFrame, width: int, vector: str = "x") -> tuple[list[float], list[float]]:
     """All row checks and the bounds of every feature, in one pass over the series."""
     row = df.agg(
         F.expr(f"count_if(coalesce(size({vector}), -1) != {width}) AS wrong"),
         F.expr(f"count_if({vector} IS NULL OR exists({vector}, v -> v IS NULL OR isnan(v))) AS bad"),
+        F.expr("count_if(is_anomaly IS NULL) AS unlabelled" if "is_anomaly" in df.columns else "0 AS unlabelled"),
         *bounds_of(width, vector),
     ).first()
     if row["wrong"]:
         raise ValueError(f"{row['wrong']} rows do not have {width} features")
     if row["bad"]:
         raise ValueError(f"{row['bad']} rows have a null or NaN feature")
+    if row["unlabelled"]:
+        raise ValueError(f"{row['unlabelled']} rows have no label")
     return [row[f"lo{i}"] for i in range(width)], [row[f"hi{i}"] for i in range(width)]
 
 

@@ -64,7 +64,8 @@ def fit_error_model(errors: DataFrame, width: int) -> ErrorModel:
             raise ValueError("no error rows to fit an error model on")
         return ErrorModel([row["m"]], [[row["v"]]])
     if width > UNROLL_LIMIT:
-        return _wide_error_model(errors, width)
+        mu, sigma = moments(errors, width)
+        return ErrorModel(mu.tolist(), sigma.tolist())
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     row = errors.agg(
         *[F.expr(f"avg(e[{i}]) AS m{i}") for i in range(width)],
@@ -78,15 +79,15 @@ def fit_error_model(errors: DataFrame, width: int) -> ErrorModel:
     return ErrorModel([row[f"m{i}"] for i in range(width)], sigma.tolist())
 
 
-def _wide_error_model(errors: DataFrame, width: int) -> ErrorModel:
-    """Many features: every partition sends its count, means and centred cross products.
+def moments(errors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of many features (``e``): every partition sends its count, means and cross products.
 
     Cross products of partitions add up after a correction by their means, so Spark merges
     them per matrix cell; only the finished d x d matrix reaches the driver.
     """
     upper = np.triu_indices(width)
 
-    def moments(batches):
+    def parts(batches):
         n, mean, cross = 0, np.zeros(width), np.zeros((width, width))
         for batch in batches:
             x = matrix(batch.column(0), width)
@@ -115,7 +116,7 @@ def _wide_error_model(errors: DataFrame, width: int) -> ErrorModel:
     n, mi, mj = F.col("n"), F.col("mi"), F.col("mj")
     cells = (
         errors.select("e")
-        .mapInArrow(moments, "i int, j int, n double, mi double, mj double, c double")
+        .mapInArrow(parts, "i int, j int, n double, mi double, mj double, c double")
         .groupBy("i", "j")
         .agg(
             F.sum("n").alias("n"),
@@ -131,7 +132,7 @@ def _wide_error_model(errors: DataFrame, width: int) -> ErrorModel:
         sigma[r["i"], r["j"]] = sigma[r["j"], r["i"]] = r["c"] / (r["n"] - 1)
         if r["i"] == r["j"]:
             mu[r["i"]] = r["si"] / r["n"]
-    return ErrorModel(mu.tolist(), sigma.tolist())
+    return mu, sigma
 
 
 def score_points(windows: DataFrame, model: ErrorModel, metric: str = "cov") -> DataFrame:

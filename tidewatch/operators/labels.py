@@ -13,8 +13,8 @@ NORMAL_CLASS, ANOMALY_CLASS = "normal.", "anomaly."
 
 
 def canonical_label(df: DataFrame, normal_values: Sequence[str] = NORMAL_VALUES, label: str = "label") -> DataFrame:
-    """Add ``is_anomaly``: the label is none of the normal spellings."""
-    return df.withColumn("is_anomaly", ~F.col(label).isin(*normal_values))
+    """Add ``is_anomaly``: the label is none of the normal spellings; a missing label is none either."""
+    return df.withColumn("is_anomaly", F.coalesce(~F.col(label).isin(*normal_values), F.lit(True)))
 
 
 def smallest_class(df: DataFrame, label: str = "label") -> object:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 
 from pyspark.sql import DataFrame
 
@@ -63,6 +64,8 @@ def initialize(
     windows = init_windows(series, params, n, bounds)
     split = fit_split(windows)
     notes = require_nonempty(split, params.per_batch, params.init_rows, n, params.length, params.capacity)
+    for note in notes:
+        warnings.warn(note, stacklevel=2)
     reconstructor = KINDS[params.kind].fit(
         windows.filter(split.where("sn")),
         hidden=params.hidden,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model, reconstruction_errors, score
 from tidewatch.operators.buffers import buffer_train_val, route_window, update_due
+from tidewatch.operators.checks import guard_rows
 from tidewatch.operators.errors import ErrorModel, error_rows, fit_error_model, flag_windows, score_points, score_windows
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.index import count_rows, index_and_count, read_online
@@ -70,7 +71,7 @@ class Replay:
 
 def online_windows(series: DataFrame, params: Params, n: int | None = None, ordered: bool = False) -> DataFrame:
     """Batched windows of the rows after initialization; the tail that fills no batch is dropped."""
-    rest = read_online(series, params.init_rows)
+    rest = guard_rows(read_online(series, params.init_rows), params.width)
     n = max((count_rows(series) if n is None else n) - params.init_rows, 0)
     batch_rows = params.length * params.per_batch
     kept = assign_windows(rest, params.length, n // batch_rows * batch_rows)
@@ -113,7 +114,6 @@ def update_model(
     and ``anomalous`` the windows with ``errs`` (and ``xs``) of all expert-normal and all
     expert-anomalous windows since the last update.
     """
-    # the scaled windows are written here, so the epochs below do not score them again
     ranked, n = index_and_count(normal_buffer.select("w", "xs"), ["w"], "rank")
     roles = buffer_train_val(ranked, params.per_batch, n=n)
     train = roles.filter(F.col("role") == "train") if n // params.per_batch > 1 else roles
@@ -125,7 +125,7 @@ def update_model(
         min_delta=params.update_min_delta,
         stop_metric=params.stop_metric,
         validation=roles.filter(F.col("role") == "val"),
-        shards=params.shards,
+        shards=params.update_shards,
     )
     if params.rescore_errors:
         normal_errors = reconstruction_errors(normal_errors.drop("errs"), reconstructor)
@@ -166,7 +166,7 @@ def advance(
     spark = windows.sparkSession
     segments: list[tuple[int, int, int, int]] = []
     versions, buffered = [model], buffered or Buffered()
-    since, stretch = begin, params.look_ahead
+    since, stretch = begin, _first_stretch(params, buffered)
     while begin <= last:
         end = min(begin + stretch - 1, last) if adapt else last
         path = f"{results}/stretch={len(segments)}"
@@ -180,8 +180,8 @@ def advance(
         if cut is None:
             begin, stretch = end + 1, stretch * 2
             continue
-        # The buffers are the windows of this version's batches; they are derived, not stored.
-        mine = buffer_rows(windows.filter(F.col("batch").between(since, cut)), model, params)
+        # The buffers are the windows of this version's batches, scored once more with their errors kept.
+        mine = save(buffer_rows(windows.filter(F.col("batch").between(since, cut)), model, params), "buffered")
         if stored is not None:
             mine = stored.unionByName(mine)
         model = update_model(
@@ -190,10 +190,21 @@ def advance(
         versions.append(model)
         on_update(model)
         begin = since = cut + 1
-        stretch, buffered, stored = params.look_ahead, Buffered(), None
+        buffered, stored = Buffered(), None
+        stretch = _first_stretch(params, buffered)
     return Advance(segments, versions, buffered, since)
 
 
+def _first_stretch(params: Params, buffered: Buffered) -> int:
+    """Batches to decide before an update can be due: each brings one batch of false alarms at most.
+
+    Stretches double after that, so at most about half of what is scored is beyond the update.
+    """
+    if params.look_ahead is not None:
+        return params.look_ahead
+    return max(1, params.capacity - buffered.normal // params.per_batch)
+
+
 def buffer_rows(windows: DataFrame, model: Model, params: Params) -> DataFrame:
     """Scaled windows with their errors and the buffers they enter."""
     decided = decide(windows, model, params, keep_errors=True)

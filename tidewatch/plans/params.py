@@ -31,9 +31,10 @@ class Params:
     stop_metric: str = "last_batch"
     refresh_threshold: bool = False
     rescore_errors: bool = False
-    shards: int | None = None
+    shards: int = 8  # parts of the training batches that are walked side by side in an epoch of the first fit
+    update_shards: int = 1  # the same at an update
     seed: int = 0
-    look_ahead: int = 1024  # batches scored at first before looking for a due update
+    look_ahead: int | None = None  # batches scored before first looking for a due update; None: as many as it takes at least
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

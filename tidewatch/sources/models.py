@@ -15,7 +15,7 @@ from tidewatch.operators.errors import ErrorModel
 _SCHEMA = (
     "version long, kind string, length int, width int, hidden int, numbers array<double>, mu array<double>, "
     "sigma array<array<double>>, threshold double, low array<double>, high array<double>, "
-    "history array<struct<epoch:int,loss:double,val_loss:double>>"
+    "history array<struct<epoch:int,loss:double,val_loss:double>>, optimizer array<double>"
 )
 
 
@@ -31,6 +31,7 @@ def save_model(spark: SparkSession, model: Model, root: str, params) -> None:
         model.version, rec.kind, rec.length, rec.width, params.hidden, rec.parameters(),
         [float(m) for m in err.mu], [[float(v) for v in r] for r in err.sigma], err.threshold, low, high,
         [(int(e), float(l), None if v is None else float(v)) for e, l, v in model.history],
+        None if getattr(rec, "optimizer", None) is None else rec.optimizer.tolist(),
     )
     target = f"{_home(root, params)}/v={model.version}"
     spark.createDataFrame([row], _SCHEMA).coalesce(1).write.mode("overwrite").parquet(target)
@@ -48,7 +49,8 @@ def load_model(spark: SparkSession, root: str, params, version: int | str = "lat
     row = table.orderBy(F.desc("version")).first()
     if row is None:
         raise ValueError(f"no model of version {version} under {root}")
-    rec = KINDS[row["kind"]].restore(row["length"], row["width"], row["hidden"], row["numbers"])
+    trained = {} if row["optimizer"] is None else {"optimizer": row["optimizer"]}
+    rec = KINDS[row["kind"]].restore(row["length"], row["width"], row["hidden"], row["numbers"], **trained)
     errors = ErrorModel(list(row["mu"]), [list(r) for r in row["sigma"]], row["threshold"])
     bounds = (list(row["low"]), list(row["high"])) if row["low"] is not None else None
     return Model(rec, errors, row["version"], bounds, [tuple(h) for h in row["history"]])

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model
+from tidewatch.operators.checks import guard_rows
 from tidewatch.plans.online import Buffered, advance, buffer_rows, committed, decide
 from tidewatch.plans.params import Params
 from tidewatch.sources.models import load_model, save_model, write_run_log
@@ -73,6 +74,7 @@ def stream_online(
     source: DataFrame, model: Model, params: Params, order_by: Sequence[str], root: str, path: str, adapt: bool = True
 ) -> DataStreamWriter:
     """Continuous query from rows (``x``, ``is_anomaly``, order columns) to window decisions."""
+    source = guard_rows(source, params.width, position=order_by[0])
     sink = adapt_stream(model, params, root, path) if adapt else score_stream(model, params, path)
     return global_windows_stream(source, params.length, params.per_batch, order_by, f"{root}/windows", sink)
 
