@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registry.streams import LENGTH, LINE_ORDER, MEASURES, PER_BATCH, WIDTH
+from registry.streams import HARD, LENGTH, LINE_ORDER, MEASURES, PER_BATCH, WIDTH
 
 L, B = LENGTH, PER_BATCH
 _U = "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, event_id, value > 200 AS is_anomaly, [value] AS x FROM events"
@@ -210,14 +210,14 @@ def sql() -> dict[str, str]:
     out["score_points_multivariate"] = f"{points('M')} {point_rows}"
     out["score_points_wide"] = f"{points('E')} {point_rows}"
     out["score_windows"] = f"{points('M')} SELECT w, {r6('max(score)')} AS score_max FROM pts GROUP BY w"
-    out["flag_windows"] = f"{flagged('M')} SELECT w, {big('n_over')}, flagged FROM dec"
+    out["flag_windows"] = f"{flagged('M', HARD)} SELECT w, {big('n_over')}, flagged FROM dec"
     out["score_pools"] = f"{pools('U')} SELECT pool, {r6('score')} AS score FROM pool"
     out["threshold_fallback"] = f"{pools('U')} SELECT {r6('2 * max(score)')} AS threshold FROM pool WHERE pool = 'normal'"
     out["threshold_candidates"] = f"{candidates('M')} SELECT {big('i')}, {r6('candidate')} AS candidate FROM cand"
     out["evaluate_threshold"] = f"""{candidates('M')} SELECT {big('i', 'tp', 'missed', 'false_alarms')}, {r6('candidate')} AS candidate,
   {r6('f')} AS f FROM evals"""
     out["best_threshold"] = f"{candidates('M')} SELECT {r6('threshold')} AS threshold FROM best"
-    out["route_window"] = f"{flagged('M')} SELECT w, {ROUTES} FROM dec"
+    out["route_window"] = f"{flagged('M', HARD)} SELECT w, {ROUTES} FROM dec"
     out["update_due"] = f"{flagged('M')} {due(4)}"
     buffer = f"{cells('M')}, buf AS (SELECT w, r, m FROM ranked WHERE is_anomaly)"
     out["oversample_by_doubling"] = f"""{buffer}, rep AS (SELECT min(p) AS copies FROM (SELECT (1::BIGINT << k) AS p FROM range(40) AS t(k)), size
@@ -229,7 +229,7 @@ def sql() -> dict[str, str]:
     out["roc_curve"] = f"{flagged('M')} SELECT {r6('score')} AS score, {r6('fpr')} AS fpr, {r6('tpr')} AS tpr FROM ({ROC})"
     out["auc"] = f"{flagged('U')} SELECT {r6('auc')} AS auc FROM ({AUC})"
     out["auc_lineitem"] = f"{flagged('M')} SELECT {r6('auc')} AS auc FROM ({AUC})"
-    out["confusion"] = f"{flagged('M')} SELECT flagged, is_anomaly, count(*) AS windows FROM dec GROUP BY ALL"
+    out["confusion"] = f"{flagged('M', HARD)} SELECT flagged, is_anomaly, count(*) AS windows FROM dec GROUP BY ALL"
     out["dataset_profile"] = " UNION ALL ".join(profile_of(s) for s in "UMED")
     out["check_nulls"] = f"""SELECT count(*) AS rows, CAST(count_if(x IS NULL OR list_bool_or(list_transform(x, lambda v: v IS NULL OR isnan(v))))
   AS BIGINT) AS bad_rows FROM ({ROWS['M']})"""
@@ -249,8 +249,18 @@ def sql() -> dict[str, str]:
   CASE WHEN l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*), 1 LIMIT 1) THEN 'anomaly.' ELSE 'normal.' END AS label
   FROM lineitem"""
     for name, stream in (("replay_fixed", "U"), ("replay_fixed_lineitem", "M")):
-        out[name] = f"{online(stream)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged, is_anomaly FROM dec"
+        out[name] = f"{online(stream, HARD)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged, is_anomaly FROM dec"
     out["replay_fixed_auc"] = f"{online('M')} SELECT {r6('auc')} AS auc FROM ({AUC})"
+    out["replay_with_labels"] = f"""{online('U', HARD)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged,
+  verdict AS is_anomaly FROM dec JOIN (SELECT w, bool_or(x[1] > 220) AS verdict FROM orows GROUP BY w) USING (w)"""
+    out["row_report"] = f"""SELECT count(*) AS rows, CAST(count_if(len(x) != 4) AS BIGINT) AS wrong_width,
+  CAST(count_if(list_bool_or(list_transform(x, lambda v: v IS NULL OR isnan(v)))) AS BIGINT) AS bad_features,
+  CAST(count_if(is_anomaly IS NULL) AS BIGINT) AS unlabelled FROM ({ROWS['M']})"""
+    out["to_vector"] = " UNION ALL ".join(
+        f"SELECT l_orderkey, l_partkey, l_suppkey, {i}::BIGINT AS dim, {r6(f'{c}::DOUBLE')} AS value FROM lineitem" for i, c in enumerate(MEASURES)
+    )
+    out["read_series_back"] = f"""{raw_m} SELECT idx, {', '.join(f'x[{i + 1}] AS f{i}' for i in range(4))}, is_anomaly FROM rows"""
+    out["load_model_scores"] = out["window_scores"]
     out["stream_windows"] = f"""{u} SELECT idx // {L} AS w, idx % {L} AS step, x[1] AS value, is_anomaly FROM rows
   WHERE idx < {n_rows} // {L} * {L}"""
     out["stream_keyed_windows"] = out["keyed_windows"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.streams import (
-    LENGTH, MEASURES, PER_BATCH, WIDTH, fitted, raw_stream, scored, series, table, tidy, vector, whole, windows_of,
+    HARD, LENGTH, MEASURES, PER_BATCH, WIDTH, fitted, raw_stream, scored, series, table, tidy, vector, whole, windows_of,
 )
 from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model, reconstruct, reconstruction_errors, score
@@ -19,7 +19,8 @@ from tidewatch.operators import windows as win
 from tidewatch.plans.initialize import init_windows, initialize
 from tidewatch.plans.online import DECISION, replay_online, update_report
 from tidewatch.plans.prepare import prepare_forest, prepare_power, prepare_services
-from tidewatch.sources.series import parse_column_kinds
+from tidewatch.sources.models import load_model, save_model
+from tidewatch.sources.series import parse_column_kinds, read_series, series_schema, spread_vector, write_series
 from tidewatch.streaming.online import stream_online
 from tidewatch.streaming.windows import count_windows_stream, parquet_windows
 
@@ -50,9 +51,9 @@ def with_threshold(spark, sf, stream):
     return windows, split, model
 
 
-def flagged(spark, sf, stream):
+def flagged(spark, sf, stream, hard=1):
     windows, _, model = with_threshold(spark, sf, stream)
-    decided = errors.flag_windows(errors.score_windows(windows), model.threshold, 1)
+    decided = errors.flag_windows(errors.score_windows(windows), model.threshold, hard)
     return win.assign_batches(decided.select("w", "is_anomaly", "score_max", "n_over", "flagged"), B)
 
 
@@ -365,7 +366,7 @@ def window_scores(spark, sf):
 
 @query
 def flag_windows(spark, sf):
-    return flagged(spark, sf, "M").select("w", "n_over", "flagged")
+    return flagged(spark, sf, "M", HARD).select("w", "n_over", "flagged")
 
 
 # ---- threshold
@@ -412,7 +413,7 @@ def best_threshold(spark, sf):
 
 @query
 def route_window(spark, sf):
-    return buffers.route_window(flagged(spark, sf, "M")).select(
+    return buffers.route_window(flagged(spark, sf, "M", HARD)).select(
         "w", "to_anom_buf", "to_anom_err", "to_norm_buf", "to_norm_err"
     )
 
@@ -466,7 +467,7 @@ def auc_lineitem(spark, sf):
 
 @query
 def confusion(spark, sf):
-    return evaluate.confusion(flagged(spark, sf, "M"))
+    return evaluate.confusion(flagged(spark, sf, "M", HARD))
 
 
 @query
@@ -480,6 +481,38 @@ def dataset_profile(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def row_report(spark, sf):
+    return checks.row_report(raw_stream(spark, sf, "M")[0], WIDTH["M"])
+
+
+@query
+def to_vector(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", *MEASURES)
+    made = project.to_vector(rows, MEASURES)
+    return made.select("l_orderkey", "l_partkey", "l_suppkey", F.posexplode("x").alias("dim", "value"))
+
+
+@query
+def read_series_back(spark, sf):
+    """The line items as headerless CSV files, read again in file order."""
+    home = scratch_path(spark, "csv")
+    s, _ = series(spark, sf, "M")
+    marked = s.select("idx", "x", F.when(F.col("is_anomaly"), "anomaly.").otherwise("normal.").alias("label"))
+    write_series(spread_vector(marked, WIDTH["M"]), home)
+    return labels.canonical_label(read_series(spark, home, series_schema(WIDTH["M"]))).drop("label")
+
+
+@query
+def load_model_scores(spark, sf):
+    """A model stored, loaded, and applied."""
+    windows, _, model = fitted(spark, sf, "U")
+    home, params = scratch_path(spark, "models"), whole("U", 0)
+    save_model(spark, model, home, params)
+    scores = errors.score_windows(score(windows, load_model(spark, home, params)))
+    return scores.select("w", "is_anomaly", "score_max")
+
+
 @query
 def check_nulls(spark, sf):
     return checks.check_nulls(raw_stream(spark, sf, "M")[0])
@@ -535,7 +568,7 @@ def a_few_updates(spark, sf, stream):
 
 
 def fixed_replay(spark, sf, stream):
-    s, n, params = setup(spark, sf, stream)
+    s, n, params = setup(spark, sf, stream, hard=HARD)
     return replay_online(s, initialize(s, params, n=n), params, adapt=False, n=n).windows
 
 
@@ -560,6 +593,35 @@ def replay_adaptive(spark, sf):
     return replay_online(s, initialize(s, params, n=n), params, n=n).windows
 
 
+@query
+def replay_adaptive_events(spark, sf):
+    s, n, params = a_few_updates(spark, sf, "U")
+    return replay_online(s, initialize(s, params, n=n), params, n=n).windows
+
+
+@query
+def replay_adaptive_lineitem(spark, sf):
+    s, n, params = a_few_updates(spark, sf, "M")
+    return replay_online(s, initialize(s, params, n=n), params.but(capacity=50), n=n).windows
+
+
+@query
+def replay_adaptive_lstm(spark, sf):
+    s, n, params = a_few_updates(spark, sf, "D")
+    params = params.but(kind="lstm", update_epochs=12)
+    return replay_online(s, initialize(s, params, n=n), params, n=n).windows
+
+
+@query
+def replay_with_labels(spark, sf):
+    """Verdicts of an expert, several a window, in place of the labels of the rows."""
+    s, n, params = setup(spark, sf, "U", hard=HARD)
+    online = win.assign_windows(index.read_online(s, params.init_rows), L, n - params.init_rows)
+    verdicts = online.select("w", (F.col("x")[0] > 220).alias("is_anomaly"))
+    done = replay_online(s, initialize(s, params, n=n), params, adapt=False, n=n, labels=verdicts)
+    return done.windows.drop("version")
+
+
 def model_scores(spark, sf, stream, **changes):
     s, n = series(spark, sf, stream)
     params = whole(stream, n).but(**changes)
@@ -623,6 +685,7 @@ def online_stream(spark, sf, stream, adapt):
     """Initialization in batch, the rest of the stream as a continuous query."""
     home = scratch_path(spark, "stream")
     s, n, params = a_few_updates(spark, sf, stream)
+    params = params if adapt else params.but(hard=HARD)
     model = initialize(s, params, n=n)
     rest = index.read_online(s, params.init_rows)
     rest.write.parquet(f"{home}/rows")

@@ -17,6 +17,8 @@ from tidewatch.plans.initialize import init_windows
 from tidewatch.plans.params import Params
 
 LENGTH, PER_BATCH = 10, 8
+# points over the threshold that flag a window, as for the published datasets with windows of ten rows
+HARD = 4
 WIDTH = {"U": 1, "M": 4, "E": 64, "D": 1}
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -44,18 +44,27 @@ def guard_rows(df: DataFrame, width: int, position: str = "idx", vector: str = "
     return df.withColumns(checked)
 
 
+def _row_counts(df: DataFrame, width: int, vector: str) -> list:
+    unlabelled = "count_if(is_anomaly IS NULL)" if "is_anomaly" in df.columns else "0L"
+    return [
+        F.expr(f"count_if(coalesce(size({vector}), -1) != {int(width)}) AS wrong_width"),
+        F.expr(f"count_if({vector} IS NULL OR exists({vector}, v -> v IS NULL OR isnan(v))) AS bad_features"),
+        F.expr(f"{unlabelled} AS unlabelled"),
+    ]
+
+
+def row_report(df: DataFrame, width: int, vector: str = "x") -> DataFrame:
+    """Number of rows, and of those with a wrong number of features, a null or NaN feature, or no label."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), *_row_counts(df, width, vector))
+
+
 def inspect(df: DataFrame, width: int, vector: str = "x") -> tuple[list[float], list[float]]:
     """All row checks and the bounds of every feature, in one pass over the series."""
-    row = df.agg(
-        F.expr(f"count_if(coalesce(size({vector}), -1) != {width}) AS wrong"),
-        F.expr(f"count_if({vector} IS NULL OR exists({vector}, v -> v IS NULL OR isnan(v))) AS bad"),
-        F.expr("count_if(is_anomaly IS NULL) AS unlabelled" if "is_anomaly" in df.columns else "0 AS unlabelled"),
-        *bounds_of(width, vector),
-    ).first()
-    if row["wrong"]:
-        raise ValueError(f"{row['wrong']} rows do not have {width} features")
-    if row["bad"]:
-        raise ValueError(f"{row['bad']} rows have a null or NaN feature")
+    row = df.agg(*_row_counts(df, width, vector), *bounds_of(width, vector)).first()
+    if row["wrong_width"]:
+        raise ValueError(f"{row['wrong_width']} rows do not have {width} features")
+    if row["bad_features"]:
+        raise ValueError(f"{row['bad_features']} rows have a null or NaN feature")
     if row["unlabelled"]:
         raise ValueError(f"{row['unlabelled']} rows have no label")
     return [row[f"lo{i}"] for i in range(width)], [row[f"hi{i}"] for i in range(width)]

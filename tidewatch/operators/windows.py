@@ -68,8 +68,11 @@ def partition_normal_anomalous(df: DataFrame, by: Sequence[str] = ()) -> DataFra
 
 
 def attach_expert_labels(windows: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Join the expert's verdict per window; windows without one count as normal."""
-    verdict = labels.select(*by, "w", F.col("is_anomaly").alias("_expert"))
+    """Join the expert's verdict per window; windows without one count as normal.
+
+    Several verdicts on a window are one: anomalous if one of them is.
+    """
+    verdict = labels.groupBy(*by, "w").agg(F.bool_or("is_anomaly").alias("_expert"))
     return (
         windows.drop("is_anomaly")
         .join(verdict, [*by, "w"], "left")

@@ -25,7 +25,7 @@ from tidewatch.operators.errors import ErrorModel, error_rows, fit_error_model,
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.index import count_rows, index_and_count, read_online
 from tidewatch.operators.threshold import point_pools, search_threshold
-from tidewatch.operators.windows import assign_batches, assign_windows, collect_windows
+from tidewatch.operators.windows import assign_batches, assign_windows, attach_expert_labels, collect_windows
 from tidewatch.plans.params import Params
 from tidewatch.sources.models import save_model, write_run_log
 
@@ -238,16 +238,22 @@ def replay_online(
     log: str | None = None,
     run: str = "online",
     n: int | None = None,
+    labels: DataFrame | None = None,
 ) -> Replay:
-    """Score the rows after initialization, updating the model on the way if ``adapt``."""
+    """Score the rows after initialization, updating the model on the way if ``adapt``.
+
+    ``labels`` (``w``, ``is_anomaly``) are an expert's verdicts on the online windows, in place of those of the rows.
+    """
     started = time.time()
     spark = series.sparkSession
     n = count_rows(series) if n is None else n
     batches = max(n - params.init_rows, 0) // (params.length * params.per_batch)
     windows = online_windows(series, params, n, ordered=adapt)
+    if labels is not None:
+        windows = attach_expert_labels(windows, labels)
     if adapt:
         # in the order of windows: every stretch reads its own part of the table
-        windows = save(windows, "online-windows")
+        windows = save(windows if labels is None else windows.repartitionByRange("w"), "online-windows")
     results = scratch_path(spark, "decisions")
     store = (lambda m: save_model(spark, m, root, params)) if root else (lambda m: None)
     done = advance(windows, 0, batches - 1, model, params, results, adapt, on_update=store)
