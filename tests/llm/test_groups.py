@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,6 +88,52 @@ def test_simhash_against_brute_force(odd, documents, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def brute_near(rows):
+    """Pairs of all rows by the same fingerprints: three of words, any of which may be near, and two of shingles."""
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["id", "text"])
+    out = next(simhash._near_prints(iter([batch])))
+    prints = np.stack([out.column(k).to_numpy().view(np.uint64) for k in range(1, 6)], axis=1)
+    union = Union()
+    for i in range(len(rows)):
+        union.find(i)
+        apart = np.bitwise_count(prints[:i] ^ prints[i])
+        for j in np.flatnonzero((apart[:, :3] <= 4).any(axis=1) & (apart[:, 3:].sum(axis=1) <= simhash.most_bits(0.8))).tolist():
+            union.join(i, j)
+    first = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            first[union.find(n)] = min(first.get(union.find(n), i), i)
+    return Counter((i, first.get(union.find(n))) for n, (i, _) in enumerate(rows))
+
+
+def test_near_groups_against_brute_force(odd, documents, empty):
+    assert Counter(map(tuple, simhash.near_groups(odd).collect())) == brute_near([r[:2] for r in odd_texts()])
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(400).collect()]
+    assert Counter(map(tuple, simhash.near_groups(documents.limit(400)).collect())) == brute_near(rows)
+    assert simhash.near_groups(empty).count() == 0
+
+
+def test_near_groups_catch_copies_and_leave_others_alone(spark):
+    draw = random.Random(9)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(3000)]
+    rows, origin = [], {}
+    for n in range(150):
+        words = draw.choices(vocabulary, k=draw.randint(60, 600))
+        for copy in range(3):
+            held = list(words)
+            for at in draw.sample(range(len(held)), copy * len(held) // 100):  # one or two words of a hundred
+                held[at] = draw.choice(vocabulary)
+            origin[len(rows)] = n
+            rows.append((len(rows), " ".join(held)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(origin[i] == origin[c] for i, c in found.items())
+    assert sum(c == 3 * origin[i] for i, c in found.items()) / len(found) > 0.97
+
+
+def test_most_bits_lie_between_similar_and_unrelated():
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) < simhash.most_bits(0.6) < 50
+
+
 @pytest.mark.parametrize("spread", [2, 6, 20, 64])
 def test_gray_index_finds_all_classes(spread):
     draw = random.Random(spread)
@@ -265,7 +312,7 @@ def test_pipeline_stages(spark):
         texts[r["text"].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))].append(r["doc_id"])
     assert ids["exact_dedup"] == {max(v) for v in texts.values()}
     rows = [(r["doc_id"], r["text"]) for r in kept["exact_dedup"].collect()]
-    assert ids["near_dedup"] == {i for i, _, first in brute_simhash(rows) if i == first}
+    assert ids["near_dedup"] == {i for i, first in brute_near(rows) if i == first}
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids["near_dedup"]
     pieces = cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,12 +15,14 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.scratch import save
 from tidewatch.llm.components import smallest_member
-from tidewatch.llm.text import connect, text_slices
+from tidewatch.llm.text import LOWER, NOT_SPACE, connect, gram_hashes, span_hashes, text_slices, word_bounds
 
 WORDS, LIMIT, SEED = 4, 4, 42
 #: Fingerprints compared directly below the lowest node, and children of an upper node.
 LEAF, FAN = 32, 8
 _PAIRS_AT_ONCE = 1 << 16
+#: For near copies: words of a shingle, their similarity, fingerprints of words searched, and of shingles compared.
+NEAR_WORDS, SIMILARITY, SEARCHED, COMPARED = 5, 0.8, 3, 2
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -97,8 +100,9 @@ class GrayIndex:
     Level 0 are runs of ``LEAF`` fingerprints, every further level runs of ``FAN`` nodes.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, checks: np.ndarray | None = None, most: int = 0):
+        """``checks`` are further fingerprints (a column each); a link needs ``most`` or fewer differing bits of theirs too."""
+        self.codes, self.checks, self.most = codes, checks, most
         starts = np.arange(0, len(codes), LEAF)
         first = codes[starts]
         differ = np.bitwise_or.reduceat(codes ^ np.repeat(first, np.diff(np.append(starts, len(codes)))), starts)
@@ -168,17 +172,26 @@ class GrayIndex:
             left, right = left[open_], right[open_]
             near = np.bitwise_count(self.codes[left][:, :, None] ^ self.codes[right][:, None, :]) <= limit
             n, i, j = np.nonzero(near)
-            label = connect(label, left[n, i], right[n, j])
+            i, j = left[n, i], right[n, j]
+            good = _checked(self.checks, i, j, self.most)
+            label = connect(label, i[good], j[good])
         return label
 
 
-def _forest(key: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole cells (rows sorted by key and Gray rank), thinned to one per row."""
+def _checked(checks: np.ndarray | None, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    if checks is None:
+        return np.ones(len(i), dtype=bool)
+    return np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1, dtype=np.int64) <= most
+
+
+def _forest(key: np.ndarray, code: np.ndarray, limit: int, checks: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole cells (rows sorted by key and Gray rank), thinned to one per row: places of their ends."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     label = np.arange(len(key))
     for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        label[start : start + size] = GrayIndex(code[start : start + size]).classes(limit) + start
+        part = slice(start, start + size)
+        label[part] = GrayIndex(code[part], None if checks is None else checks[part], most).classes(limit) + start
     few = (sizes > 1) & (sizes <= LEAF)
     rows = np.flatnonzero(np.repeat(few, sizes))
     for step in range(1, LEAF):
@@ -187,36 +200,41 @@ def _forest(key: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.ndarray,
         if not len(rows):
             break
         near = np.bitwise_count(code[rows] ^ code[rows + step]) <= limit
-        label = connect(label, rows[near], rows[near] + step)
+        at = rows[near]
+        at = at[_checked(checks, at, at + step, most)]
+        label = connect(label, at, at + step)
     rows = np.flatnonzero(label != np.arange(len(label)))
-    return code[label[rows]], code[rows]
+    return label[rows], rows
+
 
+def _links(limit: int, most: int = 0):
+    """Links of cells in rows of cell, fingerprint, node, and any further fingerprints, sorted by cell and Gray rank."""
+
+    def edges(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        code, checks = rows[:, 1].view(np.uint64), rows[:, 3:].view(np.uint64) if rows.shape[1] > 3 else None
+        a, b = _forest(rows[:, 0], np.ascontiguousarray(code), limit, checks, most)
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], names=["a", "b"])
 
-def _links(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         for batch in batches:
-            key, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            code = code.view(np.uint64)
-            if key[-1] == key[0] and (not held or held[0][0][0] == key[0]):
-                held.append((key, code))
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            key = rows[:, 0]
+            if key[-1] == key[0] and (not held or held[0][0, 0] == key[0]):
+                held.append(rows)
                 continue
             cut = int(np.searchsorted(key, key[-1]))
-            whole = [*held, (key[:cut], code[:cut])]
-            held = [(key[cut:], code[cut:])]
-            yield _edges(*_forest(*(np.concatenate(x) for x in zip(*whole, strict=True)), limit))
+            whole, held = [*held, rows[:cut]], [rows[cut:]]
+            yield edges(whole)
         if held:
-            yield _edges(*_forest(*(np.concatenate(x) for x in zip(*held, strict=True)), limit))
+            yield edges(held)
 
     return run
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
-
-
 def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``node``) that connect all within ``limit`` bits.
 
@@ -225,8 +243,8 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     so a cell gives fewer links than it has members, and none between classes is lost.
     """
     code = F.col("node")
-    dealt = distinct.select(F.explode(cells(code, limit)).alias("cell"), "node")
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", gray_rank(code))
+    dealt = distinct.select(F.explode(cells(code, limit)).alias("cell"), code.alias("code"), "node")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("code")))
     return dealt.mapInArrow(_links(limit), "a long, b long")
 
 
@@ -247,3 +265,95 @@ def simhash_groups(
     found = found.select(F.col("node").alias("fingerprint"), F.col("first").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
     return marked.join(found, "fingerprint").select(id_column, hexed, "component_id")
+
+
+def bit_prints(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Fingerprint of each row's hashes (``row`` rises): a bit is 1 if set in over half of them."""
+    sums = np.zeros((rows, 64), dtype=np.int64)
+    for lo in range(0, len(values), 1 << 17):
+        part, of = values[lo : lo + (1 << 17)], row[lo : lo + (1 << 17)]
+        starts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums[of[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    counts = np.bincount(row, minlength=rows)
+    return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _remixed(values: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of the same things."""
+    values = values + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & 0xFFFFFFFFFFFFFFFF)
+    values = (values ^ values >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ values >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return values ^ values >> np.uint64(31)
+
+
+def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the distinct words and of the shingles of every text, ``w0``.. and ``s0``.."""
+    for batch in batches:
+        found = []
+        for lo, hi, data, offsets in text_slices(batch.column(1)):
+            rows, data = hi - lo, LOWER[data]
+            starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
+            words = span_hashes(data, starts, ends)
+            sizes = np.diff(first)
+            row = np.repeat(np.arange(rows), sizes)
+            order = np.lexsort((words, row))
+            once = np.ones(len(words), dtype=bool)
+            once[1:] = (words[order][1:] != words[order][:-1]) | (row[1:] != row[:-1])
+            distinct, of = words[order][once], row[once]
+            grams = gram_hashes(words, NEAR_WORDS)
+            whole = np.arange(len(grams)) + NEAR_WORDS <= first[1:][row[: len(grams)]]
+            grams, gram_row = grams[whole], row[: len(whole)][whole]
+            few = np.flatnonzero((sizes > 0) & (sizes < NEAR_WORDS))
+            if len(few):  # the whole sequence is the shingle
+                short = np.array([gram_hashes(words[first[i] : first[i + 1]], int(sizes[i]))[0] for i in few], dtype=np.uint64)
+                grams, gram_row = np.concatenate([grams, short]), np.concatenate([gram_row, few])
+                order = np.argsort(gram_row, kind="stable")
+                grams, gram_row = grams[order], gram_row[order]
+            prints = [bit_prints(_remixed(distinct, t), of, rows) for t in range(SEARCHED)]
+            prints += [bit_prints(_remixed(grams, t), gram_row, rows) for t in range(COMPARED)]
+            found.append(np.stack(prints, axis=1))
+        prints = np.concatenate(found) if found else np.zeros((0, SEARCHED + COMPARED), np.uint64)
+        columns = [pa.array(prints[:, i].view(np.int64)) for i in range(prints.shape[1])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *_PRINTS])
+
+
+_PRINTS = [f"w{i}" for i in range(SEARCHED)] + [f"s{i}" for i in range(COMPARED)]
+
+
+def most_bits(similarity: float, prints: int = COMPARED) -> int:
+    """Differing bits of shingle fingerprints that texts of this Jaccard similarity seldom pass (1.5 standard deviations)."""
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * prints
+    return round(bits * chance + 1.5 * math.sqrt(bits * chance * (1 - chance)))
+
+
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``id_column`` and ``component_id`` of every row, linked by similar five-word shingles.
+
+    A few changed words change five times as many shingles, and so too many bits for a search by few bits.  They change
+    few bits of a fingerprint of the distinct words: several of those are searched through the same cells and
+    index, and a link needs the fingerprints of the shingles to differ in no more bits than
+    ``similarity`` leads to.  That tells copies from texts that only share their words: unrelated texts differ in
+    half of those bits.  Null and empty texts have all fingerprints zero and link with each other.  Null and repeated
+    ids, other columns, and empty tables are treated as by ``simhash_groups``.
+    """
+    kind = docs.schema[id_column].dataType
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in _PRINTS]])
+    marked = save(docs.select(F.col(id_column).alias("id"), text).mapInArrow(_near_prints, schema), "near_prints")
+    # The shingle fingerprints stand for a text: equal ones are one node.
+    node = F.xxhash64(*_PRINTS)
+    marked = marked.withColumn("node", node)
+    distinct = save(marked.groupBy("node", *_PRINTS).agg(F.min("id").alias("first")), "near_distinct")
+
+    def dealt_by(turn: int) -> Column:
+        code = F.col(f"w{turn}")
+        return F.transform(cells(code), lambda cell: F.struct((cell * SEARCHED + turn).alias("cell"), code.alias("code")))
+
+    wide = F.array(*[dealt_by(turn) for turn in range(SEARCHED)])
+    checks = _PRINTS[SEARCHED:]
+    dealt = distinct.select(F.explode(F.flatten(wide)).alias("at"), "node", *checks).select("at.cell", "at.code", "node", *checks)
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("code")))
+    edges = dealt.mapInArrow(_links(LIMIT, most_bits(similarity)), "a long, b long")
+    found = save(smallest_member(distinct.select("node", "first"), edges), "near_components")
+    return marked.select("id", "node").join(found, "node").select(F.col("id").alias(id_column), F.col("first").alias("component_id"))
