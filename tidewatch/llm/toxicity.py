@@ -174,11 +174,11 @@ def restore_texts(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> tu
     parts.append(held[at:])
     return np.frombuffer(b"".join(parts), dtype=np.uint8), offsets + np.cumsum(change)[offsets]
 
-def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of every run of five bytes within a word and its edges, and the text each belongs to."""
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot of every run of five bytes within a word and its edges, the text each belongs to, and whether the next follows in its word."""
     stream, text, head = letter_stream(data, offsets)
     if len(stream) < 5:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
     blank = stream == 32
     n = len(stream) - 4
     value = np.zeros(n, dtype=np.uint64)
@@ -186,11 +186,11 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         value = value * np.uint64(257) + stream[i : i + n]
     valid = ~(blank[1 : 1 + n] | blank[2 : 2 + n] | blank[3 : 3 + n])
     slot = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-    return slot[valid].astype(np.int64), text[:n][valid]
+    return slot[valid].astype(np.int64), text[:n][valid], np.append(valid[1:], False)[valid]
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Weights of word pieces, and the chance of being toxic by the largest weight found in a text."""
+    """Weights of word pieces, and the chance of being toxic by the largest weight of two in a row found in a text."""
 
     letters: np.ndarray
     slots: np.ndarray
@@ -231,11 +231,15 @@ class Toxicity:
         return held
 
     def strongest(self, column: pa.Array, channel: Channel, table: np.ndarray) -> np.ndarray:
-        """Largest weight of a piece of each restored text, 0 if it has none."""
+        """Largest weight of two pieces in a row of each restored text (the lesser of both), 0 if it has none."""
         out = []
         for lo, hi, data, offsets in lower_slices(column):
-            slot, text = word_pieces(*restore_texts(data, offsets, channel))
+            slot, text, followed = word_pieces(*restore_texts(data, offsets, channel))
             weight = table[slot]
+            # Two pieces in a row must tell, so that a word is not judged by a piece it shares with another.
+            least = np.minimum(weight, np.append(weight[1:], 0))
+            alone = ~followed & ~np.concatenate([[False], followed[:-1]])
+            weight = np.where(followed, least, np.where(alone, weight, 0))
             hit = weight > 0
             best = np.zeros(hi - lo)
             np.maximum.at(best, text[hit], weight[hit])
@@ -255,7 +259,7 @@ def _weights(sample: DataFrame, letters: np.ndarray) -> tuple[np.ndarray, np.nda
             for c in rows:
                 rows[c] += int((toxic == c).sum())
             for lo, hi, data, offsets in lower_slices(batch.column(1)):
-                slot, text = word_pieces(*restore_texts(data, offsets, channel))
+                slot, text, _ = word_pieces(*restore_texts(data, offsets, channel))
                 pair = np.unique(text.astype(np.int64) << SLOT_BITS | slot)
                 of = toxic[lo:hi][pair >> SLOT_BITS]
                 for c in held:
