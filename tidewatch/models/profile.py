@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.arrow import tensor
 from tidewatch.functions.vectors import vector_literal
 from tidewatch.models.base import flat, window_width
 
@@ -25,7 +27,7 @@ class Profile:
     def fit(cls, windows: DataFrame, shape: tuple[int, int] | None = None, **_) -> "Profile":
         length, width = shape or window_width(windows)
         # length * width rows at most reach the driver
-        cells = cell_means(windows).collect()
+        cells = cell_means(windows, (length, width)).collect()
         mean = np.zeros(length * width)
         for r in cells:
             mean[r["step"] * width + r["dim"]] = r["mean"]
@@ -52,8 +54,21 @@ class Profile:
         return cls(length, width, tuple(numbers))
 
 
-def cell_means(windows: DataFrame) -> DataFrame:
-    """Mean per (step, dim).  Counts are combined before the shuffle of length * width groups."""
-    steps = windows.select(F.posexplode("xs").alias("step", "x"))
-    cells = steps.select("step", F.posexplode("x").alias("dim", "value"))
-    return cells.groupBy("step", "dim").agg(F.avg("value").alias("mean"))
+def cell_means(windows: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean per (step, dim).  Every task sums its windows and sends one row per cell."""
+    length, width = shape or window_width(windows)
+    step, dim = (i.ravel().astype(np.int32) for i in np.indices((length, width)))
+
+    def sums(batches):
+        total, n = np.zeros((length, width)), 0
+        for batch in batches:
+            if batch.num_rows:
+                x = tensor(batch.column(0), length, width)
+                total += x.sum(axis=0)
+                n += len(x)
+        if n:
+            columns = [pa.array(step), pa.array(dim), pa.array(total.ravel()), pa.array(np.full(len(step), n, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["step", "dim", "s", "n"])
+
+    parts = windows.select("xs").mapInArrow(sums, "step int, dim int, s double, n long")
+    return parts.groupBy("step", "dim").agg((F.sum("s") / F.sum("n")).alias("mean"))

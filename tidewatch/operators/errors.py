@@ -38,7 +38,8 @@ def abs_error(windows: DataFrame) -> DataFrame:
 def mse(windows: DataFrame) -> DataFrame:
     """Mean squared reconstruction error over all cells."""
     squared = F.expr("flatten(zip_with(xs, xhat, (a, b) -> zip_with(a, b, (u, v) -> (u - v) * (u - v))))")
-    return windows.select(F.explode(squared).alias("e2")).agg(F.avg("e2").alias("mse"))
+    summed = windows.select(squared.alias("e2")).select(F.expr("aggregate(e2, 0D, (a, v) -> a + v)").alias("s"), F.size("e2").alias("n"))
+    return summed.agg((F.sum("s") / F.sum("n")).alias("mse"))
 
 
 def error_rows(windows: DataFrame) -> DataFrame:

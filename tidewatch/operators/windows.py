@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scratch import save
 from tidewatch.operators.index import broadcast_if_small, trim_to_multiple
 
 
@@ -63,7 +64,8 @@ def window_label(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def partition_normal_anomalous(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add to every row whether its window is normal or anomalous (``win_anomaly``)."""
     marked = window_label(df, by).filter("is_anomaly").select(*by, "w", F.lit(True).alias("win_anomaly"))
-    joined = df.join(broadcast_if_small(marked), [*by, "w"], "left")
+    # written first: its size is looked at before it is joined
+    joined = df.join(broadcast_if_small(save(marked, "marked")), [*by, "w"], "left")
     return joined.withColumn("win_anomaly", F.coalesce("win_anomaly", F.lit(False)))
 
 

@@ -40,21 +40,19 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
 
     def write(windows: DataFrame, batch_id: int) -> None:
         spark = windows.sparkSession
-        current, buffered = model, Buffered()
+        current, buffered, has_stored = model, Buffered(), False
         if batch_id == 0:
             save_model(spark, model, f"{root}/models", params)
         else:
             at = read_state(spark, progress, "reached", batch_id - 1).first()
             current = load_model(spark, f"{root}/models", params, at["version"])
-            buffered = Buffered(at["normal"], at["anomalous"])
+            buffered, has_stored = Buffered(at["normal"], at["anomalous"]), at["has_stored"]
         windows = save(windows, "micro-windows")
         ends = windows.agg(F.min("batch").alias("first"), F.max("batch").alias("last")).first()
         if ends["first"] is None:
-            _mark(spark, progress, batch_id, current, buffered)
+            _mark(spark, progress, batch_id, current, buffered, has_stored)
             return
-        stored = None
-        if buffered.normal or buffered.anomalous or batch_id > 0:
-            stored = _stored(spark, buffers, current.version, batch_id)
+        stored = _stored(spark, buffers, current.version, batch_id) if has_stored else None
         results = scratch_path(spark, "decisions")
         done = advance(
             windows, ends["first"], ends["last"], current, params, results, True, buffered, stored,
@@ -65,7 +63,7 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
         newest = done.versions[-1]
         left = buffer_rows(windows.filter(F.col("batch") >= done.since), newest, params)
         left.write.mode("overwrite").parquet(f"{buffers}/v={newest.version}/micro={batch_id}")
-        _mark(spark, progress, batch_id, newest, done.buffered)
+        _mark(spark, progress, batch_id, newest, done.buffered, True)
 
     return write
 
@@ -79,21 +77,16 @@ def stream_online(
     return global_windows_stream(source, params.length, params.per_batch, order_by, f"{root}/windows", sink)
 
 
-def _stored(spark: SparkSession, buffers: str, version: int, before: int) -> DataFrame | None:
+def _stored(spark: SparkSession, buffers: str, version: int, before: int) -> DataFrame:
     """Buffered windows of earlier micro-batches under the present version."""
-    reader = spark.read.option("basePath", f"{buffers}/v={version}")
-    try:
-        rows = reader.parquet(f"{buffers}/v={version}")
-    except Exception as missing:  # no micro-batch has ended under this version yet
-        if "PATH_NOT_FOUND" in str(missing):
-            return None
-        raise
+    rows = spark.read.option("basePath", f"{buffers}/v={version}").parquet(f"{buffers}/v={version}")
     return rows.filter(F.col("micro") < before).drop("micro")
 
 
-def _mark(spark: SparkSession, progress: str, batch_id: int, model: Model, buffered: Buffered) -> None:
-    row = [(model.version, buffered.normal, buffered.anomalous)]
-    frame = spark.createDataFrame(row, "version long, normal long, anomalous long").coalesce(1)
+def _mark(spark: SparkSession, progress: str, batch_id: int, model: Model, buffered: Buffered, has_stored: bool) -> None:
+    """Where a micro-batch ended, and whether windows are stored under its version."""
+    row = [(model.version, buffered.normal, buffered.anomalous, has_stored)]
+    frame = spark.createDataFrame(row, "version long, normal long, anomalous long, has_stored boolean").coalesce(1)
     frame.write.mode("overwrite").parquet(f"{progress}/reached/batch={batch_id}")
 
 
