@@ -156,13 +156,16 @@ class BigramModel:
         spark = docs.sparkSession
         folder = local_path(folder or scratch_path(spark, "ngrams"))
         rows = docs.select(text)
-        words, total, texts, found = _count_words(rows, folder)
+        # As many parts of the words as the session has of a shuffle; no result depends on it.
+        parts = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        words, total, texts, found = _count_words(rows, folder, parts)
         if not total:
             return cls(folder, 0, 0, 0, np.zeros(0, np.uint64), _discounts(0, 0, 0, 0))
         shards = max(8, -(-total // PER_SHARD))
         bounds = _place_words(spark, folder, found, shards, texts)
-        stats, discounts = _count_pairs(rows, folder, words, bounds)
-        _finish(folder, words, texts, stats, discounts)
+        edges = np.arange(parts + 1) * (words + 2) // parts  # of the ranges of words that arrays are finished in
+        stats, discounts = _count_pairs(rows, folder, edges, bounds)
+        _finish(folder, words, texts, edges, stats, discounts)
         return cls(folder, words, total, texts, bounds, discounts)
 
     def open(self) -> Lookup:
@@ -192,13 +195,12 @@ def _pairs(words: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.
     return ids, before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
-def _count_words(rows: DataFrame, folder: str) -> tuple[int, int, int, list[tuple[int, int, int]]]:
-    """Counts every word in shards of the hash, written out sorted.
+def _count_words(rows: DataFrame, folder: str, shards: int) -> tuple[int, int, int, list[tuple[int, int, int]]]:
+    """Counts every word in shards of the hash (a power of two of them), written out sorted.
 
     Returns the numbers of words, tokens, and texts, and for each shard its number, words, and tokens.
     """
-    shards = 64
-    bounds = (np.arange(1, shards, dtype=np.uint64)) << np.uint64(58)
+    bounds = np.arange(1, shards, dtype=np.uint64) << np.uint64(65 - shards.bit_length())
 
     def read(batches):
         parts = _Parts(bounds)
@@ -263,13 +265,13 @@ def _allot(folder: str, name: str, kind: type, size: int) -> None:
     np.lib.format.open_memmap(f"{folder}/{name}.npy", mode="w+", dtype=kind, shape=(size,)).flush()
 
 
-def _count_pairs(rows: DataFrame, folder: str, words: int, bounds: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def _count_pairs(rows: DataFrame, folder: str, edges: np.ndarray, bounds: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """Counts every pair and writes the sorted shards.  Returns what the shards know of words, and the discounts.
 
     Of each shard there are: how many pairs occur once, twice, three, and four times; how many pairs each
     word ends; and per first word how many of its pairs occur once, twice, and more often.
     """
-    cuts = _edges(words)[1:-1]
+    cuts = edges[1:-1]
 
     def read(batches):
         known = _known_words(folder)
@@ -306,11 +308,13 @@ def _count_pairs(rows: DataFrame, folder: str, words: int, bounds: np.ndarray) -
                 ).astype(np.uint32)
             )
             for a, b, c, d in zip(first_cut[:-1], first_cut[1:], second_cut[:-1], second_cut[1:], strict=True)
+            if b > a or d > c
         ]
+        parts = np.flatnonzero((np.diff(first_cut) > 0) | (np.diff(second_cut) > 0))
         n = len(pieces)
         names = ["ones", "twos", "threes", "fours"]
         once = {name: [value] + [0] * (n - 1) for name, value in zip(names, _levels(counts), strict=True)}
-        return pa.table({"part": pa.array(range(n), pa.int32()), "held": pieces, **once})
+        return pa.table({"part": pa.array(parts, pa.int32()), "held": pieces, **once})
 
     merged = rows.mapInArrow(read, _PARTS).groupBy("shard").applyInArrow(merge, "part int, held binary, ones long, twos long, threes long, fours long")
     stats = save(merged, "pair_stats")
@@ -318,9 +322,8 @@ def _count_pairs(rows: DataFrame, folder: str, words: int, bounds: np.ndarray) -
     return stats, _discounts(*[x or 0 for x in sums])
 
 
-def _finish(folder: str, words: int, texts: int, stats: DataFrame, discounts: np.ndarray) -> None:
+def _finish(folder: str, words: int, texts: int, edges: np.ndarray, stats: DataFrame, discounts: np.ndarray) -> None:
     """Writes, for every word, the chance left to shorter context behind it and its chance without context."""
-    edges = _edges(words)
     _allot(folder, "left", np.float32, words + 2)
     _allot(folder, "alone", np.float64, words + 2)
 
@@ -370,11 +373,11 @@ def _finish(folder: str, words: int, texts: int, stats: DataFrame, discounts: np
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
     finished.select("part").mapInArrow(finish, "part int").count()
-
-
-def _edges(words: int) -> np.ndarray:
-    """Edges of the 64 ranges of words, unknown word and start of text included, that arrays are finished in."""
-    return np.arange(65) * (words + 2) // 64
+    # No pair has the unknown word.
+    for name, value in (("left", 1.0), ("alone", floor)):
+        whole = np.load(f"{folder}/{name}.npy", mmap_mode="r+")
+        whole[words] = value
+        whole.flush()
 
 
 class Lookup:
