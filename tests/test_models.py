@@ -96,6 +96,31 @@ def test_more_shards_still_learn(spark):
     assert fitted.history[-1][2] == pytest.approx(fitted.validate(w))
 
 
+def test_weights_do_not_depend_on_partitions(spark):
+    w = make_windows(spark, RNG.random((40, 4, 2)))
+    one, many = (Recurrent.fit(w.repartition(n), 3, per_batch=4, max_epochs=2, shards=3, seed=1) for n in (2, 8))
+    assert np.allclose(one.numbers, many.numbers, atol=1e-9) and np.allclose(one.optimizer, many.optimizer, atol=1e-9)
+
+
+def test_update_goes_on_with_the_optimizer_state(spark):
+    x = RNG.random((12, 4, 1))
+    w = make_windows(spark, x)
+    fitted = Recurrent.fit(w, 2, per_batch=4, max_epochs=2, shards=1, seed=3)
+    updated = fitted.refit(w, 4, max_epochs=2, shards=1)
+    numbers, state, steps = _initial(2, 1, 3), [0.0, 0.0], 0
+    for order in [np.arange(11, -1, -1)] * 2 + [np.arange(12)] * 2:
+        for at in range(0, 12, 4):
+            _, g = loss_and_gradient(x[order[at : at + 4]], numbers, 2)
+            steps += 1
+            state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g]
+            rate = 0.001 * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+            numbers = numbers - rate * state[0] / (np.sqrt(state[1]) + 1e-8)
+    assert np.allclose(updated.numbers, numbers, atol=1e-9)
+    assert updated.optimizer[-1] == steps
+    again = Recurrent.restore(4, 1, 2, fitted.parameters(), fitted.optimizer.tolist()).refit(w, 4, max_epochs=2, shards=1)
+    assert np.allclose(again.numbers, numbers, atol=1e-9)
+
+
 def test_early_stop_restores_best(spark):
     x = RNG.random((8, 4, 1))
     w = make_windows(spark, x)
