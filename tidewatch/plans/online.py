@@ -206,9 +206,13 @@ def _first_stretch(params: Params, buffered: Buffered) -> int:
 
 
 def buffer_rows(windows: DataFrame, model: Model, params: Params) -> DataFrame:
-    """Scaled windows with their errors and the buffers they enter."""
+    """Scaled windows with their errors and the buffers they enter; no more of them than the next update reads."""
     decided = decide(windows, model, params, keep_errors=True)
-    return decided.select("w", "xs", "errs", "flags", "is_anomaly", "to_norm_buf", "to_norm_err", "to_anom_err")
+    rows = decided.select("w", "xs", "errs", "flags", "is_anomaly", "to_norm_buf", "to_norm_err", "to_anom_err")
+    if params.rescore_errors or params.refresh_threshold:
+        return rows
+    needed = {"xs": F.when(F.col("to_norm_buf"), F.col("xs")), "errs": F.when(F.col("to_norm_err"), F.col("errs"))}
+    return rows.filter("to_norm_buf OR to_norm_err").withColumns(needed)
 
 
 def committed(spark: SparkSession, results: str, segments: list[tuple[int, int, int, int]]) -> DataFrame:

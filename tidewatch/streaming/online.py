@@ -42,6 +42,8 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
         spark = windows.sparkSession
         current, buffered, has_stored = model, Buffered(), False
         if batch_id == 0:
+            if _exists(spark, f"{progress}/reached/batch=1"):
+                raise ValueError(f"{root} holds the state of another run: take a new folder, or its checkpoint")
             save_model(spark, model, f"{root}/models", params)
         else:
             at = read_state(spark, progress, "reached", batch_id - 1).first()
@@ -83,6 +85,11 @@ def _stored(spark: SparkSession, buffers: str, version: int, before: int) -> Dat
     return rows.filter(F.col("micro") < before).drop("micro")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _mark(spark: SparkSession, progress: str, batch_id: int, model: Model, buffered: Buffered, has_stored: bool) -> None:
     """Where a micro-batch ended, and whether windows are stored under its version."""
     row = [(model.version, buffered.normal, buffered.anomalous, has_stored)]
