@@ -282,16 +282,16 @@ def test_other_tools_read_the_archive_and_other_archives_are_read(spark, tmp_pat
     assert Counter((r["page_id"], r["payload"]) for r in found) == Counter((r["page_id"], r["payload"]) for r in rows[1:] for _ in range(2))
 
 
-@pytest.mark.parametrize("name", ["op5_warc", "op8_exact"])
-def test_sql_says_the_same(spark, name):
+@pytest.mark.parametrize(("name", "sf"), [("op5_warc", SF), ("op7_vectors", SF), ("op7_vectors", "/root/testdata/sf0.1"), ("op8_exact", SF)])
+def test_sql_says_the_same(spark, name, sf):
     from tidewatch.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = con.execute(SQL[name])
     names = [d[0] for d in rows.description]
-    assert Counter(rows.fetchall()) == Counter(map(tuple, QUERIES[name](spark, SF).select(*names).collect()))
+    assert Counter(rows.fetchall()) == Counter(map(tuple, QUERIES[name](spark, sf).select(*names).collect()))
 
 
 def test_pipeline_stages(spark):

@@ -102,6 +102,22 @@ SQL: dict[str, str] = {
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to
         FROM marked LEFT JOIN firsts USING (payload_digest)
     """,
+    "op7_vectors": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reached AS (
+            SELECT vec_id, vec_id AS other FROM embeddings
+            UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(max(n), 0) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+        FROM reached LEFT JOIN counted USING (vec_id) GROUP BY vec_id
+    """,
     "op8_exact": """
         WITH normal AS (
             SELECT doc_id,
