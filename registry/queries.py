@@ -25,8 +25,8 @@ from tidewatch.streaming.online import stream_online
 from tidewatch.streaming.windows import count_windows_stream, parquet_windows
 
 L, B = LENGTH, PER_BATCH
-# batches of false alarms that make an update due in the adaptive runs
-CAPACITY = 2
+# batches of false alarms that make an update due in the adaptive runs, as for the published series of one feature
+CAPACITY = 9
 QUERIES: dict[str, object] = {}
 
 
