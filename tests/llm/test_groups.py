@@ -130,6 +130,42 @@ def test_near_groups_catch_copies_and_leave_others_alone(spark):
     assert sum(c == 3 * origin[i] for i, c in found.items()) / len(found) > 0.97
 
 
+def jaccard_groups(rows):
+    """All pairs of rows by the Jaccard similarity of their five-word shingles."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    union = Union()
+    for i, a in enumerate(sets):
+        union.find(i)
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.79 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                union.join(i, j)
+    first = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            first[union.find(n)] = min(first.get(union.find(n), i), i)
+    return Counter((i, first.get(union.find(n))) for n, (i, _) in enumerate(rows))
+
+
+def test_near_groups_are_those_of_jaccard_whatever_the_edit(spark, odd):
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        words = draw.choices(vocabulary, k=draw.choice([3, 8, 30, 120, 400]))
+        n = len(words)
+        texts += [words, words + draw.choices(vocabulary, k=n // 10), words + draw.choices(vocabulary, k=n // 5), words[: n - n // 10], words[: n - n // 6]]
+        texts += [[draw.choice(vocabulary) if draw.random() < share else w for w in words] for share in (0.01, 0.02, 0.05)]
+    texts += [vocabulary[:40] + [w] for w in vocabulary[100:180]]  # a hot group
+    texts += [draw.sample(vocabulary[:30], 30) for _ in range(40)]  # the same words in another order
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, found.collect())) == jaccard_groups(rows)
+    assert Counter(map(tuple, simhash.near_groups(odd).collect())) == jaccard_groups([r[:2] for r in odd_texts()])
+
+
 def test_most_bits_lie_between_similar_and_unrelated():
     assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) < simhash.most_bits(0.6) < 50
 
