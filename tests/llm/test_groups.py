@@ -130,6 +130,39 @@ def test_near_groups_catch_copies_and_leave_others_alone(spark):
     assert sum(c == 3 * origin[i] for i, c in found.items()) / len(found) > 0.97
 
 
+def test_full_cells_are_cut(spark, monkeypatch):
+    draw = random.Random(6)
+    codes = sorted({draw.getrandbits(14) << 20 | draw.getrandbits(4) for _ in range(1500)})
+    distinct = spark.createDataFrame([(c,) for c in codes], "node long")
+    expected, found, sizes = Union(), Union(), []
+    for n, a in enumerate(codes):
+        for b in codes[:n]:
+            if (a ^ b).bit_count() <= 1:
+                expected.join(a, b)
+    inner = simhash._links
+
+    def counted(limit, most=0):
+        run = inner(limit, most)
+
+        def sized(batches):
+            held = list(batches)
+            keys = Counter(k for b in held for k in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([max(keys.values(), default=0)]), pa.array([-1])], names=["a", "b"])
+            yield from run(iter(held))
+
+        return sized
+
+    monkeypatch.setattr(simhash, "HOME", 100)
+    monkeypatch.setattr(simhash, "_links", counted)
+    for r in simhash.links(distinct, 1).collect():
+        if r["b"] == -1:
+            sizes.append(r["a"])
+        else:
+            found.join(r["a"], r["b"])
+    assert max(sizes) < 400
+    assert [expected.find(c) for c in codes] == [found.find(c) for c in codes]
+
+
 def jaccard_groups(rows):
     """All pairs of rows by the Jaccard similarity of their five-word shingles."""
     sets = []

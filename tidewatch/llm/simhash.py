@@ -21,6 +21,8 @@ WORDS, LIMIT, SEED = 4, 4, 42
 #: Fingerprints compared directly below the lowest node, and children of an upper node.
 LEAF, FAN = 32, 8
 _PAIRS_AT_ONCE = 1 << 16
+#: Fingerprints of a cell that are not cut into parts.
+HOME = 1 << 14
 #: For near copies: words of a shingle, their similarity, fingerprints of words searched, and of shingles compared.
 NEAR_WORDS, SIMILARITY, SEARCHED, COMPARED = 5, 0.8, 3, 2
 #: Texts that frequent shingles are counted in at most (about), texts of them a shingle must stand in, and shingles taken.
@@ -242,10 +244,20 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Fingerprints are dealt to cells that agree in two blocks of bits; each cell is sorted by
     Gray rank, indexed and joined with itself.  The links of a cell are thinned to a forest,
-    so a cell gives fewer links than it has members, and none between classes is lost.
+    so a cell gives fewer links than it has members, and none between classes is lost.  A cell of
+    more than ``HOME`` members is cut into parts by hash, and every two parts are a cell of their own.
     """
     code = F.col("node")
     dealt = distinct.select(F.explode(cells(code, limit)).alias("cell"), code.alias("code"), "node")
+    full = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOME)
+    # Few rows: cells that hold more than HOME fingerprints.
+    full = save(full.select("cell", F.ceil(F.col("n") / HOME).cast("int").alias("parts")), "full_cells")
+    own = F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")
+    dealt = dealt.join(F.broadcast(full), "cell", "left").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    # Equal hashes of two cells only let more fingerprints meet.
+    cut = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(F.when(F.col("parts").isNull(), F.col("cell")).otherwise(cut).alias("cell"), "code", "node")
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("code")))
     return dealt.mapInArrow(_links(limit), "a long, b long")
 
