@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,23 @@ def test_packing(odd, documents, empty):
     assert packing.pack_documents(empty, WORD_BPE).count() == 0
 
 
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES", 400)
+    rows = [(None, "")] * 1500 + [(7, "river stone")] * 1500 + [(8, "river " * 9000)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE).collect()
+    check_packing(found, rows)
+    groups = Counter(r["sequence_id"] >> 32 for r in found if r["length"] < 4096)
+    assert len(groups) == 8 and max(groups.values()) < 600
+
+
+def test_differencing_keeps_memory_in_proportion_to_the_items():
+    tracemalloc.start()
+    windows = packing.differencing([1 + n % 3 for n in range(4000)], 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, windows)) == 4000 and peak < 16 << 20
+
+
 def test_differencing_is_nearly_even():
     draw = random.Random(4)
     sizes = [draw.randint(1, 3000) for _ in range(400)]

@@ -19,8 +19,10 @@ from tidewatch.llm.bpe import _ODD, CLASSES, Merges, Pieces
 from tidewatch.llm.text import LOWER, NOT_SPACE, ragged, span_hashes, text_slices, word_bounds
 
 CAPACITY, END = 4096, 2
-#: Windows that one task fills at a time.
-WINDOWS = 256
+#: Windows and pieces that one task fills at a time.
+WINDOWS, PIECES = 256, 1 << 17
+#: Bit that the sequences of whole windows have.
+WHOLE = 1 << 62
 #: Fixed value: the split pattern of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -116,33 +118,44 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 
     Every item starts as a partition of its own, with the other windows empty.  The two
     partitions with the largest spread are merged, the fullest window of one with the emptiest
-    of the other, until one is left.
+    of the other, until one is left.  Only windows that hold something are kept, and a window is
+    a tree of the two it was made from, so memory grows with the items alone.
     """
     if not sizes:
         return []
     heap = [(-size, n) for n, size in enumerate(sizes)]
     heapq.heapify(heap)
-    sums = {n: np.array([size, *[0] * (windows - 1)]) for n, size in enumerate(sizes)}
-    merges = []
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sums, falling, and windows of merged partitions
+    joined: list[tuple[int, int]] = []
     node = len(sizes)
+
+    def take(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return held.pop(n) if n >= len(sizes) else (np.array([sizes[n]]), np.array([n]))
+
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
-        _, b = heap[0]
-        merged = sums.pop(a) + sums.pop(b)[::-1]
-        order = np.argsort(-merged, kind="stable")
-        sums[node] = merged[order]
-        merges.append((a, b, order))
-        heapq.heapreplace(heap, (int(sums[node][-1] - sums[node][0]), node))
+        (sums, of), (other_sums, other) = take(a), take(heap[0][1])
+        other_sums, other = other_sums[::-1], other[::-1]
+        both = max(0, len(sums) + len(other_sums) - windows)
+        alone = len(sums) - both
+        new = np.arange(len(joined), len(joined) + both) + len(sizes)
+        joined += zip(of[alone:].tolist(), other[:both].tolist(), strict=True)
+        sums = np.concatenate([sums[:alone], sums[alone:] + other_sums[:both], other_sums[both:]])
+        order = np.argsort(-sums, kind="stable")
+        held[node] = sums[order], np.concatenate([of[:alone], new, other[both:]])[order]
+        least = int(held[node][0][-1]) if len(sums) == windows else 0
+        heapq.heapreplace(heap, (least - int(held[node][0][0]), node))
         node += 1
-    place = {node - 1: np.arange(windows)}  # the window that each place of a partition ends up in
-    for a, b, order in reversed(merges):
-        node -= 1
-        final = np.empty(windows, np.int64)
-        final[order] = place.pop(node)
-        place[a], place[b] = final, final[::-1]
     dealt: list[list[int]] = [[] for _ in range(windows)]
-    for n in range(len(sizes)):
-        dealt[int(place[n][0])].append(n)
+    for place, top in enumerate(take(heap[0][1])[1].tolist()):
+        left = [top]
+        while left:
+            n = left.pop()
+            if n < len(sizes):
+                dealt[place].append(n)
+            else:
+                left += joined[n - len(sizes)]
+        dealt[place].sort()
     return dealt
 
 
@@ -168,30 +181,31 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
     """Pieces with ``sequence_id`` and ``offset``: every sequence holds at most ``capacity`` ids without gaps.
 
     Whole windows of a long document are sequences of their own; what is left of every document
-    is dealt by hash to groups of about ``WINDOWS`` windows, and each group is filled on its
-    own, so no task holds more than that.  ``sequence_id`` is unique, but not dense.  Null and
+    is dealt by the hash of a row number to groups of about ``WINDOWS`` windows and ``PIECES`` pieces at most, and each group is
+    filled on its own, so no task holds more than that, whatever rows are equal.  ``sequence_id`` is unique, but not dense.  Null and
     empty texts are one piece with the end id alone; ids may be null or repeat; other columns
     are not read; an empty table gives no rows.
     """
-    pieces = save(cut_documents(docs, tokenizer, id_column, text, capacity), "pieces")
-    rest = pieces.agg(F.sum(F.when(F.col("length") < capacity, F.col("length")))).first()[0] or 0
-    groups = max(1, round(rest / (WINDOWS * capacity)))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(id_column, "start", "ids_crc32"), F.lit(groups)))
     columns = [id_column, "start", "length", "ids_crc32", "doc_tokens"]
+    # The number is written, so that a task that runs again deals the same.
+    pieces = cut_documents(docs, tokenizer, id_column, text, capacity).toDF("id", *columns[1:])
+    pieces = save(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    left = pieces.filter(F.col("length") < capacity)
+    rest, many = left.agg(F.sum("length"), F.count(F.lit(1))).first()
+    groups = max(1, round((rest or 0) / (WINDOWS * capacity)), -(-many // PIECES))
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(id_column, "ascending"), ("start", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("start", "ascending")])
         lengths = table["length"].to_numpy()
-        whole, left = np.flatnonzero(lengths == capacity), np.flatnonzero(lengths < capacity)
-        windows = fill(lengths[left].tolist(), capacity)
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for n, window in enumerate(windows):
-            at = left[window]
-            sequence[at] = n
-            offset[at] = np.cumsum(lengths[at]) - lengths[at]
-        sequence[whole] = len(windows) + np.arange(len(whole))
+        for n, window in enumerate(fill(lengths.tolist(), capacity)):
+            sequence[window] = n
+            offset[window] = np.cumsum(lengths[window]) - lengths[window]
         sequence += table["part"][0].as_py() << 32
-        return table.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.select(["id", *columns[1:]]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = T.StructType([*[pieces.schema[c] for c in columns], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("part").applyInArrow(pack, schema)
+    schema = T.StructType([*pieces.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    whole = pieces.filter(F.col("length") == capacity)
+    whole = whole.withColumn("sequence_id", F.col("number").bitwiseOR(F.lit(WHOLE))).withColumn("offset", F.lit(0).cast("long")).drop("number")
+    return dealt.groupBy("part").applyInArrow(pack, schema).union(whole).toDF(*columns, "sequence_id", "offset")
