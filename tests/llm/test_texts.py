@@ -98,6 +98,38 @@ def test_toxicity_scores_restored_text(spark):
     assert {r["doc_id"]: r["predicted"] for r in score_texts(asked, model).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
 
 
+FORMS = ["idio7", "id10+", "lose5", "iiddiioott", "id-iot", "mo.ron", "i  d  i  o  t", "i - d - i - o - t", "i d 1 o t", "m\u00b7o\u00b7r\u00b7o\u00b7n"]
+
+
+def test_every_form_the_channel_models_reaches_it(spark, documents):
+    plain = ["idiot", None, "loses", "idiot", "idiot", "moron", "idiot", "idiot", "idiot", "moron"]
+    channel = Channel(letter_model(documents))
+    held = "".join(f"{f}," for f in FORMS)  # one text each
+    offsets = np.cumsum([0, *[len(f.encode()) + 1 for f in FORMS]])
+    data, bounds = restore_texts(np.frombuffer(held.encode(), np.uint8), offsets, channel)
+    found = [data[a:b].tobytes().decode().rstrip(",") for a, b in zip(bounds, bounds[1:], strict=False)]
+    found[1] = None  # these letters do not tell which of its readings is meant
+    assert suspicious(np.frombuffer(b"id10+", np.uint8), np.array([0, 5])) == [(0, 5)]
+    assert dict(zip(FORMS, found, strict=True)) == dict(zip(FORMS, plain, strict=True))
+    euro = "th€".encode()
+    assert suspicious(np.frombuffer(euro, np.uint8), np.array([0, len(euro)])) == [(0, len(euro))]
+    spaced = "é t é".encode()
+    assert suspicious(np.frombuffer(spaced, np.uint8), np.array([0, len(spaced)])) == [(0, len(spaced))]
+    ordinary = "12 of 34 words, as they are: 5 6 7".encode()
+    assert suspicious(np.frombuffer(ordinary, np.uint8), np.array([0, len(ordinary)])) == []
+
+
+def test_every_form_is_scored(spark, documents):
+    words = "river stone house walks green idle cloud maker paper light".split()
+    draw = random.Random(1)
+    rows = [(i, " ".join(draw.choices(words, k=30)) + (" you idiot and moron" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = Toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    forms = [f for f in FORMS if f != "lose5"]
+    asked = spark.createDataFrame([(i, f"green {f} house") for i, f in enumerate(forms)] + [(99, "a green house")], "doc_id long, text string")
+    assert {forms[r["doc_id"]] if r["doc_id"] < 99 else "": r["predicted"] for r in score_texts(asked, model).collect()} == {"": 0, **dict.fromkeys(forms, 1)}
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(8, 1), (8, 0), (None, 1), (60, None), (61, 0), (62, 0)], "doc_id long, toxic int")
     for docs, marks in ((odd, labels), (odd, labels.limit(0)), (empty, labels)):

@@ -127,29 +127,58 @@ _LETTER[97:123] = _LETTER[128:] = True
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(c) for c in SIGNS if ord(c) < 128]] = True
 
+#: Bytes of the character that a byte starts.
+_CHARACTER = np.ones(256, dtype=np.int64)
+_CHARACTER[0xC0:0xE0], _CHARACTER[0xE0:0xF0], _CHARACTER[0xF0:] = 2, 3, 4
+
+def _plain_signs(data: np.ndarray) -> np.ndarray:
+    """The bytes with those of signs beyond ASCII as ``$`` and of spaces, punctuation and symbols beyond ASCII as ``.``"""
+    out = data.copy()
+    if not (data > 127).any():
+        return out
+    one, two = np.append(data[1:], 0), np.concatenate([data[2:], [0, 0]])[: len(data)]
+    latin = (data == 0xC2) & ~np.isin(one, [0xAA, 0xB5, 0xBA]) | (data == 0xC3) & np.isin(one, [0x97, 0xB7])
+    symbol = (data == 0xE2) & (one < 0xB0) | (data == 0xE3) & (one == 0x80)
+    for places, length in ((latin, 2), (symbol, 3), ((data == 0xF0) & (one == 0x9F), 4)):
+        at = np.flatnonzero(places)
+        for i in range(length):
+            out[at[at + i < len(out)] + i] = ord(".")
+    for places, length in (((data == 0xC2) & (one == 0xA3), 2), ((data == 0xE2) & (one == 0x82) & (two == 0xAC), 3)):
+        at = np.flatnonzero(places)
+        for i in range(length):
+            out[at + i] = ord("$")
+    return out
+
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     """Spans of lower-cased texts that may be obfuscated: in order, apart from each other.
 
-    Words with a sign before a letter or the same letter three times, and rows of three or more
-    single letters with one separator between each two.
+    Words with a letter next to a sign on either side, with the same letter twice in a row, or with anything between
+    letters; and rows of three or more single letters or signs, a letter among them, with any separators between.
     """
-    if len(data) < 3:
+    if len(data) < 2:
         return []
-    at = np.flatnonzero(_SIGN[data[:-1]] & _LETTER[data[1:]])
-    triple = np.flatnonzero((data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & (data[2:] >= 97) & (data[2:] <= 122))
+    whole, data = data, _plain_signs(data)
+    letter, sign = _LETTER[data], _SIGN[data]
+    pairs = (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
+    pairs |= (data[:-1] == data[1:]) & (data[1:] >= 97) & (data[1:] <= 122)
+    # The same letter of two bytes twice.
+    wide = np.flatnonzero((data[:-3] >= 0xC2) & (data[:-3] < 0xE0) & (data[:-3] == data[2:-1]) & (data[1:-2] == data[3:]))
     starts, ends, _ = word_bounds(data, offsets, NOT_SPACE)
-    word = np.unique(np.searchsorted(starts, np.concatenate([at, triple]), "right") - 1)
-    has_letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    runs, run_ends, _ = word_bounds(data, offsets, _LETTER)
+    of = np.searchsorted(starts, runs, "right") - 1
+    word = np.concatenate([np.searchsorted(starts, np.concatenate([np.flatnonzero(pairs), wide]), "right") - 1, of[1:][of[1:] == of[:-1]]])
+    word = np.unique(word)
+    has_letter = np.concatenate([[0], np.cumsum(letter)])
     word = word[has_letter[ends[word]] > has_letter[starts[word]]]
     spans = list(zip(starts[word].tolist(), ends[word].tolist(), strict=True))
-    starts, ends, first = word_bounds(data, offsets, _LETTER)
+    starts, ends, first = word_bounds(data, offsets, _LETTER | _SIGN)
     if len(starts) > 2:
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        single = ends - starts == 1
-        next_ = single[:-1] & single[1:] & (starts[1:] - ends[:-1] == 1) & (text[1:] == text[:-1])
+        single = ends - starts == _CHARACTER[whole[starts]]
+        next_ = single[:-1] & single[1:] & (text[1:] == text[:-1])
         edge = np.diff(np.concatenate([[0], next_.astype(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            if b - a >= 2:
+            if b - a >= 2 and has_letter[ends[b]] > has_letter[starts[a]]:
                 spans.append((int(starts[a]), int(ends[b])))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
