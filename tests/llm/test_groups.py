@@ -199,6 +199,18 @@ def test_near_groups_are_those_of_jaccard_whatever_the_edit(spark, odd):
     assert Counter(map(tuple, simhash.near_groups(odd).collect())) == jaccard_groups([r[:2] for r in odd_texts()])
 
 
+def test_pairs_below_the_similarity_are_no_links():
+    words = [f"w{n}" for n in range(104)]
+    texts = [words, [*words[:50], "x", *words[51:]], [*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]], [*words[:12], "v"] * 9]
+    pairs = [(a, b) for _ in range(100) for a in range(4) for b in range(a)]  # more than are compared at a time
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (*zip(*pairs, strict=True), *zip(*[(" ".join(texts[a]), " ".join(texts[b])) for a, b in pairs], strict=True))], names=["a", "b", "s", "t"])
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    good = {(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert (1, 0) in good and (2, 0) not in good
+    found = [(a, b) for out in simhash._similar(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert Counter(found) == Counter({p: 100 for p in good})
+
+
 def test_most_bits_lie_between_similar_and_unrelated():
     assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) < simhash.most_bits(0.6) < 50
 

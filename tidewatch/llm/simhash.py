@@ -27,6 +27,8 @@ HOME = 1 << 14
 NEAR_WORDS, SIMILARITY, SEARCHED, COMPARED = 5, 0.8, 3, 2
 #: Texts that frequent shingles are counted in at most (about), texts of them a shingle must stand in, and shingles taken.
 ORDER_SAMPLE, ORDER_LEAST, ORDER_TOKENS = 20_000, 4, 1 << 17
+#: Pairs of texts compared at a time.
+PAIR_ROWS = 256
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -413,22 +415,27 @@ def _prefixes(similarity: float, tokens: np.ndarray, counts: np.ndarray):
     return run
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    held = []
+    for lo, hi, row, grams in shingle_sets(column):
+        held += np.split(grams, np.searchsorted(row, np.arange(1, hi - lo)))
+    return held
+
+
 def _similar(similarity: float):
     """Pairs ``a, b`` of batches of both and their texts whose shingles have this Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for column in batch.columns[2:]:
-                held = []
-                for lo, hi, row, grams in shingle_sets(column):
-                    held += np.split(grams, np.searchsorted(row, np.arange(1, hi - lo)))
-                sets.append(held)
-            good = []
-            for x, y in zip(*sets, strict=True):
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-6)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+        for whole in batches:
+            # Few rows at a time, as both texts' shingles are held.
+            for lo in range(0, whole.num_rows, PAIR_ROWS):
+                batch = whole.slice(lo, PAIR_ROWS)
+                sets = [_sets(column) for column in batch.columns[2:]]
+                good = []
+                for x, y in zip(*sets, strict=True):
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-6)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
