@@ -88,48 +88,6 @@ def test_simhash_against_brute_force(odd, documents, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
-def brute_near(rows):
-    """Pairs of all rows by the same fingerprints: three of words, any of which may be near, and two of shingles."""
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["id", "text"])
-    out = next(simhash._near_prints(iter([batch])))
-    prints = np.stack([out.column(k).to_numpy().view(np.uint64) for k in range(1, 6)], axis=1)
-    union = Union()
-    for i in range(len(rows)):
-        union.find(i)
-        apart = np.bitwise_count(prints[:i] ^ prints[i])
-        for j in np.flatnonzero((apart[:, :3] <= 4).any(axis=1) & (apart[:, 3:].sum(axis=1) <= simhash.most_bits(0.8))).tolist():
-            union.join(i, j)
-    first = {}
-    for n, (i, _) in enumerate(rows):
-        if i is not None:
-            first[union.find(n)] = min(first.get(union.find(n), i), i)
-    return Counter((i, first.get(union.find(n))) for n, (i, _) in enumerate(rows))
-
-
-def test_near_groups_against_brute_force(odd, documents, empty):
-    assert Counter(map(tuple, simhash.near_groups(odd).collect())) == brute_near([r[:2] for r in odd_texts()])
-    rows = [(r["doc_id"], r["text"]) for r in documents.limit(400).collect()]
-    assert Counter(map(tuple, simhash.near_groups(documents.limit(400)).collect())) == brute_near(rows)
-    assert simhash.near_groups(empty).count() == 0
-
-
-def test_near_groups_catch_copies_and_leave_others_alone(spark):
-    draw = random.Random(9)
-    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(3000)]
-    rows, origin = [], {}
-    for n in range(150):
-        words = draw.choices(vocabulary, k=draw.randint(60, 600))
-        for copy in range(3):
-            held = list(words)
-            for at in draw.sample(range(len(held)), copy * len(held) // 100):  # one or two words of a hundred
-                held[at] = draw.choice(vocabulary)
-            origin[len(rows)] = n
-            rows.append((len(rows), " ".join(held)))
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(origin[i] == origin[c] for i, c in found.items())
-    assert sum(c == 3 * origin[i] for i, c in found.items()) / len(found) > 0.97
-
-
 def test_full_cells_are_cut(spark, monkeypatch):
     draw = random.Random(6)
     codes = sorted({draw.getrandbits(14) << 20 | draw.getrandbits(4) for _ in range(1500)})
@@ -141,8 +99,8 @@ def test_full_cells_are_cut(spark, monkeypatch):
                 expected.join(a, b)
     inner = simhash._links
 
-    def counted(limit, most=0):
-        run = inner(limit, most)
+    def counted(limit):
+        run = inner(limit)
 
         def sized(batches):
             held = list(batches)
@@ -163,58 +121,6 @@ def test_full_cells_are_cut(spark, monkeypatch):
     assert [expected.find(c) for c in codes] == [found.find(c) for c in codes]
 
 
-def jaccard_groups(rows):
-    """All pairs of rows by the Jaccard similarity of their five-word shingles."""
-    sets = []
-    for _, t in rows:
-        words = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
-    union = Union()
-    for i, a in enumerate(sets):
-        union.find(i)
-        for j, b in enumerate(sets[:i]):
-            if min(len(a), len(b)) >= 0.79 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9:
-                union.join(i, j)
-    first = {}
-    for n, (i, _) in enumerate(rows):
-        if i is not None:
-            first[union.find(n)] = min(first.get(union.find(n), i), i)
-    return Counter((i, first.get(union.find(n))) for n, (i, _) in enumerate(rows))
-
-
-def test_near_groups_are_those_of_jaccard_whatever_the_edit(spark, odd):
-    draw = random.Random(11)
-    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(3000)]
-    texts = []
-    for _ in range(60):
-        words = draw.choices(vocabulary, k=draw.choice([3, 8, 30, 120, 400]))
-        n = len(words)
-        texts += [words, words + draw.choices(vocabulary, k=n // 10), words + draw.choices(vocabulary, k=n // 5), words[: n - n // 10], words[: n - n // 6]]
-        texts += [[draw.choice(vocabulary) if draw.random() < share else w for w in words] for share in (0.01, 0.02, 0.05)]
-    texts += [vocabulary[:40] + [w] for w in vocabulary[100:180]]  # a hot group
-    texts += [draw.sample(vocabulary[:30], 30) for _ in range(40)]  # the same words in another order
-    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
-    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert Counter(map(tuple, found.collect())) == jaccard_groups(rows)
-    assert Counter(map(tuple, simhash.near_groups(odd).collect())) == jaccard_groups([r[:2] for r in odd_texts()])
-
-
-def test_pairs_below_the_similarity_are_no_links():
-    words = [f"w{n}" for n in range(104)]
-    texts = [words, [*words[:50], "x", *words[51:]], [*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]], [*words[:12], "v"] * 9]
-    pairs = [(a, b) for _ in range(100) for a in range(4) for b in range(a)]  # more than are compared at a time
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (*zip(*pairs, strict=True), *zip(*[(" ".join(texts[a]), " ".join(texts[b])) for a, b in pairs], strict=True))], names=["a", "b", "s", "t"])
-    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    good = {(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
-    assert (1, 0) in good and (2, 0) not in good
-    found = [(a, b) for out in simhash._similar(0.8)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
-    assert Counter(found) == Counter({p: 100 for p in good})
-
-
-def test_most_bits_lie_between_similar_and_unrelated():
-    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) < simhash.most_bits(0.6) < 50
-
-
 @pytest.mark.parametrize("spread", [2, 6, 20, 64])
 def test_gray_index_finds_all_classes(spread):
     draw = random.Random(spread)
@@ -393,13 +299,38 @@ def test_pipeline_stages(spark):
         texts[r["text"].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))].append(r["doc_id"])
     assert ids["exact_dedup"] == {max(v) for v in texts.values()}
     rows = [(r["doc_id"], r["text"]) for r in kept["exact_dedup"].collect()]
-    assert ids["near_dedup"] == {i for i, first in brute_near(rows) if i == first}
+    assert ids["near_dedup"] == {i for i, _, first in brute_simhash(rows) if i == first}
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids["near_dedup"]
     pieces = cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     assert packed.select(*pieces.columns).exceptAll(pieces).isEmpty() and packed.count() == pieces.count()
 
 
+def test_copies_are_dropped_by_row_and_not_by_id(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, "copy of two"), (1, "stands nowhere else"), (2, "Copy of TWO"), (3, "same"), (3, "same"), (None, "no id"), (None, "no id")]
+    rows += [(None, "Same"), (4, None), (5, ""), (6, long), (6, long + " x"), (None, long), (7, "stands nowhere else too")]
+    frame = spark.createDataFrame([(i, t, "c", "c", "c", "c") for i, t in rows], "doc_id long, text string, place string, row string, file string, at string")
+    frame.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/docs")):
+        exact = corpus_pipeline.exact_dedup(spark, docs, SF)
+        assert exact.columns == docs.columns
+        kept = Counter((r["doc_id"], r["text"]) for r in exact.collect())
+        assert kept == Counter([(1, "stands nowhere else"), (2, "Copy of TWO"), (3, "same"), (None, "no id"), (5, ""), (6, long), (6, long + " x"), (7, "stands nowhere else too")])
+        near = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+        texts = [r["text"] for r in docs.collect()]
+        union = Union()
+        for a in set(texts):
+            union.find(a)
+            for b in set(texts):
+                if (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() <= 4:
+                    union.join(*sorted([a or "", b or ""]))
+        groups = defaultdict(list)
+        for r in docs.collect():
+            groups[union.find(r["text"] or "")].append(r["doc_id"])
+        assert Counter(i for i, _ in near.elements()) == Counter(min((i for i in g if i is not None), default=None) for g in groups.values())
+
+
 def test_pipeline_bears_odd_and_empty_tables(spark, odd, empty, tmp_path):
     labels = spark.createDataFrame([(8, 0), (60, 1), (None, None)], "doc_id long, toxic int")
     for docs, at in ((odd, tmp_path / "odd"), (empty, tmp_path / "empty")):

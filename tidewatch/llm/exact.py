@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.scratch import save, scratch_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests per bucket that the number of buckets is chosen for when an index is made.
 PER_BUCKET = 4_000_000
-COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch INT"
+COLUMNS = "digest BINARY, keep_id {kind}, group_size BIGINT, batch INT"
 
 
 def normal_text(text: str = "text") -> Column:
@@ -25,15 +26,16 @@ class DigestIndex:
     (equal rows in the batch that brought the digest), ``batch`` (its number).
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int | None = None):
-        self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
+    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int | None = None, kind: str = "bigint"):
+        """``kind`` is the type of the ids."""
+        self.spark, self.path, self.name, self.buckets, self.columns = spark, path, name, buckets, COLUMNS.format(kind=kind)
         self.batches = 0
         if buckets and not spark.catalog.tableExists(name):
             self._register()
 
     def _register(self) -> None:
         self.spark.sql(
-            f"CREATE TABLE {self.name} ({COLUMNS}) USING parquet "
+            f"CREATE TABLE {self.name} ({self.columns}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -68,18 +70,19 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Texts are equal when identical after lower-casing A-Z only; null counts as empty.  Of equal
     rows of a batch the one with the largest id stays; if ``index`` had the digest before, its
     row stays and none of the batch.  A row with a null id never stays unless all ids of its
-    group are null (``keep_id`` is null then, and ``kept`` false).  Rows that share the id that
+    group are null (``keep_id`` is null then, and ``kept`` false).  Ids may be of any type that has an order.  Rows that share the id that
     stays are all marked as kept.  An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    digests = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.sha2(normal_text(text), 256)).alias("digest"))
+    spark, kind = docs.sparkSession, docs.schema[id_column].dataType
+    kind = "bigint" if isinstance(kind, T.NumericType) else kind.simpleString()
+    digests = docs.select(F.col(id_column).cast(kind).alias("doc_id"), F.unhex(F.sha2(normal_text(text), 256)).alias("digest"))
     digests = save(digests, "digests")
     if index is None:
         path = scratch_path(spark, "digest_index")
-        index = DigestIndex(spark, path, "digest_index_" + path[-32:])
+        index = DigestIndex(spark, path, "digest_index_" + path[-32:], kind=kind)
     index.add(digests)
     # Read by path and not by bucket, so that both sides are shuffled and a hot digest can be split.
-    known = spark.read.schema(COLUMNS).parquet(index.path).select("digest", "keep_id", "group_size")
+    known = spark.read.schema(index.columns).parquet(index.path).select("digest", "keep_id", "group_size")
     return digests.join(known, "digest").select(
         F.col("doc_id").alias(id_column),
         "keep_id",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.scratch import save
 from tidewatch.llm.components import components, smallest_member
-from tidewatch.llm.text import LOWER, NOT_SPACE, connect, gram_hashes, span_hashes, text_slices, word_bounds
+from tidewatch.llm.text import connect, text_slices
 
 WORDS, LIMIT, SEED = 4, 4, 42
 #: Fingerprints compared directly below the lowest node, and children of an upper node.
@@ -23,12 +22,6 @@ LEAF, FAN = 32, 8
 _PAIRS_AT_ONCE = 1 << 16
 #: Fingerprints of a cell that are not cut into parts.
 HOME = 1 << 14
-#: For near copies: words of a shingle, their similarity, fingerprints of words searched, and of shingles compared.
-NEAR_WORDS, SIMILARITY, SEARCHED, COMPARED = 5, 0.8, 3, 2
-#: Texts that frequent shingles are counted in at most (about), texts of them a shingle must stand in, and shingles taken.
-ORDER_SAMPLE, ORDER_LEAST, ORDER_TOKENS = 20_000, 4, 1 << 17
-#: Pairs of texts compared at a time.
-PAIR_ROWS = 256
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -106,9 +99,8 @@ class GrayIndex:
     Level 0 are runs of ``LEAF`` fingerprints, every further level runs of ``FAN`` nodes.
     """
 
-    def __init__(self, codes: np.ndarray, checks: np.ndarray | None = None, most: int = 0):
-        """``checks`` are further fingerprints (a column each); a link needs ``most`` or fewer differing bits of theirs too."""
-        self.codes, self.checks, self.most = codes, checks, most
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
         starts = np.arange(0, len(codes), LEAF)
         first = codes[starts]
         differ = np.bitwise_or.reduceat(codes ^ np.repeat(first, np.diff(np.append(starts, len(codes)))), starts)
@@ -178,26 +170,18 @@ class GrayIndex:
             left, right = left[open_], right[open_]
             near = np.bitwise_count(self.codes[left][:, :, None] ^ self.codes[right][:, None, :]) <= limit
             n, i, j = np.nonzero(near)
-            i, j = left[n, i], right[n, j]
-            good = _checked(self.checks, i, j, self.most)
-            label = connect(label, i[good], j[good])
+            label = connect(label, left[n, i], right[n, j])
         return label
 
 
-def _checked(checks: np.ndarray | None, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    if checks is None:
-        return np.ones(len(i), dtype=bool)
-    return np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1, dtype=np.int64) <= most
-
-
-def _forest(key: np.ndarray, code: np.ndarray, limit: int, checks: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _forest(key: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole cells (rows sorted by key and Gray rank), thinned to one per row: places of their ends."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     label = np.arange(len(key))
     for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
         part = slice(start, start + size)
-        label[part] = GrayIndex(code[part], None if checks is None else checks[part], most).classes(limit) + start
+        label[part] = GrayIndex(code[part]).classes(limit) + start
     few = (sizes > 1) & (sizes <= LEAF)
     rows = np.flatnonzero(np.repeat(few, sizes))
     for step in range(1, LEAF):
@@ -206,20 +190,17 @@ def _forest(key: np.ndarray, code: np.ndarray, limit: int, checks: np.ndarray |
         if not len(rows):
             break
         near = np.bitwise_count(code[rows] ^ code[rows + step]) <= limit
-        at = rows[near]
-        at = at[_checked(checks, at, at + step, most)]
-        label = connect(label, at, at + step)
+        label = connect(label, rows[near], rows[near] + step)
     rows = np.flatnonzero(label != np.arange(len(label)))
     return label[rows], rows
 
 
-def _links(limit: int, most: int = 0):
-    """Links of cells in rows of cell, fingerprint, node, and any further fingerprints, sorted by cell and Gray rank."""
+def _links(limit: int):
+    """Links of cells in rows of cell, fingerprint, and node, sorted by cell and Gray rank."""
 
     def edges(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held)
-        code, checks = rows[:, 1].view(np.uint64), rows[:, 3:].view(np.uint64) if rows.shape[1] > 3 else None
-        a, b = _forest(rows[:, 0], np.ascontiguousarray(code), limit, checks, most)
+        a, b = _forest(rows[:, 0], np.ascontiguousarray(rows[:, 1].view(np.uint64)), limit)
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,226 +262,3 @@ def simhash_groups(
     found = found.select(F.col("node").alias("fingerprint"), F.col("first").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
     return marked.join(found, "fingerprint").select(id_column, hexed, "component_id")
-
-
-def bit_prints(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Fingerprint of each row's hashes (``row`` rises): a bit is 1 if set in over half of them."""
-    sums = np.zeros((rows, 64), dtype=np.int64)
-    for lo in range(0, len(values), 1 << 17):
-        part, of = values[lo : lo + (1 << 17)], row[lo : lo + (1 << 17)]
-        starts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums[of[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    counts = np.bincount(row, minlength=rows)
-    return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def _remixed(values: np.ndarray, turn: int) -> np.ndarray:
-    """Other hashes of the same things."""
-    values = values + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & 0xFFFFFFFFFFFFFFFF)
-    values = (values ^ values >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ values >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return values ^ values >> np.uint64(31)
-
-
-def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the distinct words and of the shingles of every text, ``w0``.. and ``s0``.."""
-    for batch in batches:
-        found = []
-        for lo, hi, data, offsets in text_slices(batch.column(1)):
-            rows, data = hi - lo, LOWER[data]
-            starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
-            words = span_hashes(data, starts, ends)
-            sizes = np.diff(first)
-            row = np.repeat(np.arange(rows), sizes)
-            order = np.lexsort((words, row))
-            once = np.ones(len(words), dtype=bool)
-            once[1:] = (words[order][1:] != words[order][:-1]) | (row[1:] != row[:-1])
-            distinct, of = words[order][once], row[once]
-            grams = gram_hashes(words, NEAR_WORDS)
-            whole = np.arange(len(grams)) + NEAR_WORDS <= first[1:][row[: len(grams)]]
-            grams, gram_row = grams[whole], row[: len(whole)][whole]
-            few = np.flatnonzero((sizes > 0) & (sizes < NEAR_WORDS))
-            if len(few):  # the whole sequence is the shingle
-                short = np.array([gram_hashes(words[first[i] : first[i + 1]], int(sizes[i]))[0] for i in few], dtype=np.uint64)
-                grams, gram_row = np.concatenate([grams, short]), np.concatenate([gram_row, few])
-                order = np.argsort(gram_row, kind="stable")
-                grams, gram_row = grams[order], gram_row[order]
-            prints = [bit_prints(_remixed(distinct, t), of, rows) for t in range(SEARCHED)]
-            prints += [bit_prints(_remixed(grams, t), gram_row, rows) for t in range(COMPARED)]
-            found.append(np.stack(prints, axis=1))
-        prints = np.concatenate(found) if found else np.zeros((0, SEARCHED + COMPARED), np.uint64)
-        columns = [pa.array(prints[:, i].view(np.int64)) for i in range(prints.shape[1])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *_PRINTS])
-
-
-_PRINTS = [f"w{i}" for i in range(SEARCHED)] + [f"s{i}" for i in range(COMPARED)]
-
-
-def most_bits(similarity: float, prints: int = COMPARED) -> int:
-    """Differing bits of shingle fingerprints that texts of this Jaccard similarity seldom pass (1.5 standard deviations)."""
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * prints
-    return round(bits * chance + 1.5 * math.sqrt(bits * chance * (1 - chance)))
-
-
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows ``lo`` to ``hi``, and the distinct five-word shingles of each: row (from 0, rising) and hash (rising in a row).
-
-    A text of fewer words is one shingle; a text without words has none.
-    """
-    for lo, hi, data, offsets in text_slices(column):
-        rows, data = hi - lo, LOWER[data]
-        starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
-        words = span_hashes(data, starts, ends)
-        sizes = np.diff(first)
-        row = np.repeat(np.arange(rows), sizes)
-        grams = gram_hashes(words, NEAR_WORDS)
-        whole = np.arange(len(grams)) + NEAR_WORDS <= first[1:][row[: len(grams)]]
-        grams, of = grams[whole], row[: len(whole)][whole]
-        few = np.flatnonzero((sizes > 0) & (sizes < NEAR_WORDS))
-        short = np.array([gram_hashes(words[first[i] : first[i + 1]], int(sizes[i]))[0] for i in few], dtype=np.uint64)
-        grams, of = np.concatenate([grams, short]), np.concatenate([of, few])
-        order = np.lexsort((grams, of))
-        grams, of = grams[order], of[order]
-        once = np.ones(len(grams), dtype=bool)
-        once[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-        yield lo, hi, of[once], grams[once]
-
-
-def _node_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of id and text with a 64-bit hash of the set of shingles, ``node``; zero for a text without words."""
-    for batch in batches:
-        node = np.zeros(batch.num_rows, dtype=np.uint64)
-        for lo, hi, row, grams in shingle_sets(batch.column(1)):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_remixed(grams, 0), dtype=np.uint64)])
-            at = np.searchsorted(row, np.arange(hi - lo + 1))
-            node[lo:hi] = np.where(at[1:] > at[:-1], _remixed(total[at[1:]] - total[at[:-1]], 1), np.uint64(0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node.view(np.int64))], names=["id", "text", "node"])
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, _, grams in shingle_sets(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["token"])
-
-
-def _overlap(a: int | np.ndarray, similarity: float) -> np.ndarray:
-    """Fewest shingles of a set of ``a`` that another of this Jaccard similarity shares."""
-    return np.ceil(similarity * np.asarray(a) - 1e-6).astype(np.int64)
-
-
-def _prefixes(similarity: float, tokens: np.ndarray, counts: np.ndarray):
-    """The first shingles of every node, by rising count and hash: similar sets share one of them at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            for lo, hi, row, grams in shingle_sets(batch.column(1)):
-                if not len(grams):
-                    continue
-                rank = np.zeros(len(grams), np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, grams), len(tokens) - 1)
-                    rank = np.where(tokens[at] == grams, counts[at], 0)
-                order = np.lexsort((grams, rank, row))
-                grams = grams[order]
-                size = np.bincount(row, minlength=hi - lo)
-                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                kept = place <= (size - _overlap(size, similarity))[row]
-                row = row[kept]
-                columns = [pa.array(grams[kept].view(np.int64)), pa.array(nodes[lo:hi][row]), pa.array(size[row], pa.int32()), pa.array(place[kept], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size", "place"])
-
-    return run
-
-
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    held = []
-    for lo, hi, row, grams in shingle_sets(column):
-        held += np.split(grams, np.searchsorted(row, np.arange(1, hi - lo)))
-    return held
-
-
-def _similar(similarity: float):
-    """Pairs ``a, b`` of batches of both and their texts whose shingles have this Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            # Few rows at a time, as both texts' shingles are held.
-            for lo in range(0, whole.num_rows, PAIR_ROWS):
-                batch = whole.slice(lo, PAIR_ROWS)
-                sets = [_sets(column) for column in batch.columns[2:]]
-                good = []
-                for x, y in zip(*sets, strict=True):
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-6)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return run
-
-
-def _possible(size: str, place: str, other_size: str, other_place: str, similarity: float) -> Column:
-    """Whether two sets that share the shingle at these places of theirs can be as similar: by their sizes and what is left on both sides."""
-    a, i, b, j = (F.col(c) for c in (size, place, other_size, other_place))
-    most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-    return most >= (a + b) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-
-
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``id_column`` and ``component_id`` of every row, linked by a Jaccard similarity of five-word shingles of ``similarity`` or more.
-
-    No pair is missed, whatever the edits, and every link is checked against the sets of shingles.  Texts with equal sets
-    are one node.  With all shingles in one order, sets that are similar share one of their first ``n - ceil(similarity * n) + 1``
-    (prefix filter).  The order puts shingles that are frequent in a sample last, and so keeps common lines
-    out of most prefixes; the result does not depend on it.  Pairs come in two steps: every node with one
-    other of each shingle it shares, drawn by hash, which joins large groups with few pairs; and then what still
-    lies in different components and shares a shingle.  All joins go by shuffle over written tables, so that adaptive execution can split a
-    hot shingle.  Null and empty texts link with each other.  Null and repeated
-    ids, other columns, and empty tables are treated as by ``simhash_groups``.
-    """
-    kind = docs.schema[id_column].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType()), T.StructField("node", T.LongType())])
-    marked = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(_node_of, schema)
-    nodes = save(marked.groupBy("node").agg(F.min("id").alias("first"), F.first("text").alias("text")), "near_nodes")
-    marked = save(marked.select("id", "node"), "near_marked")
-    texts = nodes.select("node", "text")
-
-    share = min(1.0, ORDER_SAMPLE / max(1, nodes.count()))
-    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    counted = sample.mapInArrow(_shingles, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # ORDER_TOKENS rows at most.
-    frequent = counted.filter(f"n >= {ORDER_LEAST}").orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect()
-    tokens = np.array([r["token"] for r in frequent], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in frequent], np.int64)
-    order = np.argsort(tokens)
-    prefixes = texts.mapInArrow(_prefixes(similarity, tokens[order], counts[order]), "token long, node long, size int, place int")
-    prefixes = save(prefixes, "near_prefixes")
-
-    drawn = F.min(F.struct(F.xxhash64("node", "token").alias("draw"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place")))
-    shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n"), drawn.alias("drawn")).filter("n > 1")
-    shared = save(shared.select("token", "n", "drawn.b", "drawn.b_size", "drawn.b_place"), "near_shared")
-    met = save(prefixes.join(shared, "token"), "near_met")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        rows = rows.filter(_possible("size", "place", "b_size", "b_place", similarity))
-        return rows.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-    def similar(rows: DataFrame) -> DataFrame:
-        held = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        held = held.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        return save(held.select("a", "b", "a_text", "b_text").mapInArrow(_similar(similarity), "a long, b long"), "near_links")
-
-    tried = save(pairs(met.filter("node != b")), "near_pairs")
-    links = similar(tried)
-    # Two nodes of a shingle have met already.
-    rooted = met.filter("n > 2").select("token", "node", "size", "place").join(components(links), "node", "left")
-    rooted = save(rooted.withColumn("root", F.coalesce("root", "node")), "near_rooted")
-    apart = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("token")
-    rooted = save(rooted.join(apart, "token"), "near_apart")
-    other = rooted.select("token", *[F.col(c).alias(f"b_{c}") for c in ("size", "place", "root")], F.col("node").alias("b"))
-    left = pairs(rooted.join(other, "token").filter("root < b_root"))
-    links = links.union(similar(save(left.join(tried, ["a", "b"], "left_anti"), "near_pairs")))
-
-    found = save(smallest_member(nodes.select("node", "first"), links), "near_components")
-    return marked.join(found, "node").select(F.col("id").alias(id_column), F.col("first").alias("component_id"))
