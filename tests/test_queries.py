@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
     if name not in SQL:
         assert got.num_rows > 0
         return
-    expected = duck.execute(SQL[name]).fetch_arrow_table()
+    expected = duck.sql(SQL[name]).to_arrow_table()
     assert kinds_of(got) == kinds_of(expected)
     assert rows_of(got) == rows_of(expected)
 
