@@ -15,6 +15,7 @@ from tidewatch.llm.license import scan_licenses
 from tidewatch.llm.metric import vector_groups
 from tidewatch.llm.ngram import BigramModel, score_documents
 from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.phrases import contamination
 from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.toxicity import Toxicity, score_texts
 from tidewatch.llm.warc import archive_pages
@@ -75,6 +76,10 @@ def op10_ngram(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(docs, model).drop("text")
 
 
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact": op8_exact,
     "op9_packing": op9_packing,
     "op10_ngram": op10_ngram,
+    "op12_decontamination": op12_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -131,4 +137,35 @@ SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM marked JOIN counted USING (text_sha256)
     """,
+    "op12_decontamination": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS k, doc_id,
+                   list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), items AS (
+            SELECT item_id,
+                   list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+            FROM benchmark
+        ), sized AS (
+            SELECT *, least(10, len(words)) AS m FROM items WHERE len(words) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, m, array_to_string(words[s:s + m - 1], ' ') AS gram
+            FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS s FROM sized)
+        ), grams AS (
+            SELECT k, m, s, array_to_string(words[s:s + m - 1], ' ') AS gram
+            FROM (SELECT k, words, m, unnest(range(1, len(words) - m + 2)) AS s FROM docs, (SELECT DISTINCT m FROM sized) WHERE len(words) >= m)
+        ), found AS (
+            SELECT k, s, m, item_id FROM grams JOIN windows USING (m, gram)
+        ), hits AS (
+            SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + m)) AS p FROM (SELECT DISTINCT k, s, m FROM found)) GROUP BY k
+        ), listed AS (
+            SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+            FROM found GROUP BY k
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (k) LEFT JOIN listed USING (k)
+    """,
 }
