@@ -17,6 +17,7 @@ from tidewatch.llm.ngram import BigramModel, score_documents
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.phrases import contamination
 from tidewatch.llm.simhash import simhash_groups
+from tidewatch.llm.spelling import spelling_variants
 from tidewatch.llm.toxicity import Toxicity, score_texts
 from tidewatch.llm.warc import archive_pages
 
@@ -76,6 +77,10 @@ def op10_ngram(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(docs, model).drop("text")
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact": op8_exact,
     "op9_packing": op9_packing,
     "op10_ngram": op10_ngram,
+    "op11_spelling": op11_spelling,
     "op12_decontamination": op12_decontamination,
 }
 
