@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import encode_decode
+from tidewatch.llm.crosstoken import align_tokenizers
 from tidewatch.llm.exact import exact_groups
 from tidewatch.llm.language import Languages, identify
 from tidewatch.llm.license import scan_licenses
@@ -85,6 +86,10 @@ def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram": op10_ngram,
     "op11_spelling": op11_spelling,
     "op12_decontamination": op12_decontamination,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
