@@ -265,4 +265,20 @@ def sql() -> dict[str, str]:
   WHERE idx < {n_rows} // {L} * {L}"""
     out["stream_keyed_windows"] = out["keyed_windows"]
     out["stream_scores"] = out["replay_fixed"]
+    out["stream_keyed_state"] = out["keyed_windows"]
+    out["stream_positions"] = out["replay_fixed"]
+    out["stream_late_verdicts"] = f"""{online('U', HARD)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged,
+  verdict AND w % 5 <= 3 AS is_anomaly FROM dec JOIN (SELECT w, bool_or(x[1] > 220) AS verdict FROM orows GROUP BY w) USING (w)"""
+    out["refresh_error_model"] = f"""{model('M')} SELECT {big('i', 'j')}, {r6('mu')} AS mu, {r6('sigma')} AS sigma FROM sig JOIN mu ON mu.dim = sig.i WHERE i <= j"""
+    # A file's rows are late by the watermark of the micro-batch before it: the latest time two files ago, less the delay.
+    late = """WITH ends AS (SELECT min(epoch_us(ts) // 1000000) AS first, max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000) + 1 AS span FROM events),
+arrived AS (SELECT event_id, ts, user_id, value, span // 4 AS delay, (epoch_us(ts) // 1000000 - first) * 6 // span
+    + CASE WHEN event_id % 7 = 0 THEN 3 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS file FROM events, ends),
+marks AS (SELECT file, max(seen) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS behind, max(seen) OVER () AS seen
+    FROM (SELECT file, max(ts) AS seen FROM arrived GROUP BY file)),
+kept AS (SELECT arrived.*, seen, behind IS NOT NULL AND epoch_ms(ts) <= epoch_ms(behind) - delay * 1000 AS late FROM arrived JOIN marks USING (file))"""
+    out["stream_late_rows"] = f"{late} SELECT file AS batch, count(*) AS rows, CAST(count_if(late) AS BIGINT) AS late_rows FROM kept GROUP BY file"
+    out["stream_ordered_windows"] = f"""{late} SELECT user_id, i // {L} AS w, i % {L} AS step, value, value > 200 AS is_anomaly FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n
+    FROM kept WHERE NOT late AND epoch_ms(ts) <= epoch_ms(seen) - delay * 1000) WHERE i < n // {L} * {L}"""
     return out

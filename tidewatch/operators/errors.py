@@ -92,14 +92,8 @@ def moments(errors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, mean, cross = 0, np.zeros(width), np.zeros((width, width))
         for batch in batches:
             x = matrix(batch.column(0), width)
-            if not len(x):
-                continue
-            m = x.mean(axis=0)
-            centred = x - m
-            shift = m - mean
-            cross += centred.T @ centred + np.outer(shift, shift) * (n * len(x) / (n + len(x)))
-            mean += shift * (len(x) / (n + len(x)))
-            n += len(x)
+            if len(x):
+                n, mean, cross = _with_rows(n, mean, cross, x)
         if n:
             i, j = upper
             yield pa.RecordBatch.from_arrays(
@@ -136,6 +130,68 @@ def moments(errors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mu, sigma
 
 
+MOMENT_TYPE = "n double, mean array<double>, cross array<double>"
+
+
+def moment_rows(errors: DataFrame, width: int) -> DataFrame:
+    """Moments of error vectors that can be stored and merged later: number, means, and centred cross products (upper triangle, by rows).
+
+    Few features: one row, summed in the JVM.  Many: one row per task.  No errors give no row with ``n`` above 0.
+    """
+    upper = [(i, j) for i in range(width) for j in range(i, width)]
+    if width <= UNROLL_LIMIT:
+        n = F.count(F.lit(1)).cast("double")
+        mean = F.array(*[F.expr(f"avg(e[{i}])") for i in range(width)])
+        cross = F.array(*[F.expr(f"covar_pop(e[{i}], e[{j}])") for i, j in upper])
+        row = errors.agg(n.alias("n"), mean.alias("mean"), cross.alias("spread"))
+        return row.select("n", "mean", F.transform("spread", lambda v: v * F.col("n")).alias("cross"))
+
+    def parts(batches):
+        n, mean, cross = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            x = matrix(batch.column(0), width)
+            if len(x):
+                n, mean, cross = _with_rows(n, mean, cross, x)
+        if n:
+            columns = [pa.array([float(n)]), pa.array([mean.tolist()]), pa.array([cross[np.triu_indices(width)].tolist()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "mean", "cross"])
+
+    return errors.select("e").mapInArrow(parts, MOMENT_TYPE)
+
+
+def merge_moments(rows: DataFrame, width: int) -> ErrorModel:
+    """The error model of all rows whose moments these are (``moment_rows``, of any number of tables together).
+
+    Cross products of parts add up after a correction by their means, cell by cell in Spark; only
+    the finished matrix reaches the driver.  The variance of one feature is that of the population, as in ``fit_error_model``.
+    """
+    upper = [(i, j) for i in range(width) for j in range(i, width)]
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in upper])
+    cells = rows.filter("n > 0").withColumn("pairs", pairs).select("n", "mean", "cross", F.posexplode("pairs").alias("k", "pair"))
+    n, mi, mj = F.col("n"), F.expr("mean[pair.i]"), F.expr("mean[pair.j]")
+    cells = cells.select("n", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.expr("cross[k]").alias("c"), mi.alias("mi"), mj.alias("mj"))
+    total = cells.groupBy("i", "j").agg(F.sum("n").alias("n"), (F.sum(n * F.col("mi")) / F.sum("n")).alias("mi"), (F.sum(n * F.col("mj")) / F.sum("n")).alias("mj"))
+    # One row for each cell of the matrix.
+    shifted = cells.join(F.broadcast(total.select("i", "j", F.col("mi").alias("ti"), F.col("mj").alias("tj"))), ["i", "j"])
+    cross = F.sum(F.col("c") + n * (F.col("mi") - F.col("ti")) * (F.col("mj") - F.col("tj")))
+    found = shifted.groupBy("i", "j").agg(F.sum("n").alias("n"), cross.alias("c"), F.first("ti").alias("mu")).collect()
+    if not found or found[0]["n"] < min(width, 2):
+        raise ValueError("too few error rows to fit an error model on")
+    mu, sigma = np.zeros(width), np.zeros((width, width))
+    for r in found:
+        sigma[r["i"], r["j"]] = sigma[r["j"], r["i"]] = r["c"] / (r["n"] - (width > 1))
+        if r["i"] == r["j"]:
+            mu[r["i"]] = r["mu"]
+    return ErrorModel(mu.tolist(), sigma.tolist())
+
+
+def _with_rows(n: int, mean: np.ndarray, cross: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred cross products with the rows of ``x`` added."""
+    m = x.mean(axis=0)
+    centred, shift, total = x - m, m - mean, n + len(x)
+    return total, mean + shift * (len(x) / total), cross + centred.T @ centred + np.outer(shift, shift) * (n * len(x) / total)
+
+
 def score_points(windows: DataFrame, model: ErrorModel, metric: str = "cov") -> DataFrame:
     """``scores``: one anomaly score per step of every window.  Narrow."""
     weight, mu = model.weight(metric), model.mu

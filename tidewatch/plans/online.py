@@ -21,7 +21,9 @@ from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model, reconstruction_errors, score
 from tidewatch.operators.buffers import buffer_train_val, route_window, update_due
 from tidewatch.operators.checks import guard_rows
-from tidewatch.operators.errors import ErrorModel, error_rows, fit_error_model, flag_windows, score_points, score_windows
+from tidewatch.operators.errors import (
+    ErrorModel, error_rows, fit_error_model, flag_windows, merge_moments, moment_rows, score_points, score_windows,
+)
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.index import count_rows, index_and_count, read_online
 from tidewatch.operators.threshold import point_pools, search_threshold
@@ -102,19 +104,19 @@ def first_due(
 
 def update_model(
     model: Model,
-    normal_buffer: DataFrame,
-    normal_errors: DataFrame,
-    anomalous: DataFrame,
+    rows: DataFrame,
+    moments: DataFrame | None,
     params: Params,
     buffered: Buffered,
 ) -> Model:
     """Next version: refit on buffered false alarms, and replace mu and sigma.
 
-    ``normal_buffer`` has the scaled windows (w, xs) of the false alarms; ``normal_errors``
-    and ``anomalous`` the windows with ``errs`` (and ``xs``) of all expert-normal and all
-    expert-anomalous windows since the last update.
+    ``rows`` and ``moments`` are those of ``buffer_rows`` since the last update: the scaled windows (w, xs) of the
+    false alarms, and the moments of the errors of all expert-normal windows, from which
+    mu and sigma follow exactly.  If errors are made anew or the threshold is searched again, ``rows`` has
+    the errors of all windows instead.
     """
-    ranked, n = index_and_count(normal_buffer.select("w", "xs"), ["w"], "rank")
+    ranked, n = index_and_count(rows.filter("to_norm_buf").select("w", "xs"), ["w"], "rank")
     roles = buffer_train_val(ranked, params.per_batch, n=n)
     train = roles.filter(F.col("role") == "train") if n // params.per_batch > 1 else roles
     reconstructor = model.reconstructor.refit(
@@ -127,11 +129,15 @@ def update_model(
         validation=roles.filter(F.col("role") == "val"),
         shards=params.update_shards,
     )
-    if params.rescore_errors:
-        normal_errors = reconstruction_errors(normal_errors.drop("errs"), reconstructor)
-        anomalous = reconstruction_errors(anomalous.drop("errs"), reconstructor)
-    fitted = fit_error_model(error_rows(normal_errors), params.width)
     threshold = model.threshold
+    if moments is not None:
+        fitted = merge_moments(moments, params.width)
+    else:
+        normal_errors, anomalous = rows.filter("to_norm_err"), rows.filter("to_anom_err")
+        if params.rescore_errors:
+            normal_errors = reconstruction_errors(normal_errors.drop("errs"), reconstructor)
+            anomalous = reconstruction_errors(anomalous.drop("errs"), reconstructor)
+        fitted = fit_error_model(error_rows(normal_errors), params.width)
     if params.refresh_threshold:
         scored = score_points(normal_errors.unionByName(anomalous), fitted, params.metric)
         threshold = search_threshold(
@@ -155,13 +161,13 @@ def advance(
     results: str,
     adapt: bool = True,
     buffered: Buffered | None = None,
-    stored: DataFrame | None = None,
+    stored: tuple[DataFrame, DataFrame | None] | None = None,
     on_update: Callable[[Model], None] = lambda model: None,
 ) -> Advance:
     """Decide batches ``begin..last`` of a window table, moving to new versions where they are due.
 
     Decisions are written under ``results``, one folder per stretch.  ``buffered`` and
-    ``stored`` are the counts and the rows buffered earlier under the present version.
+    ``stored`` are the counts, and the rows and moments buffered earlier under the present version.
     """
     spark = windows.sparkSession
     segments: list[tuple[int, int, int, int]] = []
@@ -181,12 +187,12 @@ def advance(
             begin, stretch = end + 1, stretch * 2
             continue
         # The buffers are the windows of this version's batches, scored once more with their errors kept.
-        mine = save(buffer_rows(windows.filter(F.col("batch").between(since, cut)), model, params), "buffered")
+        mine, moments = buffer_rows(windows.filter(F.col("batch").between(since, cut)), model, params)
+        mine = save(mine, "buffered")
         if stored is not None:
-            mine = stored.unionByName(mine)
-        model = update_model(
-            model, mine.filter("to_norm_buf"), mine.filter("to_norm_err"), mine.filter("to_anom_err"), params, buffered
-        )
+            mine = stored[0].unionByName(mine)
+            moments = moments if moments is None else stored[1].unionByName(moments)
+        model = update_model(model, mine, moments, params, buffered)
         versions.append(model)
         on_update(model)
         begin = since = cut + 1
@@ -205,14 +211,16 @@ def _first_stretch(params: Params, buffered: Buffered) -> int:
     return max(1, params.capacity - buffered.normal // params.per_batch)
 
 
-def buffer_rows(windows: DataFrame, model: Model, params: Params) -> DataFrame:
-    """Scaled windows with their errors and the buffers they enter; no more of them than the next update reads."""
+def buffer_rows(windows: DataFrame, model: Model, params: Params) -> tuple[DataFrame, DataFrame | None]:
+    """What the next update needs of these windows, and no more: the scaled false alarms, and the moments of the errors of normal windows.
+
+    If the update makes errors anew or searches the threshold again, all windows with their errors, and no moments.
+    """
     decided = decide(windows, model, params, keep_errors=True)
     rows = decided.select("w", "xs", "errs", "flags", "is_anomaly", "to_norm_buf", "to_norm_err", "to_anom_err")
     if params.rescore_errors or params.refresh_threshold:
-        return rows
-    needed = {"xs": F.when(F.col("to_norm_buf"), F.col("xs")), "errs": F.when(F.col("to_norm_err"), F.col("errs"))}
-    return rows.filter("to_norm_buf OR to_norm_err").withColumns(needed)
+        return rows, None
+    return rows.filter("to_norm_buf").select("w", "xs", "to_norm_buf"), moment_rows(error_rows(rows.filter("to_norm_err")), params.width)
 
 
 def committed(spark: SparkSession, results: str, segments: list[tuple[int, int, int, int]]) -> DataFrame:

@@ -36,7 +36,7 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
 
     ``root`` holds the models, buffers and progress; decisions go to ``path``.
     """
-    buffers, progress = f"{root}/buffers", f"{root}/progress"
+    buffers, moments, progress = f"{root}/buffers", f"{root}/moments", f"{root}/progress"
 
     def write(windows: DataFrame, batch_id: int) -> None:
         spark = windows.sparkSession
@@ -54,7 +54,9 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
         if ends["first"] is None:
             _mark(spark, progress, batch_id, current, buffered, has_stored)
             return
-        stored = _stored(spark, buffers, current.version, batch_id) if has_stored else None
+        stored = None
+        if has_stored:
+            stored = (_stored(spark, buffers, current.version, batch_id), None if _all_errors(params) else _stored(spark, moments, current.version, batch_id))
         results = scratch_path(spark, "decisions")
         done = advance(
             windows, ends["first"], ends["last"], current, params, results, True, buffered, stored,
@@ -63,8 +65,10 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
         decisions = committed(spark, results, done.segments)
         decisions.write.mode("overwrite").parquet(f"{path}/micro={batch_id}")
         newest = done.versions[-1]
-        left = buffer_rows(windows.filter(F.col("batch") >= done.since), newest, params)
+        left, sums = buffer_rows(windows.filter(F.col("batch") >= done.since), newest, params)
         left.write.mode("overwrite").parquet(f"{buffers}/v={newest.version}/micro={batch_id}")
+        if sums is not None:
+            sums.write.mode("overwrite").parquet(f"{moments}/v={newest.version}/micro={batch_id}")
         _mark(spark, progress, batch_id, newest, done.buffered, True)
 
     return write
@@ -80,11 +84,16 @@ def stream_online(
 
 
 def _stored(spark: SparkSession, buffers: str, version: int, before: int) -> DataFrame:
-    """Buffered windows of earlier micro-batches under the present version."""
+    """What earlier micro-batches buffered under the present version."""
     rows = spark.read.option("basePath", f"{buffers}/v={version}").parquet(f"{buffers}/v={version}")
     return rows.filter(F.col("micro") < before).drop("micro")
 
 
+def _all_errors(params: Params) -> bool:
+    """Updates read the errors of all windows, and not their moments."""
+    return params.rescore_errors or params.refresh_threshold
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
