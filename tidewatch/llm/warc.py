@@ -207,10 +207,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         system, root = fs.FileSystem.from_uri(self.path)
-        listing = f"{root}/_files.json"
-        if system.get_file_info(listing).type == fs.FileType.File:
-            with system.open_input_stream(listing) as file:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(file.read())]
+        lists = _lists(system, root)
+        if lists:
+            files = sorted((f"{root}/{name}", size) for one in lists for name, size in _listed(system, one))
         else:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
             files = sorted((f.path, f.size) for f in found if f.path.endswith((".warc", ".warc.gz")))
@@ -265,14 +264,27 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
 
 
+def _lists(system: fs.FileSystem, root: str) -> list[str]:
+    """The lists of files in a folder, one for each write that ended."""
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith("_files") and f.base_name.endswith(".json"))
+
+
+def _listed(system: fs.FileSystem, path: str) -> list[tuple[str, int]]:
+    with system.open_input_stream(path) as file:
+        return [(name, size) for name, size in json.loads(file.read())]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own; the list of those of the tasks that counted is written at the end.
+    """Each task writes files of its own; a list of those of the tasks that counted is written at the end.
 
-    A repeated or lost task leaves files that are not in the list, and readers don't see them.
+    A repeated or lost task leaves files that are in no list, and readers don't see them.  Every write that
+    appends has a list of its own, and readers take all lists.  One that overwrites takes away the earlier
+    lists and their files once its own list is there.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WarcWritten:
         system, root = fs.FileSystem.from_uri(self.path)
@@ -298,8 +310,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WarcWritten | None]) -> None:
         system, root = fs.FileSystem.from_uri(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/_files.json", compression=None) as file:
+        earlier = _lists(system, root) if self.overwrite else []
+        name = f"files-{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{root}/.{name}", compression=None) as file:
             file.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        system.move(f"{root}/.{name}", f"{root}/_{name}")
+        for one in earlier:
+            files = _listed(system, one)
+            system.delete_file(one)
+            for file, _ in files:
+                system.delete_file(f"{root}/{file}")
 
 
 class WarcDataSource(DataSource):
@@ -316,7 +336,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
