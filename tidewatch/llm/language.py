@@ -152,16 +152,26 @@ class Languages:
         return shares, chosen
 
     def _climb(self, chance, weight, heads, number, share, total) -> tuple[np.ndarray, np.ndarray]:
-        """Expectation-maximisation for many texts at once: shares and log-likelihoods."""
+        """Expectation-maximisation for many texts at once: shares and log-likelihoods.
+
+        Every text stops by itself, so its result does not depend on the texts next to it.
+        """
+        share = share.copy()
+        going = np.arange(len(heads))  # the texts that still move, and their trigrams
+        c, w, h, at = chance, weight, heads, number
         for _ in range(ROUNDS):
-            joint = chance * share[number]
-            norm = joint.sum(axis=1)
-            joint *= (weight / norm)[:, None]
-            new = np.add.reduceat(joint, heads, axis=0) / total[:, None]
-            moved = np.abs(new - share).max(initial=0)
-            share = new
-            if moved < 1e-3:
+            joint = c * share[going][at]
+            joint *= (w / joint.sum(axis=1))[:, None]
+            new = np.add.reduceat(joint, h, axis=0) / total[going][:, None]
+            moves = np.abs(new - share[going]).max(axis=1, initial=0) >= 1e-3
+            share[going] = new
+            if not moves.any():
                 break
+            if not moves.all():
+                mine = moves[at]
+                at = (np.cumsum(moves) - 1)[at[mine]]
+                going, c, w = going[moves], c[mine], w[mine]
+                h = np.searchsorted(at, np.arange(len(going)))
         fit = np.add.reduceat(weight * np.log((chance * share[number]).sum(axis=1)), heads)
         return share, fit
 
