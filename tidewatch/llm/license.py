@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,10 @@ GRAM = 2
 #: Diagonals this close are merged; the share of a template's words a span must hold, and the words of a template
 #: up to which it must hold all.
 REACH, LEAST_SHARE, SHORT = 3, 0.8, 10
-#: Votes that a diagonal of a template with more than two grams needs to count at all.
+#: Votes that a diagonal of a template with more than two grams needs to count at all (within a part of the template).
 LEAST_VOTES = 2
+#: Places of a template whose votes are the bits of one number; longer templates have several such parts.
+BITS = 62
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,7 @@ BASE = [
     Template("cc-by", "cc by", True),
     Template("mit", "mit license", True),
 ]
-#: Passages of well-known licences and notices, at most 63 words each.
+#: Passages of well-known licences and notices, and whole short licences.
 PASSAGES = [
     Template("gpl-2.0", "gnu general public license version 2"),
     Template("gpl-3.0", "gnu general public license version 3"),
@@ -69,6 +72,28 @@ PASSAGES = [
     Template("cc-by-sa", "creative commons attribution sharealike"),
     Template("cc0", "has dedicated the work to the public domain by waiving all of his or her rights"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+        " and this permission notice shall be included in all copies or substantial portions of the software the software is"
+        " provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+        " merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright"
+        " holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies the software is provided"
+        " as is and the author disclaims all warranties with regard to this software including all implied warranties of"
+        " merchantability and fitness in no event shall the author be liable for any special direct indirect or"
+        " consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of"
+        " contract negligence or other tortious action arising out of or in connection with the use or performance of this"
+        " software",
+    ),
 ]
 
 
@@ -82,8 +107,8 @@ def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
     rows = []
     for n, template in enumerate(templates):
         words = word_hashes(template.words)
-        if not GRAM <= len(words) <= 63:
-            raise ValueError(f"a template needs {GRAM} to 63 words: {template.words}")
+        if len(words) < GRAM or template.base and len(words) > BITS:
+            raise ValueError(f"a template needs {GRAM} words, and a base one at most {BITS}: {template.words}")
         rows += [(int(h), n, place) for place, h in enumerate(gram_hashes(words, GRAM).view(np.int64))]
     return spark.createDataFrame(rows, "gram long, template int, place int")
 
@@ -110,14 +135,62 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(counts), pa.int64())], names=["id", "body", "n_words"])
 
 
+def ordered_spans(starts: list[int], parts: list[int], places: list[int], words: int) -> list[tuple[int, int, int]]:
+    """Stretches of a text whose words follow a template: first word, end, and how many words of the template they hold in order.
+
+    Matched grams are chained while both their place in the text and that in the template grow and the diagonal moves by
+    no more than ``REACH``.  Of chains that overlap in the text the one with most words counts, of equal ones the first.
+    """
+    found = [(s + p * BITS + b, p * BITS + b) for s, p, bits in zip(starts, parts, places, strict=True) for b in range(BITS) if bits >> b & 1]
+    at, place = np.array(sorted(found), dtype=np.int64).T
+    start = at - place
+    held, first, low, high = np.full(len(at), GRAM), at.copy(), start.copy(), start.copy()
+    since = np.searchsorted(at, at - words - REACH)
+    for i in range(len(at)):
+        j = slice(since[i], i)
+        step = np.minimum(at[i] - at[j], place[i] - place[j])
+        gain = np.where((step > 0) & (np.abs(start[i] - start[j]) <= REACH), held[j] + np.minimum(GRAM, step), 0)
+        if gain.size and gain.max() > GRAM:
+            best = since[i] + int(gain.argmax())
+            held[i], first[i] = gain[best - since[i]], first[best]
+            low[i], high[i] = min(low[best], start[i]), max(high[best], start[i])
+    taken: list[tuple[int, int]] = []
+    spans = []
+    needed = words * (1 if words <= SHORT else LEAST_SHARE)
+    for i in np.lexsort((at, -held)).tolist():
+        if held[i] < needed:
+            break
+        mine = (int(first[i]), int(at[i]) + GRAM)
+        k = bisect.bisect(taken, mine)
+        if (k == 0 or taken[k - 1][1] <= mine[0]) and (k == len(taken) or taken[k][0] >= mine[1]):
+            taken.insert(k, mine)
+            spans.append((int(low[i]), int(high[i]) + words, int(held[i])))
+    return sorted(spans)
+
+
+def _verified(batches):
+    for batch in batches:
+        rows = [
+            (i, *span)
+            for i, (words, votes) in enumerate(zip(batch.column("words").to_pylist(), batch.column("votes").to_pylist(), strict=True))
+            for span in ordered_spans([v["start"] for v in votes], [v["part"] for v in votes], [v["places"] for v in votes], words)
+        ]
+        taken = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+        kept = [taken.column(c) for c in ("id", "body", "template", "label", "base")]
+        share = np.array([r[3] for r in rows]) / taken.column("words").to_numpy()
+        columns = [*kept, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(share, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "body", "template", "label", "base", "start", "end", "share"])
+
+
 def license_spans(docs: DataFrame, templates: list[Template], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Verified spans: ``id``, ``body`` (hash of the text), ``template``, ``label``, ``base``, ``start``, ``end``, ``share``.
 
     All grams of all texts are joined with the grams of the templates.  A match votes for its
     diagonal, the word that the template would start at; a diagonal's votes are one bit per place in
-    the template, so repeated rows vote once.  Diagonals of a text and template no more than ``REACH`` apart
-    are merged, which takes in left-out and added words.  A span is kept if its
-    matched words are ``LEAST_SHARE`` of the template's, or all of a short one's; base templates need all of them on one diagonal.
+    the template (a row for every ``BITS`` places), so repeated rows vote once.  Diagonals of a text and template no more
+    than ``REACH`` apart are merged, which takes in left-out and added words.  Merged diagonals that could hold enough
+    words are verified: a span is kept if the words that it holds in the template's order are ``LEAST_SHARE`` of the
+    template's, or all of a short one's; base templates need all of them on one diagonal.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType
@@ -126,8 +199,9 @@ def license_spans(docs: DataFrame, templates: list[Template], id_column: str = "
     grams = keyed.mapInArrow(_grams, schema).select("id", "body", F.posexplode("grams").alias("at", "gram"))
     hits = grams.join(F.broadcast(template_grams(spark, templates)), "gram")
     facts = spark.createDataFrame([(n, t.label, t.base, len(t.words.split())) for n, t in enumerate(templates)], "template int, label string, base boolean, words int")
-    votes = hits.groupBy("id", "body", "template", (F.col("at") - F.col("place")).alias("start")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("places")
+    place = F.col("place") % BITS
+    votes = hits.groupBy("id", "body", "template", (F.col("at") - F.col("place")).alias("start"), F.expr(f"cast(place div {BITS} AS int)").alias("part")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("places")
     )
     votes = save(votes, "votes").join(F.broadcast(facts), "template").withColumn("n", F.bit_count("places"))
     whole = F.col("n") == F.col("words") - 1
@@ -137,15 +211,15 @@ def license_spans(docs: DataFrame, templates: list[Template], id_column: str = "
     of_text = Window.partitionBy("id", "body", "template").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag("start").over(of_text) > REACH, F.lit(True))
     loose = loose.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(of_text))
-    merged = loose.groupBy("id", "body", "template", "label", "base", "words", "run").agg(
-        F.min("start").alias("start"), F.max("start").alias("last"), F.bit_or("places").alias("places")
-    )
     # A gram at a place holds the words at this place and the next.
     held = F.bit_count(F.col("places").bitwiseOR(F.shiftleft("places", 1)))
-    share = F.least(F.lit(1.0), held / F.col("words"))
-    merged = merged.filter(share >= F.when(F.col("words") <= SHORT, F.lit(1.0)).otherwise(F.lit(LEAST_SHARE)))
-    merged = merged.select("id", "body", "template", "label", "base", "start", (F.col("last") + F.col("words")).alias("end"), share.alias("share"))
-    return exact.unionByName(merged)
+    merged = loose.groupBy("id", "body", "template", "label", "base", "words", "run").agg(
+        F.sum(held).alias("held"), F.collect_list(F.struct("start", "part", "places")).alias("votes")
+    )
+    merged = merged.filter(F.col("held") >= F.col("words") * F.when(F.col("words") <= SHORT, F.lit(1.0)).otherwise(F.lit(LEAST_SHARE)))
+    verified = T.StructType().add("id", kind).add("body", "long").add("template", "integer").add("label", "string").add("base", "boolean")
+    verified = verified.add("start", "integer").add("end", "integer").add("share", "double")
+    return exact.unionByName(merged.mapInArrow(_verified, verified))
 
 
 def scan_licenses(docs: DataFrame, passages: list[Template] | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
