@@ -180,6 +180,14 @@ def test_digest_index_takes_in_batches_and_is_found_again(spark, documents):
     assert first + new == digests.select("digest").distinct().count()
     assert spark.table("index_opened_again").groupBy("digest").count().filter("count > 1").count() == 0
     assert again.add(digests).count() == 0
+    # Its own number of buckets holds, another one is refused, and a batch under its old number adds nothing.
+    with pytest.raises(ValueError, match="8 buckets"):
+        DigestIndex(spark, path, "index_of_other_buckets", buckets=12)
+    third = DigestIndex(spark, path, "index_opened_third")
+    assert third.buckets == 8 and third.batches == 2
+    assert third.add(digests, batch=1).count() == new
+    assert third.add(digests.filter("doc_id < 600"), batch=0).count() == first
+    assert spark.read.parquet(third.data).count() == first + new
     plan = digests.join(spark.table("index_opened_again").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
@@ -248,6 +256,17 @@ def test_archive_of_odd_pages(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_grow_by_appending_and_start_anew_when_overwritten(spark):
+    path = scratch_path(spark, "warc")
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    warc.write_warc(pages.filter("page_id < 30"), path)
+    warc.write_warc(pages.filter("page_id >= 30"), path)
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, path).collect()) == sorted(r["page_id"] for r in pages.collect())
+    held = spark.createDataFrame(warc.read_warc(spark, path).filter("page_id < 5").collect(), warc.SCHEMA)
+    held.write.format("warc").mode("overwrite").save(path)
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, path).collect()) == list(range(5))
+
+
 def test_filters_and_columns_reach_the_reader(spark):
     path = scratch_path(spark, "warc")
     warc.write_warc(spark.read.parquet(f"{SF}/pages.parquet"), path)

@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF, odd_texts
-from tidewatch.llm import bpe, license, packing, queries
+from tidewatch.llm import bpe, language, license, packing, queries
 from tidewatch.llm.language import UNKNOWN, Languages, identify
 from tidewatch.llm.ngram import BigramModel, score_documents
 from tidewatch.llm.text import hash_word, text_slices, word_bounds
@@ -68,6 +68,60 @@ def test_language_of_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in identify(odd, Languages.fit(empty)).collect()} == {UNKNOWN}
 
 
+def plain_slots(text: str | None) -> list[int]:
+    """Slots of the trigrams of a text, byte by byte: words with one blank around them, and one more blank at the end."""
+    data = (text or "").lower().encode()
+    words = re.findall(rb"[a-z\x80-\xff]+", data)
+    stream = b" " + b" ".join(words) + (b" " if words and not re.search(rb"[a-z\x80-\xff]\Z", data) else b"") + b" "
+    grams = [int.from_bytes(stream[i : i + 3], "big") for i in range(len(stream) - 2)]
+    return [g * 0x9E3779B1 % 2**32 >> 16 for g in grams]
+
+
+def plain_climb(counts: Counter, chance: np.ndarray, share: dict[int, float]) -> tuple[dict[int, float], float]:
+    for _ in range(language.ROUNDS):
+        new = dict.fromkeys(share, 0.0)
+        for slot, n in counts.items():
+            norm = math.fsum(chance[slot, k] * v for k, v in share.items())
+            for k, v in share.items():
+                new[k] += n * chance[slot, k] * v / norm
+        new = {k: v / counts.total() for k, v in new.items()}
+        moved, share = max(abs(new[k] - share[k]) for k in share), new
+        if moved < 1e-3:
+            break
+    return share, math.fsum(n * math.log(math.fsum(chance[slot, k] * v for k, v in share.items())) for slot, n in counts.items())
+
+
+def plain_mixture(text: str | None, model: Languages) -> dict[int, float]:
+    """One text by itself: all languages, then the least share goes as long as that costs less than its penalty."""
+    counts = Counter(plain_slots(text))
+    if not counts:
+        return {}
+    share, fit = plain_climb(counts, model.chance, dict.fromkeys(range(len(model.names)), 1 / len(model.names)))
+    while len(share) > 1:
+        least = min(share, key=lambda k: (share[k], k))
+        rest = {k: v + 1e-6 for k, v in share.items() if k != least}
+        new, new_fit = plain_climb(counts, model.chance, {k: v / sum(rest.values()) for k, v in rest.items()})
+        if (fit - new_fit) * language.INDEPENDENT >= 0.5 * math.log(max(counts.total() * language.INDEPENDENT, 2)):
+            break
+        share, fit = new, new_fit
+    return share
+
+
+def test_mixtures_against_one_text_at_a_time(documents):
+    model = Languages.fit(documents)
+    texts = [r["text"] for r in documents.filter("doc_id % 20 = 0").collect()]
+    texts += [t for _, t, _ in odd_texts() if len(t or "") < 20_000]
+    texts += [f"{a[:300]} {b[:200]}" for a, b in zip(texts[:20], texts[20:40], strict=True)]
+    names, best, shares, chosen = model.predict(pa.array(texts, pa.string()))
+    for text, name, score, row, number in zip(texts, names, best.tolist(), shares, chosen.tolist(), strict=True):
+        expected = plain_mixture(text, model)
+        assert number == len(expected)
+        assert np.allclose(row, [expected.get(k, 0) for k in range(len(row))], rtol=0, atol=1e-9)
+        assert name == (model.names[max(expected, key=lambda k: (expected[k], -k))] if expected else UNKNOWN)
+        alone = model.predict(pa.array([text], pa.string()))
+        assert alone[0] == [name] and abs(alone[1][0] - score) < 1e-12
+
+
 def test_toxicity_of_held_out_documents(spark):
     rows = queries.op2_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -230,6 +284,50 @@ def test_license_spans_bear_added_and_left_out_words(spark):
     assert [(r["start"], r["end"], r["share"]) for r in spans if r["id"] == 1] == [(1, 1 + len(whole), 1.0)]
 
 
+def test_license_spans_follow_the_order_of_the_template(spark):
+    """Whole licences are found; a passage whose words are shuffled in blocks of two is none; each of two passages is a span."""
+    short, whole = license.PASSAGES[7].words.split(), next(t.words.split() for t in license.PASSAGES if len(t.words.split()) > 150)
+    blocks = [short[i : i + 2] for i in range(0, len(short), 2)]
+    shuffled = [w for k in range(4) for block in blocks[k::4] for w in block]
+    swapped = [w for a, b in zip(blocks[::2], blocks[1::2], strict=False) for w in (*b, *a)]
+    rows = [(1, " ".join(shuffled)), (2, " ".join(swapped)), (3, " ".join(["x", *whole, "y"])), (4, " ".join([*short, *short, "and", *short]))]
+    rows += [(5, " ".join(["the"] * 30_000)), (6, " ".join([*whole[:70], "more", *whole[70:90], *whole[95:]]))]
+    spans = license.license_spans(spark.createDataFrame(rows, "doc_id long, text string"), license.PASSAGES).collect()
+    found = {(r["id"], r["start"], r["end"], r["share"]) for r in spans if len(license.PASSAGES[r["template"]].words.split()) > 150}
+    n, m = len(whole), len(short)
+    assert found == {(3, 1, 1 + n, 1.0)}
+    assert {(r["start"], r["share"]) for r in spans if r["id"] == 4 and r["template"] == 7} == {(0, 1.0), (m, 1.0), (2 * m + 1, 1.0)}
+    assert not [r for r in spans if r["id"] in (1, 2, 5)]
+
+
+def longest_in_order(text: list[str], template: list[str]) -> int:
+    """Most template words held by a chain of matched pairs, tried pair by pair."""
+    pairs = [(a, p) for a in range(len(text) - 1) for p in range(len(template) - 1) if text[a : a + 2] == template[p : p + 2]]
+    best: dict[tuple[int, int], int] = {}
+    for a, p in pairs:
+        gains = [n + min(2, a - b, p - q) for (b, q), n in best.items() if b < a and q < p and abs(a - p - b + q) <= license.REACH]
+        best[a, p] = max([2, *gains])
+    return max(best.values(), default=0)
+
+
+def test_ordered_spans_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        template = [str(w) for w in rng.integers(0, 12, rng.integers(11, 90))]
+        text = [w for w in template if rng.random() > 0.08]
+        for k in rng.integers(0, len(text), 4).tolist():
+            text[k:k] = text[-3:] if rng.random() < 0.3 else ["new"]
+        votes: dict[tuple[int, int], int] = {}
+        for a in range(len(text) - 1):
+            for p in range(len(template) - 1):
+                if text[a : a + 2] == template[p : p + 2]:
+                    key = a - p, p // license.BITS
+                    votes[key] = votes.get(key, 0) | 1 << p % license.BITS
+        spans = license.ordered_spans([k[0] for k in votes], [k[1] for k in votes], list(votes.values()), len(template))
+        most, needed = longest_in_order(text, template), len(template) * (1 if len(template) <= license.SHORT else license.LEAST_SHARE)
+        assert max((s[2] for s in spans), default=0) == (most if most >= needed else 0)
+
+
 def check_packing(rows, texts):
     library = tokenizers.Tokenizer.from_file(WORD_BPE)
     expected = Counter()
