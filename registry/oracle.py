@@ -251,6 +251,11 @@ def sql() -> dict[str, str]:
     for name, stream in (("replay_fixed", "U"), ("replay_fixed_lineitem", "M")):
         out[name] = f"{online(stream, HARD)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged, is_anomaly FROM dec"
     out["replay_fixed_auc"] = f"{online('M')} SELECT {r6('auc')} AS auc FROM ({AUC})"
+    out["replay_adaptive_rows"] = out["stream_adaptive_rows"] = f"{online('U')} SELECT {big('w', 'batch')}, is_anomaly FROM dec"
+    out["run_log_rows"] = f"""{online('M')}, found(metric, value) AS (
+    SELECT 'updates', 0.0::DOUBLE UNION ALL SELECT 'batches', count(DISTINCT batch) FROM dec
+    UNION ALL SELECT 'auc', {r6('auc')} FROM ({AUC}) UNION ALL SELECT 'seconds', NULL)
+  SELECT 'night' AS run, metric, value FROM found"""
     out["replay_with_labels"] = f"""{online('U', HARD)} SELECT {big('w', 'batch', 'n_over')}, {r6('score_max')} AS score_max, flagged,
   verdict AS is_anomaly FROM dec JOIN (SELECT w, bool_or(x[1] > 220) AS verdict FROM orows GROUP BY w) USING (w)"""
     out["row_report"] = f"""SELECT count(*) AS rows, CAST(count_if(len(x) != 4) AS BIGINT) AS wrong_width,

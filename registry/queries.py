@@ -19,7 +19,7 @@ from tidewatch.operators import windows as win
 from tidewatch.plans.initialize import init_windows, initialize
 from tidewatch.plans.online import DECISION, replay_online, update_report
 from tidewatch.plans.prepare import prepare_forest, prepare_power, prepare_services
-from tidewatch.sources.models import load_model, save_model
+from tidewatch.sources.models import load_model, save_model, train_metrics
 from tidewatch.sources.series import parse_column_kinds, read_series, series_schema, spread_vector, write_series
 from tidewatch.streaming.online import stream_online
 from tidewatch.streaming.windows import count_windows_stream, parquet_windows
@@ -608,10 +608,36 @@ def replay_adaptive_lineitem(spark, sf):
 @query
 def replay_adaptive_lstm(spark, sf):
     s, n, params = a_few_updates(spark, sf, "D")
-    params = params.but(kind="lstm", update_epochs=12)
+    params = params.but(kind="lstm")
     return replay_online(s, initialize(s, params, n=n), params, n=n).windows
 
 
+@query
+def replay_adaptive_rows(spark, sf):
+    """What every window of an adaptive run is known by, whatever the versions decide."""
+    s, n, params = a_few_updates(spark, sf, "U")
+    return replay_online(s, initialize(s, params, n=n), params, n=n).windows.select("w", "batch", "is_anomaly")
+
+
+@query
+def update_losses(spark, sf):
+    """Losses of every epoch of every version: trained on, kept out, and of anomalous windows."""
+    s, n, params = a_few_updates(spark, sf, "D")
+    params, root = params.but(kind="lstm", watch_updates=True), scratch_path(spark, "models")
+    replay_online(s, initialize(s, params, root=root, n=n), params, root=root, n=n)
+    return train_metrics(spark, root, params)
+
+
+@query
+def run_log_rows(spark, sf):
+    """What a run writes about itself, read back; its seconds only as a mark that they are there."""
+    s, n, params = setup(spark, sf, "M")
+    log = scratch_path(spark, "log")
+    replay_online(s, initialize(s, params, n=n), params, adapt=False, n=n, log=log, run="night")
+    value = F.when(F.col("metric") != "seconds", F.round(F.col("value").cast("double"), 6))
+    return spark.read.parquet(log).select("run", "metric", value.alias("value"))
+
+
 @query
 def replay_with_labels(spark, sf):
     """Verdicts of an expert, several a window, in place of the labels of the rows."""
@@ -651,6 +677,12 @@ def adaptation_report(spark, sf):
     return update_report(s, initialize(s, params, n=n), params, n)
 
 
+@query
+def adaptation_report_events(spark, sf):
+    s, n, params = a_few_updates(spark, sf, "U")
+    return update_report(s, initialize(s, params, n=n), params, n)
+
+
 # ---- streams
 
 
@@ -703,3 +735,9 @@ def stream_scores(spark, sf):
 @query
 def stream_adaptive(spark, sf):
     return online_stream(spark, sf, "D", True)
+
+
+@query
+def stream_adaptive_rows(spark, sf):
+    """The adaptive stream over all events, and what every window is known by."""
+    return online_stream(spark, sf, "U", True).select("w", "batch", "is_anomaly")

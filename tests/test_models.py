@@ -8,6 +8,7 @@ from tidewatch.models.lstm import Recurrent, _forward, _initial, _layout, _unpac
 from tidewatch.models.pca import Linear
 from tidewatch.models.profile import Profile
 from tidewatch.operators.errors import ErrorModel, mse
+from tidewatch.plans.online import anomalous_batches
 from tidewatch.plans.params import Params, params
 from tidewatch.sources.models import load_model, save_model, train_metrics
 from tests.test_operators import make_windows
@@ -121,6 +122,25 @@ def test_update_goes_on_with_the_optimizer_state(spark):
     assert np.allclose(again.numbers, numbers, atol=1e-9)
 
 
+def test_watched_sets_give_losses_by_epoch_and_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((12, 4, 1)), rng.random((3, 4, 1)) * 3
+    w, odd = make_windows(spark, x), make_windows(spark, y)
+    batches = anomalous_batches(odd, 8)
+    assert [r["w"] for r in batches.orderBy("rank").collect()] == [0, 1, 2, 0, 1, 2, 0, 1]
+    assert anomalous_batches(odd.limit(0), 8) is None
+    start = Recurrent.fit(w, 2, per_batch=4, max_epochs=1, shards=1, seed=3)
+    plain = start.refit(w, 4, max_epochs=4, min_delta=10.0, patience=2)
+    watched = start.refit(w, 4, max_epochs=4, min_delta=10.0, patience=2, validation=w.filter("w >= 8"), anomalous=batches)
+    assert np.allclose(plain.numbers, watched.numbers, atol=1e-12)
+    assert [h[1] for h in watched.history] == pytest.approx([h[1] for h in plain.history]) and plain.history[-1][2:] == (None, None)
+    kernel = watched.kernel()
+    repeated = np.concatenate([y, y, y[:2]])
+    assert watched.history[-1][2] == pytest.approx(float(((kernel(x[8:]) - x[8:]) ** 2).mean()))
+    assert watched.history[-1][3] == pytest.approx(float(((kernel(repeated) - repeated) ** 2).mean()))
+    assert len({h[3] for h in watched.history}) == len(watched.history)
+
+
 def test_early_stop_restores_best(spark):
     x = RNG.random((8, 4, 1))
     w = make_windows(spark, x)
@@ -185,6 +205,9 @@ def test_model_store(spark, tmp_path):
         assert np.allclose(back.reconstructor.kernel()(x), rec.kernel()(x))
     assert load_model(spark, root, settings, 1).reconstructor.kind == "pca"
     assert train_metrics(spark, root, settings).count() == 3
+    save_model(spark, Model(rec, model.errors, 3, None, [(0, 0.5, None, None), (1, 0.25, 0.5, 2.0)]), root, settings)
+    rows = train_metrics(spark, root, settings).filter("version = 3").orderBy("epoch").collect()
+    assert [tuple(r) for r in rows] == [(3, 0, 0.5, None, None), (3, 1, 0.25, 0.5, 2.0)]
 
 
 def test_params():

@@ -47,7 +47,7 @@ class Model:
     errors: ErrorModel
     version: int = 0
     bounds: tuple[list[float], list[float]] | None = None
-    history: list[tuple[int, float, float | None]] = field(default_factory=list)
+    history: list[tuple[int, float, float | None, float | None]] = field(default_factory=list)
 
     @property
     def threshold(self) -> float | None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +187,7 @@ class Recurrent:
     width: int
     hidden: int
     numbers: np.ndarray
-    history: tuple[tuple[int, float, float | None], ...] = ()
+    history: tuple[tuple[int, float, float | None, float | None], ...] = ()  # epoch, loss, those of normal and of anomalous windows kept out
     optimizer: np.ndarray | None = None  # Adam's two moments and its step count; None: not trained yet
     kind: str = "lstm"
 
@@ -203,29 +204,36 @@ class Recurrent:
         """Fit on normal windows, taken in batches from the last one backwards."""
         start = cls.initial(*(shape or window_width(windows)), hidden, seed)
         batches = reverse_batches(windows.select("w", "xs"), per_batch, full_only=False)
-        return start._train(batches, max_epochs, patience, min_delta, shards, validation=validation)
+        return start._train(batches, max_epochs, patience, min_delta, shards, validation, by_validation=validation is not None)
 
     def refit(
         self, buffer: DataFrame, per_batch: int, max_epochs: int = 300, patience: int = 10, min_delta: float = 0.005,
-        shards: int = 1, stop_metric: str = "last_batch", validation: DataFrame | None = None, **_,
+        shards: int = 1, stop_metric: str = "last_batch", validation: DataFrame | None = None, anomalous: DataFrame | None = None, **_,
     ) -> "Recurrent":
-        """Continue from the present weights and optimizer state on buffered windows in arrival order."""
+        """Continue from the present weights and optimizer state on buffered windows in arrival order.
+
+        With ``anomalous`` windows, every epoch's history has the losses of ``validation`` and of these; they don't
+        decide when to stop.
+        """
         batches = arrival_batches(buffer.select("w", "xs"), per_batch, full_only=False)
         return self._train(
             batches, max_epochs, patience, min_delta, shards,
-            validation=validation if stop_metric == "val_mean" else None, last_batch=stop_metric == "last_batch",
+            validation if stop_metric == "val_mean" or anomalous is not None else None, anomalous,
+            by_validation=stop_metric == "val_mean" and validation is not None, last_batch=stop_metric == "last_batch",
         )
 
-    def _train(self, batches, max_epochs, patience, min_delta, shards, validation=None, last_batch=False):
+    def _train(self, batches, max_epochs, patience, min_delta, shards, validation=None, anomalous=None, by_validation=False, last_batch=False):
         """Epochs until ``patience`` of them in a row brought no drop above ``min_delta``.
 
-        With a validation set the weights of its best epoch are restored after an early stop.
+        ``by_validation``, the loss of the validation set is watched, and the weights of its best epoch are restored after an early stop.
         """
         train = (
             batches.repartitionById(shards, (F.col("batch") % shards).cast("int"))
             .sortWithinPartitions("batch", "pos")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        sets = [d.select(F.lit(role).alias("role"), "xs") for role, d in (("normal", validation), ("anomalous", anomalous)) if d is not None]
+        apart = reduce(DataFrame.unionByName, sets).persist(StorageLevel.MEMORY_AND_DISK) if sets else None
         size = len(self.numbers)
         moments = np.zeros(2 * size + 1) if self.optimizer is None else self.optimizer
         state = np.concatenate([self.numbers, moments, np.zeros(2)])
@@ -234,38 +242,43 @@ class Recurrent:
             for epoch in range(max_epochs):
                 state = _epoch(train, state, self.hidden, self.length, self.width)
                 weights = state[:size].copy()
-                checked = None
-                if validation is not None:
-                    checked = Recurrent(self.length, self.width, self.hidden, weights).validate(validation)
-                history.append((epoch, float(state[-2]), checked))
-                watched = checked if checked is not None else float(state[-1] if last_batch else state[-2])
+                losses = {}
+                if apart is not None:
+                    losses = Recurrent(self.length, self.width, self.hidden, weights).losses(apart)
+                checked = losses.get("normal")
+                history.append((epoch, float(state[-2]), checked, losses.get("anomalous")))
+                watched = checked if by_validation and checked is not None else float(state[-1] if last_batch else state[-2])
                 if watched < best_loss:
                     best, best_loss = weights, watched
                 idle = 0 if epoch > 0 and previous - watched > min_delta else idle + 1
                 previous = watched
                 if epoch > 0 and idle > patience:
-                    if validation is not None:
+                    if by_validation:
                         weights = best
                     break
         finally:
             train.unpersist()
+            if apart is not None:
+                apart.unpersist()
         return Recurrent(self.length, self.width, self.hidden, weights, tuple(history), state[size:-2].copy())
 
-    def validate(self, windows: DataFrame) -> float:
-        """Mean squared error over all windows, without changing the weights."""
+    def validate(self, windows: DataFrame) -> float | None:
+        """Mean squared error over all windows, without changing the weights; None without windows."""
+        return self.losses(windows.select(F.lit("all").alias("role"), "xs")).get("all")
+
+    def losses(self, windows: DataFrame) -> dict[str, float]:
+        """Mean squared error of the windows of every ``role``, in one pass; roles without windows are left out."""
         kernel, length, width = self.kernel(), self.length, self.width
 
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x = tensor(batch.column(0), length, width)
+                    x = tensor(batch.column(1), length, width)
                     squared = ((kernel(x) - x) ** 2).mean(axis=(1, 2))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([squared.sum()]), pa.array([float(len(x))])], names=["s", "n"]
-                    )
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(squared, pa.float64())], names=["role", "loss"])
 
-        parts = windows.select("xs").mapInArrow(run, "s double, n double")
-        return parts.agg(F.sum("s") / F.sum("n")).first()[0]
+        rows = windows.select("role", "xs").mapInArrow(run, "role string, loss double")
+        return {r["role"]: r["loss"] for r in rows.groupBy("role").agg(F.avg("loss").alias("loss")).collect()}
 
     def expression(self) -> None:
         return None

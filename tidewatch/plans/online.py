@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scratch import save, scratch_path
 from tidewatch.models.base import Model, reconstruction_errors, score
-from tidewatch.operators.buffers import buffer_train_val, route_window, update_due
+from tidewatch.operators.buffers import (
+    buffer_train_val, oversample_by_doubling, route_window, truncate_to_batches, update_due,
+)
 from tidewatch.operators.checks import guard_rows
 from tidewatch.operators.errors import (
     ErrorModel, error_rows, fit_error_model, flag_windows, merge_moments, moment_rows, score_points, score_windows,
@@ -113,7 +115,8 @@ def update_model(
 
     ``rows`` and ``moments`` are those of ``buffer_rows`` since the last update: the scaled windows (w, xs) of the
     false alarms, and the moments of the errors of all expert-normal windows, from which
-    mu and sigma follow exactly.  If errors are made anew or the threshold is searched again, ``rows`` has
+    mu and sigma follow exactly.  ``watch_updates``, ``rows`` has the anomalous windows too: repeated until they fill a batch,
+    whole batches of them are the second set whose loss is measured after every epoch.  If errors are made anew or the threshold is searched again, ``rows`` has
     the errors of all windows instead.
     """
     ranked, n = index_and_count(rows.filter("to_norm_buf").select("w", "xs"), ["w"], "rank")
@@ -128,6 +131,7 @@ def update_model(
         stop_metric=params.stop_metric,
         validation=roles.filter(F.col("role") == "val"),
         shards=params.update_shards,
+        anomalous=anomalous_batches(rows.filter("is_anomaly"), params.per_batch) if params.watch_updates else None,
     )
     threshold = model.threshold
     if moments is not None:
@@ -152,6 +156,14 @@ def update_model(
     )
 
 
+def anomalous_batches(rows: DataFrame, per_batch: int) -> DataFrame | None:
+    """Whole batches of the buffered anomalous windows, repeated if they are fewer than a batch; None without any."""
+    ranked, n = index_and_count(rows.select("w", "xs"), ["w"], "rank")
+    if n == 0:
+        return None
+    return truncate_to_batches(oversample_by_doubling(ranked, per_batch, n=n), per_batch)
+
+
 def advance(
     windows: DataFrame,
     begin: int,
@@ -212,7 +224,7 @@ def _first_stretch(params: Params, buffered: Buffered) -> int:
 
 
 def buffer_rows(windows: DataFrame, model: Model, params: Params) -> tuple[DataFrame, DataFrame | None]:
-    """What the next update needs of these windows, and no more: the scaled false alarms, and the moments of the errors of normal windows.
+    """What the next update needs of these windows, and no more: the scaled false alarms (and anomalous windows, if they are watched), and the moments of the errors of normal windows.
 
     If the update makes errors anew or searches the threshold again, all windows with their errors, and no moments.
     """
@@ -220,7 +232,10 @@ def buffer_rows(windows: DataFrame, model: Model, params: Params) -> tuple[DataF
     rows = decided.select("w", "xs", "errs", "flags", "is_anomaly", "to_norm_buf", "to_norm_err", "to_anom_err")
     if params.rescore_errors or params.refresh_threshold:
         return rows, None
-    return rows.filter("to_norm_buf").select("w", "xs", "to_norm_buf"), moment_rows(error_rows(rows.filter("to_norm_err")), params.width)
+    moments = moment_rows(error_rows(rows.filter("to_norm_err")), params.width)
+    if params.watch_updates:
+        return rows.filter("to_norm_buf OR is_anomaly").select("w", "xs", "to_norm_buf", "is_anomaly"), moments
+    return rows.filter("to_norm_buf").select("w", "xs", "to_norm_buf"), moments
 
 
 def committed(spark: SparkSession, results: str, segments: list[tuple[int, int, int, int]]) -> DataFrame:

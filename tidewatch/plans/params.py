@@ -31,6 +31,7 @@ class Params:
     stop_metric: str = "last_batch"
     refresh_threshold: bool = False
     rescore_errors: bool = False
+    watch_updates: bool = False  # an update's history has the losses of its last normal batch and of the anomalous windows, by epoch
     shards: int = 8  # parts of the training batches that are walked side by side in an epoch of the first fit
     update_shards: int = 1  # the same at an update
     seed: int = 0

@@ -15,7 +15,7 @@ from tidewatch.operators.errors import ErrorModel
 _SCHEMA = (
     "version long, kind string, length int, width int, hidden int, numbers array<double>, mu array<double>, "
     "sigma array<array<double>>, threshold double, low array<double>, high array<double>, "
-    "history array<struct<epoch:int,loss:double,val_loss:double>>, optimizer array<double>"
+    "history array<struct<epoch:int,loss:double,val_loss:double,anomalous_loss:double>>, optimizer array<double>"
 )
 
 
@@ -30,7 +30,7 @@ def save_model(spark: SparkSession, model: Model, root: str, params) -> None:
     row = (
         model.version, rec.kind, rec.length, rec.width, params.hidden, rec.parameters(),
         [float(m) for m in err.mu], [[float(v) for v in r] for r in err.sigma], err.threshold, low, high,
-        [(int(e), float(l), None if v is None else float(v)) for e, l, v in model.history],
+        [(int(h[0]), *(None if v is None else float(v) for v in (*h[1:], None, None)[:3])) for h in model.history],
         None if getattr(rec, "optimizer", None) is None else rec.optimizer.tolist(),
     )
     target = f"{_home(root, params)}/v={model.version}"
@@ -57,7 +57,7 @@ def load_model(spark: SparkSession, root: str, params, version: int | str = "lat
 
 
 def train_metrics(spark: SparkSession, root: str, params) -> DataFrame:
-    """(version, epoch, loss, val_loss) of every stored version."""
+    """(version, epoch, loss, val_loss, anomalous_loss) of every stored version; losses that were not measured are null."""
     return model_table(spark, root, params).select("version", F.inline("history"))
 
 
