@@ -136,6 +136,27 @@ def test_gray_index_finds_all_classes(spread):
     assert label.tolist() == [union.find(i) for i in range(len(codes))]
 
 
+def test_every_pair_of_a_cell_goes_through_the_tree(spark, documents):
+    prints = simhash.fingerprints(documents).select(F.col("fingerprint").alias("node")).distinct()
+    rows = simhash.dealt(prints).coalesce(1).collect()
+    held = np.array([tuple(r) for r in rows], dtype=np.int64)
+    rank = lambda c: c if not c else c ^ rank(c >> 1)
+    held = np.array(sorted(held.tolist(), key=lambda r: (rank(r[0]), rank(r[1] % (1 << 64)))))
+    keys, codes = (np.ascontiguousarray(held[:, i]).view(np.uint64) for i in (0, 1))
+    index = simhash.GrayIndex(codes, keys)
+    label = index.classes(4)
+    nodes = len(index.levels[0][0])
+    assert len(index.levels) > 2 and index.pruned > 0
+    assert index.compared < nodes * (nodes + 1) / 2 / 4
+    linked = 0
+    for start in np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1))).tolist():
+        cell = np.flatnonzero(keys[start : start + 5000] == keys[start]) + start
+        a, b = np.nonzero(np.bitwise_count(codes[cell][:, None] ^ codes[cell][None, :]) <= 4)
+        linked += int((a < b).sum())
+        assert (label[cell[a]] == label[cell[b]]).all()
+    assert linked
+
+
 def test_links_lose_no_class(spark):
     draw = random.Random(8)
     codes = {0}

@@ -17,9 +17,11 @@ from tidewatch.llm.components import components, smallest_member
 from tidewatch.llm.text import connect, text_slices
 
 WORDS, LIMIT, SEED = 4, 4, 42
-#: Fingerprints compared directly below the lowest node, and children of an upper node.
+#: Fingerprints of a lowest node, and children of an upper node.
 LEAF, FAN = 32, 8
 _PAIRS_AT_ONCE = 1 << 16
+#: Rows under one tree: as many whole cells as come to this.
+TREE = 1 << 16
 #: Fingerprints of a cell that are not cut into parts.
 HOME = 1 << 14
 
@@ -93,25 +95,36 @@ def cells(fingerprint: Column, limit: int = LIMIT) -> Column:
     return F.array(*keys)
 
 
+def _shared(value: np.ndarray, mask: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits that all of every ``width`` neighbours know and agree in, and which bits those are."""
+    starts = np.arange(0, len(value), width)
+    first = value[starts]
+    differ = np.bitwise_or.reduceat(value ^ np.repeat(first, np.diff(np.append(starts, len(value)))), starts)
+    mask = np.bitwise_and.reduceat(mask, starts) & ~differ
+    return first & mask, mask
+
+
 class GrayIndex:
     """Fingerprints in Gray order under a tree whose nodes hold the bits all members share.
 
-    Level 0 are runs of ``LEAF`` fingerprints, every further level runs of ``FAN`` nodes.
+    Level 0 are runs of ``LEAF`` fingerprints, every further level runs of ``FAN`` nodes.  With
+    ``keys`` (the cell of each; rows in the Gray order of cells, then of codes), only pairs of one
+    cell must be found, so nodes whose shared bits of the cell differ at all are apart.
+
+    ``pruned`` and ``compared`` count the pairs of nodes that went as a whole and the pairs of
+    lowest nodes whose members were compared.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, keys: np.ndarray | None = None):
         self.codes = codes
-        starts = np.arange(0, len(codes), LEAF)
-        first = codes[starts]
-        differ = np.bitwise_or.reduceat(codes ^ np.repeat(first, np.diff(np.append(starts, len(codes)))), starts)
-        self.levels = [(first & ~differ, ~differ)]
+        self.pruned = self.compared = 0
+        known = np.full(len(codes), ~np.uint64(0))
+        cell = np.zeros(len(codes), np.uint64) if keys is None else keys
+        width = LEAF
+        self.levels = [(*_shared(codes, known, width), *_shared(cell, known, width))]
         while len(self.levels[-1][0]) > FAN:
-            value, mask = self.levels[-1]
-            starts = np.arange(0, len(value), FAN)
-            first = value[starts]
-            differ = np.bitwise_or.reduceat(value ^ np.repeat(first, np.diff(np.append(starts, len(value)))), starts)
-            shared = np.bitwise_and.reduceat(mask, starts) & ~differ
-            self.levels.append((first & shared, shared))
+            value, mask, cell, known = self.levels[-1]
+            self.levels.append((*_shared(value, mask, FAN), *_shared(cell, known, FAN)))
 
     def classes(self, limit: int) -> np.ndarray:
         """Smallest position connected with each fingerprint by links of ``limit`` or fewer bits.
@@ -133,12 +146,13 @@ class GrayIndex:
                     part = slice(lo, lo + _PAIRS_AT_ONCE)
                     stack.append((level, a[part], b[part], apart[part], seen[part]))
                 continue
-            value, mask = self.levels[level]
+            value, mask, cell, known = self.levels[level]
             shared = mask[a] & mask[b]
             apart = apart + np.bitwise_count((value[a] ^ value[b]) & shared & ~seen)
             low, high = self._spread(label, level)
             joined = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
-            keep = (apart <= limit) & ~joined
+            keep = (apart <= limit) & ((cell[a] ^ cell[b]) & known[a] & known[b] == 0) & ~joined
+            self.pruned += int(len(a) - keep.sum())
             a, b, apart, shared = a[keep], b[keep], apart[keep], shared[keep]
             if not len(a):
                 continue
@@ -168,81 +182,68 @@ class GrayIndex:
             open_ |= label[right].min(1) != label[right].max(1)
             open_ |= label[left[:, 0]] != label[right[:, 0]]
             left, right = left[open_], right[open_]
+            self.compared += len(left)
             near = np.bitwise_count(self.codes[left][:, :, None] ^ self.codes[right][:, None, :]) <= limit
             n, i, j = np.nonzero(near)
             label = connect(label, left[n, i], right[n, j])
         return label
 
 
-def _forest(key: np.ndarray, code: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole cells (rows sorted by key and Gray rank), thinned to one per row: places of their ends."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    label = np.arange(len(key))
-    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        part = slice(start, start + size)
-        label[part] = GrayIndex(code[part]).classes(limit) + start
-    few = (sizes > 1) & (sizes <= LEAF)
-    rows = np.flatnonzero(np.repeat(few, sizes))
-    for step in range(1, LEAF):
-        rows = rows[rows + step < len(key)]
-        rows = rows[key[rows] == key[rows + step]]
-        if not len(rows):
-            break
-        near = np.bitwise_count(code[rows] ^ code[rows + step]) <= limit
-        label = connect(label, rows[near], rows[near] + step)
-    rows = np.flatnonzero(label != np.arange(len(label)))
-    return label[rows], rows
-
-
 def _links(limit: int):
-    """Links of cells in rows of cell, fingerprint, and node, sorted by cell and Gray rank."""
+    """Links in rows of cell, fingerprint, and node, in Gray order; thinned to one for each row at most."""
 
-    def edges(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        a, b = _forest(rows[:, 0], np.ascontiguousarray(rows[:, 1].view(np.uint64)), limit)
-        return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], names=["a", "b"])
+    def edges(rows: np.ndarray) -> pa.RecordBatch:
+        bits = [np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (0, 1)]
+        label = GrayIndex(bits[1], bits[0]).classes(limit)
+        linked = np.flatnonzero(rows[label, 2] != rows[:, 2])
+        return pa.RecordBatch.from_arrays([pa.array(rows[label[linked], 2]), pa.array(rows[linked, 2])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            key = rows[:, 0]
-            if key[-1] == key[0] and (not held or held[0][0, 0] == key[0]):
-                held.append(rows)
+            if batch.num_rows:
+                held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+            if sum(map(len, held)) < TREE:
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
-            whole, held = [*held, rows[:cut]], [rows[cut:]]
-            yield edges(whole)
+            rows = np.concatenate(held)
+            ends = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            cut = int(ends[-1]) if len(ends) else 0  # the last cell may go on
+            if cut:
+                yield edges(rows[:cut])
+            held = [rows[cut:]]
         if held:
-            yield edges(held)
+            yield edges(np.concatenate(held))
 
     return run
 
 
-def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (column ``node``) that connect all within ``limit`` bits.
+def dealt(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``cell``, ``code`` and ``node`` of every cell a fingerprint (column ``node``) belongs to; partitions hold whole cells in Gray order.
 
-    Fingerprints are dealt to cells that agree in two blocks of bits; each cell is sorted by
-    Gray rank, indexed and joined with itself.  The links of a cell are thinned to a forest,
-    so a cell gives fewer links than it has members, and none between classes is lost.  A cell of
-    more than ``HOME`` members is cut into parts by hash, and every two parts are a cell of their own.
+    A cell of more than ``HOME`` members is cut into parts by hash, and every two parts are a cell of their own.
     """
     code = F.col("node")
-    dealt = distinct.select(F.explode(cells(code, limit)).alias("cell"), code.alias("code"), "node")
-    full = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOME)
+    rows = distinct.select(F.explode(cells(code, limit)).alias("cell"), code.alias("code"), "node")
+    full = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOME)
     # Few rows: cells that hold more than HOME fingerprints.
     full = save(full.select("cell", F.ceil(F.col("n") / HOME).cast("int").alias("parts")), "full_cells")
     own = F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")
-    dealt = dealt.join(F.broadcast(full), "cell", "left").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.join(F.broadcast(full), "cell", "left").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     # Equal hashes of two cells only let more fingerprints meet.
     cut = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(F.when(F.col("parts").isNull(), F.col("cell")).otherwise(cut).alias("cell"), "code", "node")
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("code")))
-    return dealt.mapInArrow(_links(limit), "a long, b long")
+    rows = rows.select(F.when(F.col("parts").isNull(), F.col("cell")).otherwise(cut).alias("cell"), "code", "node")
+    return rows.repartition("cell").sortWithinPartitions(gray_rank(F.col("cell")), gray_rank(F.col("code")))
+
+
+def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints (column ``node``) that connect all within ``limit`` bits.
+
+    Fingerprints are dealt to cells that agree in two blocks of bits.  A task puts its cells in Gray
+    order under trees of about ``TREE`` rows, cells of any size alike, and joins each tree with itself.
+    Links are thinned to a forest, so a tree gives fewer links than it has members, and none between classes is lost.
+    """
+    return dealt(distinct, limit).mapInArrow(_links(limit), "a long, b long")
 
 
 def simhash_groups(
