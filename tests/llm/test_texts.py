@@ -226,6 +226,45 @@ def test_transducer_needs_no_more_than_its_lookahead():
         assert out + encoder.finish() == encoder._ids(text, True)
 
 
+@pytest.mark.parametrize("block", [1, 7, 100, 5000])
+def test_all_ids_come_from_the_transducer(block, monkeypatch):
+    made = []
+
+    class Watched(bpe.Transducer):
+        def __init__(self, pieces):
+            super().__init__(pieces)
+            made.append(self)
+
+    monkeypatch.setattr(bpe, "Transducer", Watched)
+    texts = [t or "" for _, t, _ in odd_texts()] + random_texts(3000 if block > 50 else 400)
+    if block < 50:
+        texts = [t for t in texts if len(t) < 2000]
+    pieces = bpe.Pieces(bpe.Merges(BYTE_BPE), bpe.SPLIT)
+    got, row = [], []
+    for tokens, at, more in bpe.encode_stream(pa.array(texts), pieces, block):
+        for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            row += tokens[a:b].tolist()
+            if i < len(at) - 2 or not more:
+                got.append(row)
+                row = []
+    library = tokenizers.Tokenizer.from_file(BYTE_BPE)
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(t.emitted for t in made) == sum(map(len, got))
+
+
+def test_transducer_holds_little_of_a_long_text():
+    draw = random.Random(4)
+    parts = ["word", "x1y22", "é", "中文", "\n\n", " ", " ", " the", "<|endoftext|>", "'ll", "　 "]
+    text = "".join(draw.choice(parts) for _ in range(600_000))
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    stream, out = bpe.Transducer(bpe.Pieces(bpe.Merges(BYTE_BPE), bpe.SPLIT)), []
+    for lo in range(0, len(data), 1 << 14):
+        part = data[lo : lo + (1 << 14)]
+        out += stream.feed(part, np.array([0, len(part)]), lo + (1 << 14) < len(data))[0].tolist()
+        assert sum(map(len, stream.held)) < 1000
+    assert out == tokenizers.Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+
+
 def test_decoder_waits_for_whole_characters():
     merges = bpe.Merges(BYTE_BPE)
     ids = tokenizers.Tokenizer.from_file(BYTE_BPE).encode("\U0001f600 中").ids

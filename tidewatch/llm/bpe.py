@@ -22,6 +22,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 WIDE_SPACE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct pieces a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+#: Bytes that a transducer takes in at a time.
+BLOCK = 1 << 19
 _NONE = np.int64(1 << 40)
 
 
@@ -339,34 +341,109 @@ def unit_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def encode_column(column: pa.Array, pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Slices of rows: their ids one after the other, and where each row's start (one more than rows)."""
+    for _, _, data, offsets in text_slices(column):
+        yield encode_slice(data, offsets, pieces)
+
+
+def encode_slice(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and where those of each text start (one more than texts)."""
     marks = [s.encode() for s in pieces.merges.special]
-    for lo, hi, data, offsets in text_slices(column):
-        held = data.tobytes()
-        whole = np.zeros(hi - lo, dtype=bool)
-        if not held.isascii():
-            for i in range(hi - lo):
-                row = held[offsets[i] : offsets[i + 1]]
-                whole[i] = not row.isascii() and WIDE_SPACE.search(row.decode()) is not None
-        if any(m in held for m in marks):
-            whole |= [any(m in held[offsets[i] : offsets[i + 1]] for m in marks) for i in range(hi - lo)]
-        starts, ends, first = unit_bounds(data, offsets)
-        if whole.any():  # rows with special tokens or wide white space go through alone
-            mine = np.repeat(~whole, np.diff(first))
-            starts, ends = starts[mine], ends[mine]
-            first = np.concatenate([[0], np.cumsum(np.diff(first) * ~whole)])
-        hashes, seen, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        ids, at, lengths = pieces.look_up(hashes, data, starts[seen], ends[seen])
-        lengths = lengths[number]
-        tokens = ids[ragged(at[number], lengths)]
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[first]
-        if whole.any():
-            rows = [
-                encode_whole(held[offsets[i] : offsets[i + 1]].decode(), pieces) if whole[i] else tokens[bounds[i] : bounds[i + 1]]
-                for i in range(hi - lo)
-            ]
-            tokens = np.concatenate(rows)
-            bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        yield tokens, bounds
+    held, n = data.tobytes(), len(offsets) - 1
+    whole = np.zeros(n, dtype=bool)
+    if not held.isascii():
+        for i in range(n):
+            row = held[offsets[i] : offsets[i + 1]]
+            whole[i] = not row.isascii() and WIDE_SPACE.search(row.decode()) is not None
+    if any(m in held for m in marks):
+        whole |= [any(m in held[offsets[i] : offsets[i + 1]] for m in marks) for i in range(n)]
+    starts, ends, first = unit_bounds(data, offsets)
+    if whole.any():  # rows with special tokens or wide white space go through alone
+        mine = np.repeat(~whole, np.diff(first))
+        starts, ends = starts[mine], ends[mine]
+        first = np.concatenate([[0], np.cumsum(np.diff(first) * ~whole)])
+    hashes, seen, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    ids, at, lengths = pieces.look_up(hashes, data, starts[seen], ends[seen])
+    lengths = lengths[number]
+    tokens = ids[ragged(at[number], lengths)]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])[first]
+    if whole.any():
+        rows = [encode_whole(held[offsets[i] : offsets[i + 1]].decode(), pieces) if whole[i] else tokens[bounds[i] : bounds[i + 1]] for i in range(n)]
+        tokens = np.concatenate(rows)
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return tokens, bounds
+
+
+class Transducer:
+    """Texts as one stream of bytes: ids come out as soon as no later byte can change them.
+
+    No token reaches over the edge of a piece, and whether an edge is one is known a character later.  So
+    all up to the last sure edge is emitted: before white space that one character follows which starts a piece
+    in any case (the white space before it, if any, is a piece of its own), or between an ASCII letter and a digit.
+    What lies behind is held; pieces beyond the merge list's lookahead go through ``Encoder`` window by window.
+    Memory follows the block and the longest stretch without a sure edge, and not the text.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.held, self.emitted = pieces, [], 0
+        marks = [s.encode() for s in pieces.merges.special]
+        self.starts = np.zeros(256, dtype=bool)  # after white space, starts a piece and neither a special token nor wide white space
+        self.starts[[*range(48, 58), *range(65, 91), *range(97, 123), *range(195, 225), *range(228, 245)]] = True
+        self.starts[[m[0] for m in marks]] = False
+        self.blanks = not any(_EDGE.search(m) for m in marks)
+        if not self.blanks:
+            self.starts[:] = False
+
+    def _sure(self, data: np.ndarray) -> int:
+        """The last sure edge in ``data``, 0 if there is none."""
+        kind = CLASSES[data]
+        ascii_ = data < 128
+        edge = np.zeros(len(data), dtype=bool)
+        edge[:-1] = ~NOT_SPACE[data[:-1]] & self.starts[data[1:]]
+        if self.blanks:
+            known = ((kind == _LETTER) | (kind == _DIGIT)) & ascii_
+            edge[1:] |= known[1:] & known[:-1] & (kind[1:] != kind[:-1])
+        edge[:1] = False
+        found = np.flatnonzero(edge)
+        return int(found[-1]) if len(found) else 0
+
+    def feed(self, data: np.ndarray, offsets: np.ndarray, more: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sure ids of these texts, the first of which goes on from what is held; with ``more``, the last one goes on later."""
+        single = len(offsets) == 2
+        end = int(offsets[-1])
+        if more:
+            last = int(offsets[-2])
+            before = self.held[-1][-1:] if single and self.held else data[:0]  # an edge may lie at the seam
+            cut = self._sure(np.concatenate([before, data[last:]]))
+            if not cut and single:
+                self.held.append(data.copy())
+                return np.zeros(0, np.int32), np.zeros(2, np.int64)
+            end = last + cut - len(before)
+        taken = sum(map(len, self.held))
+        joined = np.concatenate([*self.held, data]) if taken else data
+        offsets = offsets + taken
+        offsets[0], offsets[-1] = 0, end + taken
+        self.held = [joined[offsets[-1] :].copy()] if more and offsets[-1] < len(joined) else []
+        tokens, bounds = encode_slice(joined[: offsets[-1]], offsets, self.pieces)
+        self.emitted += len(tokens)
+        return tokens, bounds
+
+
+#: What a special token must not hold if texts are cut at sure edges.
+_EDGE = regex.compile(rb"[ \t-\r]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+
+
+def encode_stream(column: pa.Array, pieces: Pieces, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """All rows in order, ``block`` bytes at a time: sure ids, where each row's start, and whether the last row goes on in the next."""
+    block = block or BLOCK
+    for _, _, data, offsets in text_slices(column):
+        transducer, row, at, n = Transducer(pieces), 0, 0, len(offsets) - 1
+        while row < n:
+            stop = min(at + block, len(data))
+            ended = n if stop == len(data) else int(np.searchsorted(offsets, stop, "right")) - 1
+            more = ended < n and int(offsets[ended]) < stop
+            bounds = np.minimum(np.maximum(offsets[row : ended + 1 + more], at), stop) - at
+            yield *transducer.feed(data[at:stop], bounds, more), more
+            row, at = ended, stop
 
 
 def encode_whole(text: str, pieces: Pieces) -> np.ndarray:
@@ -397,12 +474,21 @@ class Spelling:
         return memoryview(joined), np.concatenate([[0], np.cumsum(lengths)])[bounds].tolist()
 
 
-def _decoded_hash(merges: Merges, data: memoryview, step: int = 1 << 20) -> str:
-    decoder, digest = Decoder(merges), hashlib.sha256()
-    for lo in range(0, len(data), step):
-        digest.update(decoder.feed_bytes(data[lo : lo + step]).encode())
-    digest.update(decoder.finish().encode())
-    return digest.hexdigest()
+class _Digests:
+    """Hashes of one text's ids and of its decoded text, taken in as the ids come."""
+
+    def __init__(self, merges: Merges):
+        self.count, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
+
+    def feed(self, count: int, decimals: memoryview, data: memoryview) -> None:
+        """``decimals`` are the ids, each after a comma."""
+        self.ids.update(decimals if self.count else decimals[1:])
+        self.count += count
+        self.text.update(self.decoder.feed_bytes(data).encode())
+
+    def finish(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.count, self.ids.hexdigest(), self.text.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -421,16 +507,20 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
 
     def run(batches):
         pieces = _pieces(tokenizer)
-        spelled, written = Spelling(pieces.merges.bytes), Spelling([b"%d," % i for i in range(len(pieces.merges.bytes))])
+        merges = pieces.merges
+        spelled, written = Spelling(merges.bytes), Spelling([b",%d" % i for i in range(len(merges.bytes))])
         for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
-            for tokens, bounds in encode_column(batch.column(1), pieces):
+            rows, digests = [], _Digests(merges)
+            for tokens, bounds, more in encode_stream(batch.column(1), pieces):
                 decimals, decimal_at = written.of(tokens, bounds)
-                text_bytes, text_at = spelled.of(tokens, bounds)
-                counts += np.diff(bounds).tolist()
-                for i in range(len(bounds) - 1):
-                    ids_hash.append(hashlib.sha256(decimals[decimal_at[i] : max(decimal_at[i], decimal_at[i + 1] - 1)]).hexdigest())
-                    text_hash.append(_decoded_hash(pieces.merges, text_bytes[text_at[i] : text_at[i + 1]]))
+                data, data_at = spelled.of(tokens, bounds)
+                last = len(bounds) - 2
+                for i in range(last + 1):
+                    digests.feed(int(bounds[i + 1] - bounds[i]), decimals[decimal_at[i] : decimal_at[i + 1]], data[data_at[i] : data_at[i + 1]])
+                    if i < last or not more:
+                        rows.append(digests.finish())
+                        digests = _Digests(merges)
+            counts, ids_hash, text_hash = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -17,8 +17,8 @@ from tidewatch.llm.text import NOT_SPACE, word_bounds
 
 #: Labelled rows of each class that the classifier is fitted on at most (about; drawn by hash).
 SAMPLE = 6000
-#: Slots that five-byte pieces of words are hashed to, and pieces kept at most.
-SLOT_BITS, MOST_PIECES = 22, 1 << 16
+#: Slots (as a power of two) that five-byte pieces of words are hashed to.
+SLOT_BITS = 22
 #: Toxic texts a piece must stand in, and standard errors its log-odds must lie above zero.
 LEAST_TEXTS, ERRORS = 3, 2.0
 #: Letters that a sign often stands for.
@@ -313,7 +313,7 @@ def _weights(sample: DataFrame, letters: np.ndarray) -> tuple[np.ndarray, np.nda
     odds = F.log((F.col("yes") + 0.5) / (of_all["yes"] + 1)) - F.log((F.col("no") + 0.5) / (of_all["no"] + 1))
     weight = odds - ERRORS * F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
     best = counted.filter("slot >= 0").select("slot", weight.alias("weight")).filter("weight > 0")
-    found = best.orderBy(F.desc("weight"), "slot").limit(MOST_PIECES).collect()
+    found = best.orderBy(F.desc("weight"), "slot").collect()  # of the 2^SLOT_BITS slots, those met in the bounded sample
     return np.array([r["slot"] for r in found], dtype=np.int64), np.array([r["weight"] for r in found], dtype=np.float32)
 
 def _chances(sample: DataFrame, model: Toxicity, factor: dict[int, float], step: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
