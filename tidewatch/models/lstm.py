@@ -71,66 +71,123 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _cell(x, h, c, kernel, bias, peep):
-    """One step; returns the new state and what the backward step needs."""
+    """One step; returns the new state."""
     xh = np.concatenate([x, h], axis=1)
     zi, zj, zf, zo = np.split(xh @ kernel + bias, 4, axis=1)
     i, j = _sigmoid(zi + peep[0] * c), np.tanh(zj)
     f = _sigmoid(zf + FORGET_BIAS + peep[1] * c)
     c_new = f * c + i * j
-    o, t = _sigmoid(zo + peep[2] * c_new), np.tanh(c_new)
-    return o * t, c_new, (xh, c, i, j, f, o, t, c_new)
+    return _sigmoid(zo + peep[2] * c_new) * np.tanh(c_new), c_new
 
 
-def _cell_back(dh, dc, saved, kernel, peep, grad, side):
-    """Gradients of one step; adds to ``grad`` and returns those of the previous state."""
-    xh, c, i, j, f, o, t, c_new = saved
-    do = dh * t * o * (1 - o)
-    dc = dc + dh * o * (1 - t * t) + do * peep[2]
-    di, dj, df = dc * j * i * (1 - i), dc * i * (1 - j * j), dc * c * f * (1 - f)
-    dz = np.concatenate([di, dj, df, do], axis=1)
-    grad[f"{side}_kernel"] += xh.T @ dz
-    grad[f"{side}_bias"] += dz.sum(axis=0)
-    grad[f"{side}_peep"] += np.stack([(di * c).sum(axis=0), (df * c).sum(axis=0), (do * c_new).sum(axis=0)])
-    hidden = c.shape[1]
-    return dz @ kernel[-hidden:].T, dc * f + df * peep[1] + di * peep[0]
-
-
-def _forward(x: np.ndarray, p: dict[str, np.ndarray], trace: list | None = None) -> np.ndarray:
+def _forward(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     n, length, width = x.shape
     hidden = p["out_kernel"].shape[0]
     h = c = np.zeros((n, hidden), dtype=x.dtype)
     for t in range(length):
-        h, c, saved = _cell(x[:, t], h, c, p["enc_kernel"], p["enc_bias"], p["enc_peep"])
-        if trace is not None:
-            trace.append(saved)
+        h, c = _cell(x[:, t], h, c, p["enc_kernel"], p["enc_bias"], p["enc_peep"])
     out = np.empty_like(x)
     fed = np.ones((n, width), dtype=x.dtype)
     for t in range(length - 1, -1, -1):
-        h, c, saved = _cell(fed, h, c, p["dec_kernel"], p["dec_bias"], p["dec_peep"])
-        if trace is not None:
-            trace.append(saved + (h,))
+        h, c = _cell(fed, h, c, p["dec_kernel"], p["dec_bias"], p["dec_peep"])
         out[:, t] = h @ p["out_kernel"] + p["out_bias"]
         fed = x[:, t]
     return out
 
 
+class _Cells:
+    """All steps of one side over a training batch, and their gradient.
+
+    Training batches are small, so calls cost more than numbers: arrays are (step, feature, window), gates lie
+    in the order input, forget, candidate, output, and whatever does not depend on the step before is
+    computed for all steps at once.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], side: str, fed: np.ndarray, h: np.ndarray, c: np.ndarray):
+        steps, width, n = fed.shape
+        size = len(h)
+        self.side, self.fed, self.size = side, fed, size
+        self.order = np.concatenate([np.arange(size), np.arange(2 * size, 3 * size), np.arange(size, 2 * size), np.arange(3 * size, 4 * size)])
+        kernel = p[f"{side}_kernel"].T[self.order]
+        bias = p[f"{side}_bias"][self.order]
+        bias[size : 2 * size] += FORGET_BIAS
+        self.peep = p[f"{side}_peep"][:, :, None]
+        half = np.full((4 * size, 1), 0.5)  # a sigmoid is a tanh of half the value
+        half[2 * size : 3 * size] = 1.0
+        halved = kernel * half
+        z = halved[:, :width] @ fed + bias[:, None] * half
+        inner, early, late = np.ascontiguousarray(halved[:, width:]), 0.5 * self.peep[:2], 0.5 * self.peep[2]
+        self.back = np.ascontiguousarray(kernel[:, width:].T)
+        self.h, self.c = np.empty((steps + 1, size, n)), np.empty((steps + 1, size, n))
+        self.gates, self.tanh = np.empty((steps, 4, size, n)), np.empty((steps, size, n))
+        self.h[0], self.c[0] = h, c
+        for t in range(steps):
+            zt, g = z[t], self.gates[t]
+            zt += inner @ h
+            zt = zt.reshape(4, size, n)
+            zt[:2] += early * c
+            np.tanh(zt[:3], out=g[:3])
+            both = g[:2]
+            both *= 0.5
+            both += 0.5
+            new = self.c[t + 1]
+            np.multiply(g[1], c, out=new)
+            new += g[0] * g[2]
+            c, o = new, g[3]
+            np.tanh(zt[3] + late * c, out=o)
+            o *= 0.5
+            o += 0.5
+            h = np.multiply(o, np.tanh(c, out=self.tanh[t]), out=self.h[t + 1])
+
+    def gradient(self, grad: dict[str, np.ndarray], dh: np.ndarray, dc: np.ndarray, dout: np.ndarray | None = None):
+        """Adds to ``grad``; returns the gradient of the first state.  ``dout`` is that of every step's output."""
+        i, f, j, o = (self.gates[:, k] for k in range(4))
+        before, size = self.c[:-1], self.size
+        inside = np.stack([j * i * (1 - i), before * f * (1 - f), i * (1 - j * j)], axis=1)
+        to_o, to_c = self.tanh * o * (1 - o), o * (1 - self.tanh * self.tanh)
+        peep_i, peep_f, peep_o = self.peep
+        dz = np.empty_like(self.gates)
+        flat_dz = dz.reshape(len(dz), 4 * size, -1)
+        for t in range(len(dz) - 1, -1, -1):
+            if dout is not None:
+                dh = dh + dout[t]
+            d = dz[t]
+            np.multiply(dh, to_o[t], out=d[3])
+            dc = dc + dh * to_c[t]
+            dc += d[3] * peep_o
+            np.multiply(dc, inside[t], out=d[:3])
+            dh = self.back @ flat_dz[t]
+            dc = dc * f[t]
+            dc += d[0] * peep_i
+            dc += d[1] * peep_f
+        rows = flat_dz.transpose(0, 2, 1).reshape(-1, 4 * size)
+        xh = np.concatenate([self.fed, self.h[:-1]], axis=1).transpose(1, 0, 2).reshape(-1, len(rows))
+        grad[f"{self.side}_kernel"][:, self.order] += xh @ rows
+        grad[f"{self.side}_bias"][self.order] += rows.sum(axis=0)
+        seen = [(dz[:, 0] * before), (dz[:, 1] * before), (dz[:, 3] * self.c[1:])]
+        grad[f"{self.side}_peep"] += np.stack([s.sum(axis=(0, 2)) for s in seen])
+        return dh, dc
+
+
 def loss_and_gradient(x: np.ndarray, numbers: np.ndarray, hidden: int) -> tuple[float, np.ndarray]:
     """Mean squared reconstruction error of a batch and its gradient."""
-    length, width = x.shape[1:]
+    n, length, width = x.shape
     p = _unpack(numbers, hidden, width)
     gradient = np.zeros_like(numbers)
     grad = _unpack(gradient, hidden, width)
-    trace: list = []
-    diff = _forward(x, p, trace) - x
+    steps = np.ascontiguousarray(x.transpose(1, 2, 0))
+    none = np.zeros((hidden, n))
+    enc = _Cells(p, "enc", steps, none, none)
+    wanted = steps[::-1]  # the decoder gives the steps back from the last to the first
+    fed = np.concatenate([np.ones((1, width, n)), wanted[:-1]])
+    dec = _Cells(p, "dec", fed, enc.h[-1], enc.c[-1])
+    diff = p["out_kernel"].T @ dec.h[1:] + p["out_bias"][:, None] - wanted
     dout = diff * (2 / diff.size)
-    dh = dc = np.zeros((len(x), hidden), dtype=x.dtype)
-    for t in range(length):
-        *saved, h = trace[2 * length - 1 - t]
-        grad["out_kernel"] += h.T @ dout[:, t]
-        grad["out_bias"] += dout[:, t].sum(axis=0)
-        dh, dc = _cell_back(dh + dout[:, t] @ p["out_kernel"].T, dc, saved, p["dec_kernel"], p["dec_peep"], grad, "dec")
-    for t in range(length - 1, -1, -1):
-        dh, dc = _cell_back(dh, dc, trace[t], p["enc_kernel"], p["enc_peep"], grad, "enc")
+    rows = dout.transpose(0, 2, 1).reshape(-1, width)
+    grad["out_kernel"] += dec.h[1:].transpose(1, 0, 2).reshape(hidden, -1) @ rows
+    grad["out_bias"] += rows.sum(axis=0)
+    dh, dc = dec.gradient(grad, none, none, p["out_kernel"] @ dout)
+    enc.gradient(grad, dh, dc)
     return float((diff * diff).mean()), gradient
 
 
@@ -150,22 +207,27 @@ def _whole_batches(arrow_batches, length: int, width: int):
         yield rest
 
 
+def _steps(batches, state: np.ndarray, hidden: int) -> tuple[int, np.ndarray]:
+    """Adam over the batches, one after the other: windows seen, and the state after them (weights, moments, steps, mean and last loss)."""
+    size = (len(state) - 3) // 3
+    w, m, v = (state[k * size : (k + 1) * size].copy() for k in range(3))
+    steps, seen, total, count, last = state[-3], 0, 0.0, 0, 0.0
+    for x in batches:
+        last, g = loss_and_gradient(x, w, hidden)
+        steps += 1
+        m += (1 - BETA1) * (g - m)
+        v += (1 - BETA2) * (g * g - v)
+        w -= RATE * math.sqrt(1 - BETA2**steps) / (1 - BETA1**steps) * m / (np.sqrt(v) + EPSILON)
+        seen, total, count = seen + len(x), total + last, count + 1
+    return seen, np.concatenate([w, m, v, [steps, total / max(count, 1), last]])
+
+
 def _epoch(train: DataFrame, state: np.ndarray, hidden: int, length: int, width: int) -> np.ndarray:
     """One pass of all shards over their batches; returns the averaged state."""
-    size = (len(state) - 3) // 3
 
     def run(arrow_batches):
-        w, m, v = (state[k * size : (k + 1) * size].copy() for k in range(3))
-        steps, seen, total, batches, last = state[-3], 0, 0.0, 0, 0.0
-        for x in _whole_batches(arrow_batches, length, width):
-            last, g = loss_and_gradient(x, w, hidden)
-            steps += 1
-            m += (1 - BETA1) * (g - m)
-            v += (1 - BETA2) * (g * g - v)
-            w -= RATE * math.sqrt(1 - BETA2**steps) / (1 - BETA1**steps) * m / (np.sqrt(v) + EPSILON)
-            seen, total, batches = seen + len(x), total + last, batches + 1
+        seen, result = _steps(_whole_batches(arrow_batches, length, width), state, hidden)
         if seen:
-            result = np.concatenate([w, m, v, [steps, total / batches, last]])
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), list_column(result[None])], names=["n", "state"])
 
     averaged = (
@@ -234,32 +296,55 @@ class Recurrent:
         )
         sets = [d.select(F.lit(role).alias("role"), "xs") for role, d in (("normal", validation), ("anomalous", anomalous)) if d is not None]
         apart = reduce(DataFrame.unionByName, sets).persist(StorageLevel.MEMORY_AND_DISK) if sets else None
-        size = len(self.numbers)
-        moments = np.zeros(2 * size + 1) if self.optimizer is None else self.optimizer
-        state = np.concatenate([self.numbers, moments, np.zeros(2)])
-        history, best, best_loss, previous, idle = [], self.numbers, math.inf, math.inf, 0
         try:
-            for epoch in range(max_epochs):
-                state = _epoch(train, state, self.hidden, self.length, self.width)
-                weights = state[:size].copy()
-                losses = {}
-                if apart is not None:
-                    losses = Recurrent(self.length, self.width, self.hidden, weights).losses(apart)
-                checked = losses.get("normal")
-                history.append((epoch, float(state[-2]), checked, losses.get("anomalous")))
-                watched = checked if by_validation and checked is not None else float(state[-1] if last_batch else state[-2])
-                if watched < best_loss:
-                    best, best_loss = weights, watched
-                idle = 0 if epoch > 0 and previous - watched > min_delta else idle + 1
-                previous = watched
-                if epoch > 0 and idle > patience:
-                    if by_validation:
-                        weights = best
-                    break
+            return self._until_idle(
+                lambda state: _epoch(train, state, self.hidden, self.length, self.width),
+                None if apart is None else lambda model: model.losses(apart),
+                max_epochs, patience, min_delta, by_validation, last_batch,
+            )
         finally:
             train.unpersist()
             if apart is not None:
                 apart.unpersist()
+
+    def refit_arrays(
+        self, train: np.ndarray, per_batch: int, max_epochs: int = 300, patience: int = 10, min_delta: float = 0.005,
+        stop_metric: str = "last_batch", validation: np.ndarray | None = None, anomalous: np.ndarray | None = None, **_,
+    ) -> "Recurrent":
+        """``refit`` by one shard, inside a task, on buffered windows (n, length, width) in arrival order."""
+        batches = [train[i : i + per_batch] for i in range(0, len(train), per_batch)]
+        sets = {"normal": validation if stop_metric == "val_mean" or anomalous is not None else None, "anomalous": anomalous}
+        sets = {role: x for role, x in sets.items() if x is not None and len(x)}
+
+        def losses(model):
+            kernel = model.kernel()
+            return {role: float(((kernel(x) - x) ** 2).mean()) for role, x in sets.items()}
+
+        return self._until_idle(
+            lambda state: _steps(batches, state, self.hidden)[1], losses if sets else None,
+            max_epochs, patience, min_delta, stop_metric == "val_mean" and validation is not None, stop_metric == "last_batch",
+        )
+
+    def _until_idle(self, epoch_of, losses_of, max_epochs, patience, min_delta, by_validation, last_batch) -> "Recurrent":
+        size = len(self.numbers)
+        moments = np.zeros(2 * size + 1) if self.optimizer is None else self.optimizer
+        state = np.concatenate([self.numbers, moments, np.zeros(2)])
+        history, best, best_loss, previous, idle = [], self.numbers, math.inf, math.inf, 0
+        for epoch in range(max_epochs):
+            state = epoch_of(state)
+            weights = state[:size].copy()
+            losses = {} if losses_of is None else losses_of(Recurrent(self.length, self.width, self.hidden, weights))
+            checked = losses.get("normal")
+            history.append((epoch, float(state[-2]), checked, losses.get("anomalous")))
+            watched = checked if by_validation and checked is not None else float(state[-1] if last_batch else state[-2])
+            if watched < best_loss:
+                best, best_loss = weights, watched
+            idle = 0 if epoch > 0 and previous - watched > min_delta else idle + 1
+            previous = watched
+            if epoch > 0 and idle > patience:
+                if by_validation:
+                    weights = best
+                break
         return Recurrent(self.length, self.width, self.hidden, weights, tuple(history), state[size:-2].copy())
 
     def validate(self, windows: DataFrame) -> float | None:

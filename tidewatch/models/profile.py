@@ -36,6 +36,9 @@ class Profile:
     def refit(self, buffer: DataFrame, per_batch: int, **_) -> "Profile":
         return Profile.fit(buffer, (self.length, self.width))
 
+    def refit_arrays(self, train: np.ndarray, per_batch: int, **_) -> "Profile":
+        return Profile(self.length, self.width, tuple(train.mean(axis=0).ravel().tolist()))
+
     def rows(self) -> list[list[float]]:
         return flat(self.mean).reshape(self.length, self.width).tolist()
 

@@ -93,7 +93,7 @@ def moments(errors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             x = matrix(batch.column(0), width)
             if len(x):
-                n, mean, cross = _with_rows(n, mean, cross, x)
+                n, mean, cross = with_rows(n, mean, cross, x)
         if n:
             i, j = upper
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +151,7 @@ def moment_rows(errors: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             x = matrix(batch.column(0), width)
             if len(x):
-                n, mean, cross = _with_rows(n, mean, cross, x)
+                n, mean, cross = with_rows(n, mean, cross, x)
         if n:
             columns = [pa.array([float(n)]), pa.array([mean.tolist()]), pa.array([cross[np.triu_indices(width)].tolist()])]
             yield pa.RecordBatch.from_arrays(columns, names=["n", "mean", "cross"])
@@ -175,17 +175,23 @@ def merge_moments(rows: DataFrame, width: int) -> ErrorModel:
     shifted = cells.join(F.broadcast(total.select("i", "j", F.col("mi").alias("ti"), F.col("mj").alias("tj"))), ["i", "j"])
     cross = F.sum(F.col("c") + n * (F.col("mi") - F.col("ti")) * (F.col("mj") - F.col("tj")))
     found = shifted.groupBy("i", "j").agg(F.sum("n").alias("n"), cross.alias("c"), F.first("ti").alias("mu")).collect()
-    if not found or found[0]["n"] < min(width, 2):
-        raise ValueError("too few error rows to fit an error model on")
-    mu, sigma = np.zeros(width), np.zeros((width, width))
+    mu, sums = np.zeros(width), np.zeros((width, width))
     for r in found:
-        sigma[r["i"], r["j"]] = sigma[r["j"], r["i"]] = r["c"] / (r["n"] - (width > 1))
+        sums[r["i"], r["j"]] = sums[r["j"], r["i"]] = r["c"]
         if r["i"] == r["j"]:
             mu[r["i"]] = r["mu"]
-    return ErrorModel(mu.tolist(), sigma.tolist())
+    return from_moments(found[0]["n"] if found else 0, mu, sums)
+
+
+def from_moments(n: float, mean: np.ndarray, cross: np.ndarray) -> ErrorModel:
+    """The error model of ``n`` rows with these means and centred cross products."""
+    width = len(mean)
+    if n < min(width, 2):
+        raise ValueError("too few error rows to fit an error model on")
+    return ErrorModel(mean.tolist(), (cross / (n - (width > 1))).tolist())
 
 
-def _with_rows(n: int, mean: np.ndarray, cross: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+def with_rows(n: int, mean: np.ndarray, cross: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and centred cross products with the rows of ``x`` added."""
     m = x.mean(axis=0)
     centred, shift, total = x - m, m - mean, n + len(x)

@@ -3,8 +3,8 @@
 Weights change only when an update is due, so windows are scored in parallel with the
 present version as far as that version reaches: a stretch of batches is scored, buffer
 growth is summed per batch, and the first batch where an update is due ends the version.
-Scores after that batch are discarded and the next version goes on from there.  The result
-is the same as handling one batch after the other.
+Scores after that batch are discarded and the next version goes on from there.  Where versions
+are short, ``plans.walk`` makes many of them in one job.  The result is the same as handling one batch after the other.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from tidewatch.operators.index import count_rows, index_and_count, read_online
 from tidewatch.operators.threshold import point_pools, search_threshold
 from tidewatch.operators.windows import assign_batches, assign_windows, attach_expert_labels, collect_windows
 from tidewatch.plans.params import Params
-from tidewatch.sources.models import save_model, write_run_log
+from tidewatch.plans.walk import LEG_UPDATES, buffered_since, leg_batches, walk, walkable
+from tidewatch.sources.models import save_models, write_run_log
 
 # Up to this many batches (one row each) are summed up in one task.
 ONE_TASK_BATCHES = 1 << 20
@@ -174,27 +175,50 @@ def advance(
     adapt: bool = True,
     buffered: Buffered | None = None,
     stored: tuple[DataFrame, DataFrame | None] | None = None,
-    on_update: Callable[[Model], None] = lambda model: None,
+    on_update: Callable[[list[Model]], None] = lambda models: None,
 ) -> Advance:
     """Decide batches ``begin..last`` of a window table, moving to new versions where they are due.
 
-    Decisions are written under ``results``, one folder per stretch.  ``buffered`` and
+    Decisions are written under ``results``, one folder per stretch or leg.  ``buffered`` and
     ``stored`` are the counts, and the rows and moments buffered earlier under the present version.
+
+    A new version starts with a leg of ``plans.walk``; if it outlives that, stretches of doubling length are scored in parallel until it ends.
     """
     spark = windows.sparkSession
     segments: list[tuple[int, int, int, int]] = []
     versions, buffered = [model], buffered or Buffered()
-    since, stretch = begin, _first_stretch(params, buffered)
+    since, stretch, folders = begin, _first_stretch(params, buffered), 0
+    walks = can_walk = adapt and walkable(model, params)
+    walks = walks and stored is None and buffered == Buffered()
     while begin <= last:
+        path, folders = f"{results}/stretch={folders}", folders + 1
+        if walks:
+            end = min(begin + leg_batches(params) - 1, last)
+            found = walk(windows.filter(F.col("batch").between(begin, end)), model, params, path)
+            for cut, newer in found:
+                segments.append((folders - 1, model.version, begin, cut))
+                model, begin = newer, cut + 1
+            versions += [m for _, m in found]
+            if found:
+                on_update([m for _, m in found])
+            since = begin
+            if found and (end < last or len(found) == LEG_UPDATES):
+                continue  # what the leg decided after its last update is decided once more
+            if begin <= end:
+                segments.append((folders - 1, model.version, begin, end))
+                decided = spark.read.schema(DECISION_SCHEMA).parquet(path).filter("w IS NOT NULL")
+                buffered = Buffered(*buffered_since(decided, begin))
+            begin, stretch, walks = end + 1, 2 * leg_batches(params), False
+            continue
         end = min(begin + stretch - 1, last) if adapt else last
-        path = f"{results}/stretch={len(segments)}"
         part = windows.filter(F.col("batch").between(begin, end))
-        decide(part, model, params).select(*DECISION).write.mode("overwrite").parquet(path)
+        decided = decide(part, model, params).select(*DECISION, F.lit(model.version).alias("version"))
+        decided.write.mode("overwrite").parquet(path)
         cut = None
         if adapt:
             decided = route_window(spark.read.schema(DECISION_SCHEMA).parquet(path))
             cut, buffered = first_due(decided, params, buffered, end - begin + 1)
-        segments.append((len(segments), model.version, begin, end if cut is None else cut))
+        segments.append((folders - 1, model.version, begin, end if cut is None else cut))
         if cut is None:
             begin, stretch = end + 1, stretch * 2
             continue
@@ -206,9 +230,9 @@ def advance(
             moments = moments if moments is None else stored[1].unionByName(moments)
         model = update_model(model, mine, moments, params, buffered)
         versions.append(model)
-        on_update(model)
+        on_update([model])
         begin = since = cut + 1
-        buffered, stored = Buffered(), None
+        buffered, stored, walks = Buffered(), None, can_walk
         stretch = _first_stretch(params, buffered)
     return Advance(segments, versions, buffered, since)
 
@@ -242,16 +266,10 @@ def committed(spark: SparkSession, results: str, segments: list[tuple[int, int,
     """Decisions up to the end of every stretch; what was scored beyond an update is left out."""
     if not segments:
         return spark.createDataFrame([], DECISION_SCHEMA).withColumn("version", F.lit(0))
-    rows = list(zip(*segments))
-    table = pa.table(
-        {
-            "stretch": pa.array(rows[0], pa.int32()),
-            "version": pa.array(rows[1], pa.int32()),
-            "last": pa.array(rows[3], pa.int64()),
-        }
-    )
-    decided = spark.read.schema(f"{DECISION_SCHEMA}, stretch int").option("basePath", results).parquet(results)
-    # one row per stretch: updates plus doublings
+    ends = {stretch: last for stretch, _, _, last in segments}
+    table = pa.table({"stretch": pa.array(ends.keys(), pa.int32()), "last": pa.array(ends.values(), pa.int64())})
+    decided = spark.read.schema(f"{DECISION_SCHEMA}, version int, stretch int").option("basePath", results).parquet(results).filter("w IS NOT NULL")
+    # one row per stretch: updates or legs, plus doublings
     joined = decided.join(F.broadcast(spark.createDataFrame(table)), "stretch")
     return joined.filter(F.col("batch") <= F.col("last")).select(*DECISION, "version")
 
@@ -282,7 +300,7 @@ def replay_online(
         # in the order of windows: every stretch reads its own part of the table
         windows = save(windows if labels is None else windows.repartitionByRange("w"), "online-windows")
     results = scratch_path(spark, "decisions")
-    store = (lambda m: save_model(spark, m, root, params)) if root else (lambda m: None)
+    store = (lambda models: save_models(spark, models, root, params)) if root else (lambda models: None)
     done = advance(windows, 0, batches - 1, model, params, results, adapt, on_update=store)
     replay = Replay(committed(spark, results, done.segments), done.segments, done.versions)
     if log:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,25 @@ def _home(root: str, params) -> str:
 
 
 def save_model(spark: SparkSession, model: Model, root: str, params) -> None:
+    save_models(spark, [model], root, params)
+
+
+def save_models(spark: SparkSession, models: Sequence[Model], root: str, params) -> None:
     """One row per version, in a folder of its own: writing a version twice leaves one copy."""
+    rows = spark.createDataFrame([_row(m, params) for m in models], _SCHEMA).coalesce(1).withColumn("v", F.col("version"))
+    # only the folders of these versions are replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("v").parquet(_home(root, params))
+
+
+def _row(model: Model, params) -> tuple:
     rec, err = model.reconstructor, model.errors
     low, high = model.bounds or (None, None)
-    row = (
+    return (
         model.version, rec.kind, rec.length, rec.width, params.hidden, rec.parameters(),
         [float(m) for m in err.mu], [[float(v) for v in r] for r in err.sigma], err.threshold, low, high,
         [(int(h[0]), *(None if v is None else float(v) for v in (*h[1:], None, None)[:3])) for h in model.history],
         None if getattr(rec, "optimizer", None) is None else rec.optimizer.tolist(),
     )
-    target = f"{_home(root, params)}/v={model.version}"
-    spark.createDataFrame([row], _SCHEMA).coalesce(1).write.mode("overwrite").parquet(target)
 
 
 def model_table(spark: SparkSession, root: str, params) -> DataFrame:

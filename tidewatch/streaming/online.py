@@ -18,7 +18,7 @@ from tidewatch.models.base import Model
 from tidewatch.operators.checks import guard_rows
 from tidewatch.plans.online import Buffered, advance, buffer_rows, committed, decide
 from tidewatch.plans.params import Params
-from tidewatch.sources.models import load_model, save_model, write_run_log
+from tidewatch.sources.models import load_model, save_model, save_models, write_run_log
 from tidewatch.streaming.windows import WindowSink, global_windows_stream, read_state
 
 
@@ -49,7 +49,8 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
             at = read_state(spark, progress, "reached", batch_id - 1).first()
             current = load_model(spark, f"{root}/models", params, at["version"])
             buffered, has_stored = Buffered(at["normal"], at["anomalous"]), at["has_stored"]
-        windows = save(windows, "micro-windows")
+        # in the order of windows: every leg or stretch reads its own part of the table
+        windows = save(windows.repartitionByRange("w"), "micro-windows")
         ends = windows.agg(F.min("batch").alias("first"), F.max("batch").alias("last")).first()
         if ends["first"] is None:
             _mark(spark, progress, batch_id, current, buffered, has_stored)
@@ -60,7 +61,7 @@ def adapt_stream(model: Model, params: Params, root: str, path: str) -> WindowSi
         results = scratch_path(spark, "decisions")
         done = advance(
             windows, ends["first"], ends["last"], current, params, results, True, buffered, stored,
-            lambda m: save_model(spark, m, f"{root}/models", params),
+            lambda models: save_models(spark, models, f"{root}/models", params),
         )
         decisions = committed(spark, results, done.segments)
         decisions.write.mode("overwrite").parquet(f"{path}/micro={batch_id}")
