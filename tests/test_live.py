@@ -188,3 +188,18 @@ def test_buffers_hold_false_alarms_and_moments_only(spark):
     flagged = replay_online(s, model, p, adapt=False).windows.filter("flagged AND NOT is_anomaly").count()
     assert rows.columns == ["w", "xs", "to_norm_buf"] and rows.count() == flagged
     assert moments.count() == 1 and moments.first()["n"] == windows.filter("NOT is_anomaly").count() * p.length
+
+
+def test_state_of_an_ordered_stream_goes_by_bucket(spark, tmp_path, few_partitions):
+    """Windows are right and the state has few values, however many keys there are."""
+    df = rows_of(spark, 2000).withColumns({"key": F.concat(F.lit("k"), F.col("idx") % 300), "ts": F.timestamp_seconds(1000 + F.col("idx")).cast("timestamp_ntz")})
+    at = str(tmp_path / "in")
+    for part in range(2):
+        df.filter(F.col("idx") % 2 == part).coalesce(1).write.parquet(f"{at}/part={part}")
+    df.filter("idx = 0").withColumns({"idx": F.lit(5000).cast("long"), "ts": F.timestamp_seconds(F.lit(90_000)).cast("timestamp_ntz")}).write.parquet(f"{at}/part=2")
+    windows = ordered_windows_stream(source_of(spark, df, at), 4, "ts", ["idx"], ["key"], "3000 seconds", buckets=3)
+    with run_log(spark, str(tmp_path / "log"), "ordered"):
+        finish(windows.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "check"))
+    assert found_in(spark.read.parquet(str(tmp_path / "out"))) == windows_by_hand(df.toPandas(), 4)
+    state = [int(r.value) for r in spark.read.parquet(str(tmp_path / "log")).collect() if r.metric.endswith("/state_rows")]
+    assert 0 < max(state) < 100

@@ -4,7 +4,7 @@ The state of a key is what its next windows need: the rows of its unfinished win
 the next one, and with event time the rows that the watermark has not passed yet.  Spark keeps it in its
 state store (RocksDB), checkpoints it with the query, and lets it go after a time to live.
 
-All new rows of a key in one micro-batch are put in order by one task, in memory; so the largest
+All new rows of a key (in the order of event time: of a bucket of keys) in one micro-batch are put in order by one task, in memory; so the largest
 key's rows of one micro-batch must fit there, and a key that brings a third of all rows is worked on by one
 task.  ``streaming.windows.count_windows_stream`` has no such bound (its index sorts across tasks).
 """
@@ -12,13 +12,17 @@ task.  ``streaming.windows.count_windows_stream`` has no such bound (its index s
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Groups that the keys of an ordered stream fall into; as the number of its state partitions, fixed for the life of a query.
+BUCKETS = 256
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,41 +73,97 @@ class CountWindows(StatefulProcessor):
         pass
 
 
-class OrderedCountWindows(CountWindows):
-    """The same in the order of event time: rows wait until the watermark has passed them."""
+class OrderedCountWindows(StatefulProcessor):
+    """Full windows of ``length`` rows per key in the order of event time: rows wait until the watermark has passed them.
 
-    def __init__(self, length: int, time: str, order_by: Sequence[str], by: Sequence[str], rows: T.StructType):
-        super().__init__(length, [time, *order_by], by, rows)
-        self.time = time
+    A group is a bucket of keys, and its state are blocks of rows (Arrow streams): calls to the state store go by bucket and
+    micro-batch, whatever the number of keys.  A bucket's waiting rows and unfinished windows must fit in memory.
+    """
+
+    def __init__(self, length: int, time: str, order_by: Sequence[str], by: Sequence[str]):
+        self.length, self.time, self.by, self.order_by = length, time, list(by), [time, *order_by]
+        self.columns = [*self.by, *self.order_by, "x", "is_anomaly"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.handle, block = handle, T.StructType([T.StructField("block", T.BinaryType())])
+        self.waiting = handle.getListState("waiting", block)
+        self.tail, self.next = handle.getValueState("tail", block), handle.getValueState("next", block)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows), ignore_index=True)[self.columns]
-        self.waiting.appendList([tuple(_plain(v) for v in r) for r in fresh.itertuples(index=False)])
-        yield self.release(key, timerValues)
+        yield self.release([part[self.columns] for part in rows if len(part)], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.release(key, timerValues)
-
-    def release(self, key, timerValues) -> pd.DataFrame:
-        """Windows of what the watermark has passed; a timer wakes the key for the rest."""
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        at = [self.columns.index(c) for c in self.order_by]
-        held.sort(key=lambda r: tuple(r[i] for i in at))
-        passed = [r for r in held if _millis(r[at[0]]) <= mark]
-        rest = held[len(passed) :]
-        if passed:
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(_millis(rest[0][at[0]]))
-        return self.cut(key, passed)
+        yield self.release([], timerValues)
+
+    def release(self, fresh: list[pd.DataFrame], timerValues) -> pd.DataFrame:
+        """Windows of what the watermark has passed; a timer wakes the bucket for the rest."""
+        held = [_rows(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat(held + fresh, ignore_index=True) if held or fresh else pd.DataFrame(columns=self.columns)
+        if not len(rows):
+            return self.cut(rows)
+        at = -(-rows[self.time].astype("datetime64[ns]").astype("int64") // 1_000_000)  # milliseconds since 1970, rounded up
+        passed = at <= timerValues.getCurrentWatermarkInMs()
+        if passed.all():
+            self.waiting.clear()
+        else:
+            if passed.any():
+                self.waiting.put([_block(rows[~passed])])
+            elif fresh:
+                self.waiting.appendList([_block(pd.concat(fresh, ignore_index=True))])
+            self.handle.registerTimer(int(at[~passed].min()))
+        return self.cut(rows[passed].sort_values(self.order_by, kind="stable"))
+
+    def cut(self, passed: pd.DataFrame) -> pd.DataFrame:
+        """The windows that end with these rows; keeps what is left over, and the number of every key's next window."""
+        names = [*self.by, "w", "xs", "flags", "is_anomaly"]
+        if not len(passed):
+            return pd.DataFrame(columns=names)
+        parts = [_rows(self.tail.get())] if self.tail.exists() else []
+        rows = pd.concat([*parts, passed], ignore_index=True)
+        rows = rows.iloc[rows.groupby(self.by, sort=False, dropna=False).ngroup().argsort(kind="stable")]
+        keys = rows.groupby(self.by, sort=False, dropna=False)
+        place, size = keys.cumcount(), keys["is_anomaly"].transform("size")
+        full = (place < size // self.length * self.length).to_numpy()
+        left, rows, place = rows[~full], rows[full], place[full]
+        if len(left):
+            self.tail.update(_block(left))
+        elif self.tail.exists():
+            self.tail.clear()
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        starts = range(0, len(rows), self.length)
+        out = rows[self.by].iloc[:: self.length].reset_index(drop=True)
+        out["w"] = (place.to_numpy()[:: self.length] // self.length).astype("int64")
+        if self.next.exists():
+            before = _rows(self.next.get())
+            out["w"] += out[self.by].merge(before, on=self.by, how="left")["_next"].fillna(0).to_numpy().astype("int64")
+        else:
+            before = None
+        after = out.groupby(self.by, sort=False, dropna=False)["w"].max().add(1).rename("_next").reset_index()
+        if before is not None:
+            after = pd.concat([before, after], ignore_index=True).groupby(self.by, sort=False, dropna=False)["_next"].max().reset_index()
+        self.next.update(_block(after))
+        xs, flags = rows["x"].tolist(), rows["is_anomaly"].astype(bool).tolist()
+        out["xs"] = [[list(x) for x in xs[i : i + self.length]] for i in starts]
+        out["flags"] = [flags[i : i + self.length] for i in starts]
+        out["is_anomaly"] = [any(f) for f in out["flags"]]
+        return out[names]
+
+    def close(self) -> None:
+        pass
+
+
+def _block(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as one value of the state."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _rows(value: tuple) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value[0])).read_pandas()
 
 
 def _plain(value):
@@ -115,11 +175,6 @@ def _plain(value):
     return value
 
 
-def _millis(value) -> int:
-    """Milliseconds since 1970, rounded up."""
-    return -(-pd.Timestamp(value).value // 1_000_000)  # nanoseconds
-
-
 def window_type(rows: T.StructType, by: Sequence[str]) -> T.StructType:
     fields = [T.StructField("w", T.LongType()), T.StructField("xs", T.ArrayType(T.ArrayType(T.DoubleType())))]
     fields += [T.StructField("flags", T.ArrayType(T.BooleanType())), T.StructField("is_anomaly", T.BooleanType())]
@@ -144,7 +199,7 @@ def with_event_time(df: DataFrame, time: str, delay: str) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def ordered_windows_stream(stream: DataFrame, length: int, time: str, order_by: Sequence[str], by: Sequence[str], delay: str) -> DataFrame:
+def ordered_windows_stream(stream: DataFrame, length: int, time: str, order_by: Sequence[str], by: Sequence[str], delay: str, buckets: int = BUCKETS) -> DataFrame:
     """As ``keyed_windows_stream``, in the order of event time, whatever the order of arrival.
 
     A row waits until the watermark (the latest ``time`` seen, less ``delay``) has passed it.  Rows that
@@ -153,5 +208,8 @@ def ordered_windows_stream(stream: DataFrame, length: int, time: str, order_by:
     """
     use_state_store(stream.sparkSession)
     rows = with_event_time(stream.select(*by, time, *order_by, "x", "is_anomaly"), time, delay)
-    processor = OrderedCountWindows(length, time, order_by, by, rows.schema)
-    return rows.groupBy(*by).transformWithStateInPandas(processor, window_type(rows.schema, by), "Append", "EventTime")
+    # a key that is null has a group of its own: its columns hold no numbers
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in by])
+    rows = rows.withColumn("_bucket", F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*by), F.lit(buckets))).cast("int"))
+    processor = OrderedCountWindows(length, time, order_by, by)
+    return rows.groupBy("_bucket").transformWithStateInPandas(processor, window_type(rows.schema, by), "Append", "EventTime")
