@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -116,6 +117,34 @@ def test_counts_in_parts_and_small_slices(spark, tools, monkeypatch):
     assert found(frame_of(spark, docs), size=300) == brute(docs, tools)
 
 
+def test_counting_takes_little_memory_beside_its_batch():
+    """A batch is worked on slice by slice and gives one row for each of its pairs; encoding's memory is not kept."""
+    pair = crosstoken._pair(A, B)
+    row = crosstoken.pa.array([" " + " ".join(f"{w} word{n}" for n, w in enumerate(["river", "stone", "été"] * 400))])
+    a, _, b, _, good = next(pair.encode(row))
+    assert good.all() and len(pair.a.keys) and len(pair.b.keys)
+    rows = 600
+    batch = crosstoken.pa.RecordBatch.from_arrays([crosstoken.pa.array([x.astype(pair.kind).tobytes()] * rows, crosstoken.pa.binary()) for x in (a, b)], names=["a", "b"])
+    tokens = rows * (len(a) + len(b))
+    assert tokens > 4_000_000
+    tracemalloc.start()
+    try:
+        found = list(crosstoken._counted(A, B)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
+    pairs = [p for f in found for p in f["pair"].to_pylist()]
+    assert len(pairs) == len(set(pairs)) and not len(pair.a.keys) and not len(pair.b.keys)
+    ends = [np.cumsum(s.lengths[x]) for s, x in ((pair.spell_a, a), (pair.spell_b, b))]
+    starts = [e - s.lengths[x] for e, s, x in zip(ends, (pair.spell_a, pair.spell_b), (a, b), strict=True)]
+    linked = Counter()
+    for n, i in enumerate(a):
+        for m in np.flatnonzero((starts[1] < ends[0][n]) & (ends[1] > starts[0][n])):
+            linked[int(i) * pair.size_b + int(b[m])] += rows
+    assert dict(zip(pairs, (n for f in found for n in f["n"].to_pylist()), strict=True)) == linked
+
+
 def test_given_odd_and_empty_tables(spark, tools, documents, odd, empty):
     some = documents.filter("doc_id < 60")
     assert found(some, size=4000) == brute([(r["doc_id"], r["text"]) for r in some.collect()], tools)

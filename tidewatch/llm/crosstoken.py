@@ -31,7 +31,7 @@ RANGE = 1 << 16
 #: Fragments joined by a task in one round.
 FAN = 16
 #: Tokens worked on at a time, and pairs of ids (with counts) that workers get at a time: 16 bytes each.
-TOKENS, PAIRS = 1 << 19, 1 << 22
+TOKENS, PAIRS = 1 << 17, 1 << 22
 #: The blank as the piece file writes it.
 BLANK = "▁"
 
@@ -82,6 +82,12 @@ class Pair:
         # A token as it is written in a list of groups: A inside and at the end of its part, then B.
         self.written = Spelling([form % i for form, n in ((b"%d,", self.size_a), (b"%d|", self.size_a), (b"%d,", self.size_b), (b"%d;", self.size_b)) for i in range(n)])
 
+    def forget(self) -> Pair:
+        """Without the remembered pieces, for tasks that only spell."""
+        self.a.clear()
+        self.b.clear()
+        return self
+
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For slices of rows (texts with a blank in front): ids and bounds of A and of B, and which rows both spell as they are."""
         for (_, _, data, offsets), (a, a_at) in zip(text_slices(column), encode_column(column, self.a), strict=True):
@@ -156,15 +162,15 @@ def _binary(ids: np.ndarray, bounds: np.ndarray, kind: np.dtype) -> pa.Array:
 
 
 def _ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows as one array, and where each row's start; null counts as none."""
+    """Ids of all rows as one view of the column's bytes, and where each row's start; null counts as none."""
     column = pc.fill_null(column, b"").cast(pa.large_binary())
     if not len(column):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, kind), np.zeros(1, np.int64)
     _, where, held = column.buffers()
     offsets = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     n = int(offsets[-1] - offsets[0])
     flat = np.frombuffer(held, dtype=kind, count=n // kind.itemsize, offset=int(offsets[0])) if n else np.zeros(0, kind)
-    return flat.astype(np.int64), (offsets - offsets[0]) // kind.itemsize
+    return flat, (offsets - offsets[0]) // kind.itemsize
 
 
 _OPEN = ["prefix_a", "prefix_b", "suffix_a", "suffix_b"]
@@ -320,7 +326,8 @@ def _slices(columns: list[pa.Array], kind: np.dtype) -> Iterator[tuple[int, int,
     both, lo = a_at + b_at, 0
     while lo < len(both) - 1:
         hi = max(lo + 1, int(np.searchsorted(both, both[lo] + TOKENS, "right")) - 1)
-        yield lo, hi, a[a_at[lo] : a_at[hi]], a_at[lo : hi + 1] - a_at[lo], b[b_at[lo] : b_at[hi]], b_at[lo : hi + 1] - b_at[lo]
+        mine = [(ids[at[lo] : at[hi]].astype(np.int64), at[lo : hi + 1] - at[lo]) for ids, at in ((a, a_at), (b, b_at))]
+        yield lo, hi, *mine[0], *mine[1]
         lo = hi
 
 
@@ -343,13 +350,19 @@ def _counted(byte_file: str, piece_file: str):
     """How often each pair of ids is linked in batches of A and B: pair, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(byte_file, piece_file)
+        pair = _pair(byte_file, piece_file).forget()
         for batch in batches:
+            found = []
             for _, _, a, _, b, _ in _slices(batch.columns, pair.kind):
                 _, i, j, _ = links(pair.spell_a.lengths[a], pair.spell_b.lengths[b])
                 held = pa.array(a[i] * pair.size_b + b[j]).dictionary_encode()
                 n = np.bincount(held.indices.to_numpy(), minlength=len(held.dictionary))
-                yield pa.RecordBatch.from_arrays([held.dictionary, pa.array(n)], names=["pair", "n"])
+                found.append(pa.RecordBatch.from_arrays([held.dictionary, pa.array(n)], names=["pair", "n"]))
+            if len(found) == 1:
+                yield found[0]
+            elif found:
+                summed = pa.Table.from_batches(found).group_by("pair", use_threads=False).aggregate([("n", "sum")])
+                yield from summed.select(["pair", "n_sum"]).rename_columns(["pair", "n"]).to_batches()
 
     return run
 
@@ -362,7 +375,7 @@ def _measured(byte_file: str, piece_file: str, counts, lists: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(byte_file, piece_file)
+        pair = _pair(byte_file, piece_file).forget()
         known, often = counts.value
         for batch in batches:
             whole = batch.column(4).to_numpy(zero_copy_only=False)
