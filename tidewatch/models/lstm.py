@@ -115,38 +115,44 @@ class _Cells:
         half = np.full((4 * size, 1), 0.5)  # a sigmoid is a tanh of half the value
         half[2 * size : 3 * size] = 1.0
         halved = kernel * half
-        z = halved[:, :width] @ fed + bias[:, None] * half
-        inner, early, late = np.ascontiguousarray(halved[:, width:]), 0.5 * self.peep[:2], 0.5 * self.peep[2]
-        self.back = np.ascontiguousarray(kernel[:, width:].T)
-        self.h, self.c = np.empty((steps + 1, size, n)), np.empty((steps + 1, size, n))
-        self.gates, self.tanh = np.empty((steps, 4, size, n)), np.empty((steps, size, n))
-        self.h[0], self.c[0] = h, c
-        for t in range(steps):
-            zt, g = z[t], self.gates[t]
-            zt += inner @ h
-            zt = zt.reshape(4, size, n)
-            zt[:2] += early * c
-            np.tanh(zt[:3], out=g[:3])
+        # One product a step for output and state: the peepholes of input and forget gate are two diagonals.
+        near, place = np.zeros((2, 4 * size, size)), np.arange(size)
+        near[0], near[1, place, place], near[1, size + place, place] = kernel[:, width:], *self.peep[:2, :, 0]
+        inner, late = np.concatenate([near[0] * half, near[1] * half], axis=1), 0.5 * self.peep[2]
+        self.back = np.ascontiguousarray(near.transpose(0, 2, 1)).reshape(2 * size, 4 * size)
+        # What the gates work on, (step, [input, forget, candidate, state before]), and output and state of all steps.
+        self.gates, self.out = np.empty((steps + 1, 4, size, n)), np.empty((steps, size, n))
+        self.states, self.tanh = np.empty((steps + 1, 2, size, n)), np.empty((steps, size, n))
+        self.states[0, 0], self.states[0, 1], self.gates[0, 3] = h, c, c
+        z = np.matmul(halved[:, :width], fed)
+        z += bias[:, None] * half
+        states, made = self.states.reshape(steps + 1, 2 * size, n), self.gates.reshape(steps + 1, 4 * size, n)
+        for zt, seen, g, flat_g, new, next_c, o, tanh in zip(z, states, self.gates, made, self.states[1:], self.gates[1:, 3], self.out, self.tanh, strict=False):
+            zt += inner @ seen
+            np.tanh(zt[: 3 * size], out=flat_g[: 3 * size])
             both = g[:2]
             both *= 0.5
             both += 0.5
-            new = self.c[t + 1]
-            np.multiply(g[1], c, out=new)
-            new += g[0] * g[2]
-            c, o = new, g[3]
-            np.tanh(zt[3] + late * c, out=o)
+            i_j, f_c = both * g[2:]
+            h, c = new
+            np.add(i_j, f_c, out=c)
+            next_c[:] = c
+            np.multiply(late, c, out=o)
+            o += zt[3 * size :]
+            np.tanh(o, out=o)
             o *= 0.5
             o += 0.5
-            h = np.multiply(o, np.tanh(c, out=self.tanh[t]), out=self.h[t + 1])
+            np.multiply(o, np.tanh(c, out=tanh), out=h)
+        self.h, self.c = self.states[:, 0], self.states[:, 1]
 
     def gradient(self, grad: dict[str, np.ndarray], dh: np.ndarray, dc: np.ndarray, dout: np.ndarray | None = None):
         """Adds to ``grad``; returns the gradient of the first state.  ``dout`` is that of every step's output."""
-        i, f, j, o = (self.gates[:, k] for k in range(4))
-        before, size = self.c[:-1], self.size
+        i, f, j, before = (self.gates[:-1, k] for k in range(4))
+        size, o = self.size, self.out
         inside = np.stack([j * i * (1 - i), before * f * (1 - f), i * (1 - j * j)], axis=1)
-        to_o, to_c = self.tanh * o * (1 - o), o * (1 - self.tanh * self.tanh)
-        peep_i, peep_f, peep_o = self.peep
-        dz = np.empty_like(self.gates)
+        to_o = self.tanh * o * (1 - o)
+        to_c = o * (1 - self.tanh * self.tanh) + to_o * self.peep[2]
+        dz = np.empty((len(o), 4, *o.shape[1:]))
         flat_dz = dz.reshape(len(dz), 4 * size, -1)
         for t in range(len(dz) - 1, -1, -1):
             if dout is not None:
@@ -154,12 +160,11 @@ class _Cells:
             d = dz[t]
             np.multiply(dh, to_o[t], out=d[3])
             dc = dc + dh * to_c[t]
-            dc += d[3] * peep_o
             np.multiply(dc, inside[t], out=d[:3])
-            dh = self.back @ flat_dz[t]
-            dc = dc * f[t]
-            dc += d[0] * peep_i
-            dc += d[1] * peep_f
+            dc *= f[t]
+            back = self.back @ flat_dz[t]
+            dh = back[:size]
+            dc += back[size:]
         rows = flat_dz.transpose(0, 2, 1).reshape(-1, 4 * size)
         xh = np.concatenate([self.fed, self.h[:-1]], axis=1).transpose(1, 0, 2).reshape(-1, len(rows))
         grad[f"{self.side}_kernel"][:, self.order] += xh @ rows
