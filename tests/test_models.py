@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tidewatch.models import lstm
 from tidewatch.models.base import Model, reconstruct, reconstruction_errors, score
 from tidewatch.models.lstm import Recurrent, _forward, _initial, _layout, _unpack, loss_and_gradient
 from tidewatch.models.pca import Linear
@@ -51,6 +52,25 @@ def test_forward():
     assert np.allclose(got, [slow_forward(w, numbers, 4) for w in x])
 
 
+def test_windows_beyond_a_slice():
+    x, numbers = RNG.normal(size=(2 * lstm.SLICE + 3, 3, 2)), _initial(2, 2, 1)
+    got, at = _forward(x, _unpack(numbers, 2, 2)), [0, lstm.SLICE - 1, lstm.SLICE, 2 * lstm.SLICE, len(x) - 1]
+    assert np.allclose(got[at], [slow_forward(x[k], numbers, 2) for k in at])
+    assert _forward(x[:0], _unpack(numbers, 2, 2)).shape == (0, 3, 2)
+
+
+def test_a_refit_makes_its_tapes_once(monkeypatch):
+    """One for each size of batch, and for the sets that are watched, whatever the number of epochs."""
+    x, y = RNG.random((10, 4, 1)), RNG.random((5, 4, 1))
+    made, real = [], lstm._Pair.__init__
+    monkeypatch.setattr(lstm._Pair, "__init__", lambda self, places, h, length, d, n, learns: (made.append(n), real(self, places, h, length, d, n, learns))[1])
+    fitted = Recurrent.initial(4, 1, 2).refit_arrays(x, 4, max_epochs=6, validation=x[-4:], anomalous=y)
+    assert sorted(made) == [2, 4, 9] and len(fitted.history) == 6
+    start = Recurrent.initial(4, 1, 2).refit_arrays(x, 4, max_epochs=1, validation=x[-4:], anomalous=y)
+    for part, loss in ((x[-4:], start.history[0][2]), (y, start.history[0][3])):
+        assert loss == pytest.approx(np.mean([(slow_forward(w, start.numbers, 2) - w) ** 2 for w in part]))
+
+
 def test_gradient():
     x, numbers = RNG.normal(size=(3, 5, 2)), _initial(3, 2, 1)
     numbers = numbers + 0.1 * RNG.normal(size=numbers.shape)

@@ -29,6 +29,9 @@ from tidewatch.operators.sampling import arrival_batches, reverse_batches
 # fixed values: forget bias, output bias, and the usual Adam settings
 FORGET_BIAS, OUTPUT_BIAS = 1.0, 0.1
 RATE, BETA1, BETA2, EPSILON = 0.001, 0.9, 0.999, 1e-8
+# windows that are reconstructed at a time, so that their steps stay in a core's cache
+SLICE = 256
+ONE = np.array(1.0)
 
 
 def _layout(hidden: int, width: int) -> list[tuple[str, tuple[int, ...]]]:
@@ -66,134 +69,220 @@ def _initial(hidden: int, width: int, seed: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * z) + 1)
-
-
-def _cell(x, h, c, kernel, bias, peep):
-    """One step; returns the new state."""
-    xh = np.concatenate([x, h], axis=1)
-    zi, zj, zf, zo = np.split(xh @ kernel + bias, 4, axis=1)
-    i, j = _sigmoid(zi + peep[0] * c), np.tanh(zj)
-    f = _sigmoid(zf + FORGET_BIAS + peep[1] * c)
-    c_new = f * c + i * j
-    return _sigmoid(zo + peep[2] * c_new) * np.tanh(c_new), c_new
+class _Places:
+    """The matrices of a training step as one gather from the flat weights, and the gradient as one from their gradients.
 
+    Gates lie in the order input, forget, candidate, output.  A sigmoid is a tanh of half the value, and outputs are
+    kept doubled, so that a step needs few calls; the halves are factors of the matrices.  The peepholes of input and
+    forget gate are two diagonals beside the weights of state, output, input and bias.
+    """
 
-def _forward(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    n, length, width = x.shape
-    hidden = p["out_kernel"].shape[0]
-    h = c = np.zeros((n, hidden), dtype=x.dtype)
-    for t in range(length):
-        h, c = _cell(x[:, t], h, c, p["enc_kernel"], p["enc_bias"], p["enc_peep"])
-    out = np.empty_like(x)
-    fed = np.ones((n, width), dtype=x.dtype)
-    for t in range(length - 1, -1, -1):
-        h, c = _cell(fed, h, c, p["dec_kernel"], p["dec_bias"], p["dec_peep"])
-        out[:, t] = h @ p["out_kernel"] + p["out_bias"]
-        fed = x[:, t]
-    return out
+    def __init__(self, hidden: int, width: int):
+        size = hidden
+        total = sum(math.prod(shape) for _, shape in _layout(size, width))
+        at = _unpack(np.arange(total), size, width)
+        gates = np.concatenate([np.arange(size), np.arange(2 * size, 3 * size), np.arange(size, 2 * size), np.arange(3 * size, 4 * size)])
+        # columns as in the rows of a tape from the state on: state, (output gate), output, input, one
+        state, out, fed, diagonal = slice(0, size), slice(2 * size, 3 * size), slice(3 * size, 3 * size + width), np.arange(size)
+        last = [np.zeros((width, size + width + 1), d) for d in (int, float, float)]
+        last[0][:, :size], last[1][:, :size] = at["out_kernel"].T, 0.5
+        last[0][:, -1], last[1][:, -1] = at["out_bias"], 1.0
+        parts, self.count, self.raw = [], [], []
+        for side, ends in (("enc", 0), ("dec", width)):
+            kernel = [np.zeros((4 * size, 3 * size + width + 1), d) for d in (int, float, float)]
+            place, factor, plus = kernel
+            half = np.full((4 * size, 1), 0.5)
+            half[2 * size : 3 * size] = 1.0
+            place[:, out], factor[:, out] = at[f"{side}_kernel"].T[gates][:, width:], 0.5 * half
+            place[:, fed], factor[:, fed] = at[f"{side}_kernel"].T[gates][:, :width], half
+            place[:, -1], factor[:, -1], plus[size : 2 * size, -1] = at[f"{side}_bias"][gates], half[:, 0], 0.5 * FORGET_BIAS
+            for k in range(2):
+                place[k * size + diagonal, diagonal], factor[k * size + diagonal, diagonal] = at[f"{side}_peep"][k], 0.5
+            late = [np.zeros((2, size, 1), d) for d in (int, float, float)]
+            late[0][1, :, 0], late[1][1], late[2][0] = at[f"{side}_peep"][2], 0.25, 0.5
+            back = [np.zeros((2 * size, 6 * size + ends), d) for d in (int, float, float)]
+            for b, k, end in zip(back, kernel, last, strict=True):
+                b[:size, size : 5 * size], b[size:, size : 5 * size] = k[:, out].T, k[:, state].T
+                if ends:
+                    b[:size, 6 * size :] = end[:, :size].T
+            back[1][size:] *= 0.5
+            back[2][size:] *= 0.5
+            back[2][size + diagonal, diagonal] = 0.5
+            parts += [kernel, late, back]
+        parts.append(last)
+        self.shapes = [part[0].shape for part in parts]
+        self.place, self.factor, self.plus = (np.concatenate([part[k].ravel() for part in parts]) for k in range(3))
+        # raw gradients: of the kernel, and of the output gate's peephole, of each side; of the last product
+        self.raw_shapes, seen = [], []
+        for kernel, late, _ in (parts[:3], parts[3:6]):
+            self.raw_shapes += [kernel[0].shape, (size,)]
+            seen += [(kernel[0], kernel[1]), (late[0][1], np.full((size, 1), 0.5))]
+        self.raw_shapes.append(last[0].shape)
+        seen.append((last[0], last[1]))
+        place, factor = (np.concatenate([s[k].ravel() for s in seen]) for k in range(2))
+        used = np.flatnonzero(factor)
+        self.source, self.weight = np.empty(total, int), np.empty(total)
+        self.source[place[used]], self.weight[place[used]] = used, factor[used]
+
+
+def _views(flat_numbers: np.ndarray, shapes) -> list[np.ndarray]:
+    views, at = [], 0
+    for shape in shapes:
+        views.append(flat_numbers[at : at + math.prod(shape)].reshape(shape))
+        at += math.prod(shape)
+    return views
 
 
 class _Cells:
-    """All steps of one side over a training batch, and their gradient.
+    """All steps of one side over a batch of windows, and their gradient.
 
-    Training batches are small, so calls cost more than numbers: arrays are (step, feature, window), gates lie
-    in the order input, forget, candidate, output, and whatever does not depend on the step before is
-    computed for all steps at once.
+    Training batches are small, so calls cost more than numbers: the rows of ``tape`` are input, forget and candidate gate,
+    state, output gate and output (doubled) before the step, input, and one; every view is made once.
     """
 
-    def __init__(self, p: dict[str, np.ndarray], side: str, fed: np.ndarray, h: np.ndarray, c: np.ndarray):
-        steps, width, n = fed.shape
-        size = len(h)
-        self.side, self.fed, self.size = side, fed, size
-        self.order = np.concatenate([np.arange(size), np.arange(2 * size, 3 * size), np.arange(size, 2 * size), np.arange(3 * size, 4 * size)])
-        kernel = p[f"{side}_kernel"].T[self.order]
-        bias = p[f"{side}_bias"][self.order]
-        bias[size : 2 * size] += FORGET_BIAS
-        self.peep = p[f"{side}_peep"][:, :, None]
-        half = np.full((4 * size, 1), 0.5)  # a sigmoid is a tanh of half the value
-        half[2 * size : 3 * size] = 1.0
-        halved = kernel * half
-        # One product a step for output and state: the peepholes of input and forget gate are two diagonals.
-        near, place = np.zeros((2, 4 * size, size)), np.arange(size)
-        near[0], near[1, place, place], near[1, size + place, place] = kernel[:, width:], *self.peep[:2, :, 0]
-        inner, late = np.concatenate([near[0] * half, near[1] * half], axis=1), 0.5 * self.peep[2]
-        self.back = np.ascontiguousarray(near.transpose(0, 2, 1)).reshape(2 * size, 4 * size)
-        # What the gates work on, (step, [input, forget, candidate, state before]), and output and state of all steps.
-        self.gates, self.out = np.empty((steps + 1, 4, size, n)), np.empty((steps, size, n))
-        self.states, self.tanh = np.empty((steps + 1, 2, size, n)), np.empty((steps, size, n))
-        self.states[0, 0], self.states[0, 1], self.gates[0, 3] = h, c, c
-        z = np.matmul(halved[:, :width], fed)
-        z += bias[:, None] * half
-        states, made = self.states.reshape(steps + 1, 2 * size, n), self.gates.reshape(steps + 1, 4 * size, n)
-        for zt, seen, g, flat_g, new, next_c, o, tanh in zip(z, states, self.gates, made, self.states[1:], self.gates[1:, 3], self.out, self.tanh, strict=False):
-            zt += inner @ seen
-            np.tanh(zt[: 3 * size], out=flat_g[: 3 * size])
-            both = g[:2]
-            both *= 0.5
-            both += 0.5
-            i_j, f_c = both * g[2:]
-            h, c = new
-            np.add(i_j, f_c, out=c)
-            next_c[:] = c
-            np.multiply(late, c, out=o)
-            o += zt[3 * size :]
-            np.tanh(o, out=o)
-            o *= 0.5
-            o += 0.5
-            np.multiply(o, np.tanh(c, out=tanh), out=h)
-        self.h, self.c = self.states[:, 0], self.states[:, 1]
-
-    def gradient(self, grad: dict[str, np.ndarray], dh: np.ndarray, dc: np.ndarray, dout: np.ndarray | None = None):
-        """Adds to ``grad``; returns the gradient of the first state.  ``dout`` is that of every step's output."""
-        i, f, j, before = (self.gates[:-1, k] for k in range(4))
-        size, o = self.size, self.out
-        inside = np.stack([j * i * (1 - i), before * f * (1 - f), i * (1 - j * j)], axis=1)
-        to_o = self.tanh * o * (1 - o)
-        to_c = o * (1 - self.tanh * self.tanh) + to_o * self.peep[2]
-        dz = np.empty((len(o), 4, *o.shape[1:]))
-        flat_dz = dz.reshape(len(dz), 4 * size, -1)
-        for t in range(len(dz) - 1, -1, -1):
-            if dout is not None:
-                dh = dh + dout[t]
-            d = dz[t]
-            np.multiply(dh, to_o[t], out=d[3])
-            dc = dc + dh * to_c[t]
-            np.multiply(dc, inside[t], out=d[:3])
-            dc *= f[t]
-            back = self.back @ flat_dz[t]
-            dh = back[:size]
-            dc += back[size:]
-        rows = flat_dz.transpose(0, 2, 1).reshape(-1, 4 * size)
-        xh = np.concatenate([self.fed, self.h[:-1]], axis=1).transpose(1, 0, 2).reshape(-1, len(rows))
-        grad[f"{self.side}_kernel"][:, self.order] += xh @ rows
-        grad[f"{self.side}_bias"][self.order] += rows.sum(axis=0)
-        seen = [(dz[:, 0] * before), (dz[:, 1] * before), (dz[:, 3] * self.c[1:])]
-        grad[f"{self.side}_peep"] += np.stack([s.sum(axis=(0, 2)) for s in seen])
-        return dh, dc
+    def __init__(self, kernel, late, back, steps: int, size: int, width: int, n: int):
+        self.kernel, self.late, self.back, self.size = kernel, late, back, size
+        self.spread = np.empty((2, size, n))  # ``late`` for every window
+        self.tape, self.tanh = np.zeros((steps + 1, 6 * size + width + 1, n)), np.empty((steps, 2, size, n))
+        self.tape[:, -1] = 1.0
+        self.fed = self.tape[:-1, 6 * size : -1]
+        self.z, both = np.empty((4 * size, n)), np.empty((2 * size, n))
+        self.parts, self.double = (both[:size], both[size:]), both
+        self.steps = [
+            (now[3 * size :], now[: 3 * size], now[: 2 * size], now[2 * size : 4 * size], new[3 * size : 5 * size].reshape(2, size, n),
+             new[4 * size : 5 * size], tanh, tanh[0], tanh[1], new[5 * size : 6 * size])
+            for now, new, tanh in zip(self.tape[:-1], self.tape[1:], self.tanh, strict=True)
+        ]
+        self.first, self.last = self.tape[0, 3 * size : 6 * size], self.tape[-1, 3 * size : 6 * size]
+
+    def run(self) -> None:
+        kernel, late, z, both, (i_j, f_c) = self.kernel, self.spread, self.z, self.double, self.parts
+        late[:] = self.late
+        gates, output = z[: 3 * self.size], z[3 * self.size :]
+        for seen, made, two, with_two, state_o, o, tanh, of_state, of_o, h in self.steps:
+            kernel.dot(seen, z)
+            np.tanh(gates, out=made)
+            two += ONE
+            np.multiply(two, with_two, out=both)
+            i_j += f_c
+            np.multiply(late, i_j, out=state_o)
+            o += output
+            np.tanh(state_o, out=tanh)
+            of_o += ONE
+            np.multiply(of_state, of_o, out=h)
+
+    def prepare(self, n: int) -> None:
+        """Room for the gradient.  The rows of ``d`` are state before, input, forget, candidate, output gate, what the output adds to the state, and the output of the step before."""
+        size, steps = self.size, len(self.steps)
+        self.d = np.zeros((steps + 1, self.back.shape[1], n))
+        self.inside, self.outer = np.empty((steps, 4, size, n)), np.empty((steps, 2, size, n))
+        self.backwards = [
+            (d[4 * size : 6 * size].reshape(2, size, n), d[5 * size : 6 * size], d[: 4 * size].reshape(4, size, n), d, outer, inside)
+            for d, outer, inside in zip(self.d[:-1], self.outer, self.inside, strict=True)
+        ][::-1]
+        self.changed = np.empty((size, n))
+
+    def gradient(self, carry: np.ndarray, raw: np.ndarray, raw_late: np.ndarray) -> None:
+        """``carry`` is the gradient of the last output and state and becomes that of the first; those of the weights go to ``raw`` and ``raw_late``."""
+        size, steps, back, changed = self.size, len(self.steps), self.back, self.changed
+        now = self.tape[:-1].reshape(steps, -1)
+        n = self.tape.shape[2]
+        two, with_two = (now[:, k * size * n : (k + 2) * size * n].reshape(steps, 2, size, n) for k in (0, 2))
+        j, (q, r), inside, outer = with_two[:, 0], self.tanh.swapaxes(0, 1), self.inside, self.outer
+        np.multiply(q, r, out=outer[:, 0])
+        outer[:, 0] *= 2.0 - r
+        np.multiply(0.5 * r, 1.0 - q * q, out=outer[:, 1])
+        outer[:, 1] += self.spread[1] * outer[:, 0]
+        inside[:, 0] = two[:, 1]
+        np.multiply(two * (2.0 - two), with_two, out=inside[:, 1:3])
+        np.multiply(two[:, 0], 1.0 - j * j, out=inside[:, 3])
+        dh, dc = carry[:size], carry[size:]
+        for to_o, o_to_c, to_z, d, by_h, by_c in self.backwards:
+            np.multiply(dh, by_h, out=to_o)
+            np.add(dc, o_to_c, out=changed)
+            np.multiply(changed, by_c, out=to_z)
+            back.dot(d, carry)
+        rows = self.d[:-1, size : 5 * size].transpose(1, 0, 2).reshape(4 * size, -1)
+        seen = self.tape[:-1, 3 * size :].transpose(1, 0, 2).reshape(-1, steps * n)
+        np.matmul(rows, seen.T, out=raw)
+        np.einsum("tsn,tsn->s", self.d[:-1, 4 * size : 5 * size], self.tape[1:, 3 * size : 4 * size], out=raw_late)
+
+
+class _Pair:
+    """Encoder and decoder over batches of ``n`` windows; matrices, tapes and views are made once and used again."""
+
+    def __init__(self, places: _Places, hidden: int, length: int, width: int, n: int, learns: bool):
+        self.places, self.matrices, self.size = places, np.empty(len(places.place)), hidden
+        *sides, self.last = _views(self.matrices, places.shapes)
+        self.enc, self.dec = (_Cells(*sides[k : k + 3], length, hidden, width, n) for k in (0, 3))
+        self.dec.fed[0] = 1.0
+        self.outputs = self.dec.tape[1:, 5 * hidden :]
+        if learns:
+            self.enc.prepare(n)
+            self.dec.prepare(n)
+            self.flat_raw = np.empty(sum(math.prod(shape) for shape in places.raw_shapes))
+            self.raw = _views(self.flat_raw, places.raw_shapes)
+            self.carry = np.empty((2 * hidden, n))
+
+    def load(self, numbers: np.ndarray) -> None:
+        np.take(numbers, self.places.place, out=self.matrices, mode="clip")
+        self.matrices *= self.places.factor
+        self.matrices += self.places.plus
+
+    def forward(self, steps: np.ndarray) -> np.ndarray:
+        """Reconstruction of windows (step, feature, window), from the last step to the first, as the decoder gives it."""
+        self.enc.fed[:], self.dec.fed[1:] = steps, steps[:0:-1]
+        self.enc.run()
+        self.dec.first[:] = self.enc.last
+        self.dec.run()
+        return np.matmul(self.last, self.outputs)
+
+    def loss_and_gradient(self, x: np.ndarray, numbers: np.ndarray) -> tuple[float, np.ndarray]:
+        steps = x.transpose(1, 2, 0)
+        self.load(numbers)
+        diff = self.forward(steps)
+        diff -= steps[::-1]
+        dout, (enc, enc_late, dec, dec_late, last), width = self.dec.d[1:, 6 * self.size :], self.raw, x.shape[2]
+        np.multiply(diff, 2 / diff.size, out=dout)
+        np.matmul(self.dec.back, self.dec.d[-1], out=self.carry)
+        self.dec.gradient(self.carry, dec, dec_late)
+        self.enc.gradient(self.carry, enc, enc_late)
+        rows = dout.transpose(1, 0, 2).reshape(width, -1)
+        np.matmul(rows, self.outputs.transpose(1, 0, 2).reshape(-1, rows.shape[1]).T, out=last)
+        return float((diff * diff).mean()), self.flat_raw[self.places.source] * self.places.weight
+
+
+class _Pairs:
+    """A ``_Pair`` for each size of batch."""
+
+    def __init__(self, hidden: int, length: int, width: int, learns: bool = False):
+        self.shape, self.learns, self.places, self.made = (hidden, length, width), learns, _Places(hidden, width), {}
+
+    def __call__(self, n: int) -> _Pair:
+        if n not in self.made:
+            self.made[n] = _Pair(self.places, *self.shape, n, self.learns)
+        return self.made[n]
+
+
+def _reconstruct(x: np.ndarray, numbers: np.ndarray, pairs: _Pairs) -> np.ndarray:
+    """Reconstruction of windows, ``SLICE`` of them at a time."""
+    out = np.empty_like(x)
+    for at in range(0, len(x), SLICE):
+        part = x[at : at + SLICE]
+        pair = pairs(len(part))
+        if at == 0 or len(part) < SLICE:
+            pair.load(numbers)
+        out[at : at + SLICE] = pair.forward(part.transpose(1, 2, 0))[::-1].transpose(2, 0, 1)
+    return out
+
+
+def _forward(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    return _reconstruct(x, np.concatenate([v.ravel() for v in p.values()]), _Pairs(p["out_kernel"].shape[0], *x.shape[1:]))
 
 
 def loss_and_gradient(x: np.ndarray, numbers: np.ndarray, hidden: int) -> tuple[float, np.ndarray]:
     """Mean squared reconstruction error of a batch and its gradient."""
-    n, length, width = x.shape
-    p = _unpack(numbers, hidden, width)
-    gradient = np.zeros_like(numbers)
-    grad = _unpack(gradient, hidden, width)
-    steps = np.ascontiguousarray(x.transpose(1, 2, 0))
-    none = np.zeros((hidden, n))
-    enc = _Cells(p, "enc", steps, none, none)
-    wanted = steps[::-1]  # the decoder gives the steps back from the last to the first
-    fed = np.concatenate([np.ones((1, width, n)), wanted[:-1]])
-    dec = _Cells(p, "dec", fed, enc.h[-1], enc.c[-1])
-    diff = p["out_kernel"].T @ dec.h[1:] + p["out_bias"][:, None] - wanted
-    dout = diff * (2 / diff.size)
-    rows = dout.transpose(0, 2, 1).reshape(-1, width)
-    grad["out_kernel"] += dec.h[1:].transpose(1, 0, 2).reshape(hidden, -1) @ rows
-    grad["out_bias"] += rows.sum(axis=0)
-    dh, dc = dec.gradient(grad, none, none, p["out_kernel"] @ dout)
-    enc.gradient(grad, dh, dc)
-    return float((diff * diff).mean()), gradient
+    return _Pairs(hidden, *x.shape[1:], learns=True)(len(x)).loss_and_gradient(x, numbers)
 
 
 def _whole_batches(arrow_batches, length: int, width: int):
@@ -212,13 +301,13 @@ def _whole_batches(arrow_batches, length: int, width: int):
         yield rest
 
 
-def _steps(batches, state: np.ndarray, hidden: int) -> tuple[int, np.ndarray]:
+def _steps(batches, state: np.ndarray, pairs: _Pairs) -> tuple[int, np.ndarray]:
     """Adam over the batches, one after the other: windows seen, and the state after them (weights, moments, steps, mean and last loss)."""
     size = (len(state) - 3) // 3
     w, m, v = (state[k * size : (k + 1) * size].copy() for k in range(3))
     steps, seen, total, count, last = state[-3], 0, 0.0, 0, 0.0
     for x in batches:
-        last, g = loss_and_gradient(x, w, hidden)
+        last, g = pairs(len(x)).loss_and_gradient(x, w)
         steps += 1
         m += (1 - BETA1) * (g - m)
         v += (1 - BETA2) * (g * g - v)
@@ -231,7 +320,7 @@ def _epoch(train: DataFrame, state: np.ndarray, hidden: int, length: int, width:
     """One pass of all shards over their batches; returns the averaged state."""
 
     def run(arrow_batches):
-        seen, result = _steps(_whole_batches(arrow_batches, length, width), state, hidden)
+        seen, result = _steps(_whole_batches(arrow_batches, length, width), state, _Pairs(hidden, length, width, learns=True))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), list_column(result[None])], names=["n", "state"])
 
@@ -320,13 +409,15 @@ class Recurrent:
         batches = [train[i : i + per_batch] for i in range(0, len(train), per_batch)]
         sets = {"normal": validation if stop_metric == "val_mean" or anomalous is not None else None, "anomalous": anomalous}
         sets = {role: x for role, x in sets.items() if x is not None and len(x)}
+        pairs = _Pairs(self.hidden, self.length, self.width, learns=True)
+        apart, ends = np.concatenate([train[:0], *sets.values()]), np.cumsum([len(x) for x in sets.values()])
 
         def losses(model):
-            kernel = model.kernel()
-            return {role: float(((kernel(x) - x) ** 2).mean()) for role, x in sets.items()}
+            squared = ((_reconstruct(apart, model.numbers, pairs) - apart) ** 2).mean(axis=(1, 2))
+            return {role: float(part.mean()) for role, part in zip(sets, np.split(squared, ends), strict=False)}
 
         return self._until_idle(
-            lambda state: _steps(batches, state, self.hidden)[1], losses if sets else None,
+            lambda state: _steps(batches, state, pairs)[1], losses if sets else None,
             max_epochs, patience, min_delta, stop_metric == "val_mean" and validation is not None, stop_metric == "last_batch",
         )
 
@@ -374,8 +465,8 @@ class Recurrent:
         return None
 
     def kernel(self):
-        numbers, hidden, width = flat(self.numbers), self.hidden, self.width
-        return lambda x: _forward(x, _unpack(numbers, hidden, width))
+        numbers, hidden, length, width = flat(self.numbers), self.hidden, self.length, self.width
+        return lambda x: _reconstruct(x, numbers, _Pairs(hidden, length, width))
 
     def parameters(self) -> list[float]:
         return flat(self.numbers).tolist()
